@@ -1,16 +1,13 @@
-"""All registries. The subpackage ``llm`` is found by name, so that its absence is no error."""
+"""The registries of the library itself."""
 
 from __future__ import annotations
 
 import importlib
-import importlib.util
 
 from tapewright.plans.registry import Registry
 
 MODULES = ["tapewright.plans.quality"]
-EXTRA = "tapewright.llm.queries"
 
 
 def registries() -> list[Registry]:
-    found = [importlib.import_module(m).REGISTRY for m in MODULES]
-    return found
+    return [importlib.import_module(m).REGISTRY for m in MODULES]

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from tapewright.functions.common import epoch_ms
 from tapewright.operators.dedup import deliver_once
+from tapewright.operators.drift import ingest, schema_changes
 from tapewright.operators.intervals import periods_and_gaps
+from tapewright.operators.lineparse import parse_lines
 from tapewright.operators.regrid import regular_grid
+from tapewright.operators.sketch import merge_states, percentiles, rank_error, sketch_states
 from tapewright.operators.spikes import find_implausible
 from tapewright.plans.registry import Registry, table
 
@@ -55,6 +58,16 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.filter("status <> 'observed'").select("symbol", "timeframe", "session_id", "bucket_ms")
 
 
+@REGISTRY.query("p4_found")
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_lines(table(spark, sf_dir, "raw_lines")).filter("reason is not null").select("line_id", "reason")
+
+
+@REGISTRY.query("p4_loaded")
+def p4_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_lines(table(spark, sf_dir, "raw_lines")).filter("reason is null").drop("reason", "detail")
+
+
 @REGISTRY.query(
     "p5_found",
     f"""
@@ -66,3 +79,32 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     trades = table(spark, sf_dir, "trade_deliveries")
     _, repeated = deliver_once(trades, [F.upper("symbol"), F.col("trade_id"), epoch_ms(F.col("timestamp"))], "delivery_id")
     return repeated.select("delivery_id")
+
+
+@REGISTRY.query("p6_found")
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema_changes(table(spark, sf_dir, "drift_records"))
+
+
+#: Columns of the consistent table and the type each loads as.
+P6_TARGET = {
+    "timestamp": "bigint", "price": "double", "quantity": "double", "side": "string", "flow.delta": "double", "flow.price": "double",
+    "agg_trade_id": "bigint", "first_trade_id": "bigint", "last_trade_id": "bigint", "is_buyer_maker": "boolean",
+}
+
+QUANTILES = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
+_P7 = ["volume_50", "range_50"]
+
+
+def _p7_states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """States per (symbol, session), and per symbol by merging those."""
+    sessions = sketch_states(table(spark, sf_dir, "event_features"), ["symbol", "session_id"], _P7, row_id="row_id")
+    return sessions, merge_states(sessions, ["symbol"], _P7)
+
+
+@REGISTRY.query("p7_percentiles")
+def p7_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sessions, symbols = _p7_states(spark, sf_dir)
+    a = percentiles(sessions, ["symbol", "session_id"], _P7, QUANTILES)
+    b = percentiles(symbols, ["symbol"], _P7, QUANTILES).withColumn("session_id", F.lit(None).cast("string"))
+    return a.unionByName(b).withColumn("rank_error", F.lit(rank_error()))
