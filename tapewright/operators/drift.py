@@ -47,35 +47,55 @@ def as_object(payload: Column) -> Column:
     return F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
 
 
-def ingest(df: DataFrame, payload: str, target: dict[str, str], aliases: dict[str, list[str]] | None = None) -> DataFrame:
-    """Enforce ``target`` (column name: JSON type or the SQL type it loads as) on a column of JSON objects.
+def ingest(df: DataFrame, payload: str, target: dict[str, tuple[str, list[str]]], aliases: dict[str, list[str]] | None = None) -> DataFrame:
+    """Enforce ``target`` ({column: (SQL type, paths of the field)}) on a column of JSON objects.
 
-    Adds a typed column per target field and ``_rescued``: a JSON object of all fields (and 'parent.field' of objects in the
-    target's paths) that have no column or whose value could not be loaded. ``aliases`` promotes further names: values rescued under them
-    are replayed into the column, in the order given. Target names may be paths ('flow.price').
+    Adds a typed column per target and ``_rescued``: a JSON object of all fields that no column took, because
+    they are unknown or their value could not be loaded. ``aliases`` ({name: further names})
+    promotes approved names: values that were rescued under them are replayed into the column. A path is
+    a field or 'parent.field'; an object of which a field was taken is rescued as well, as it may hold more.
 
-    Defined results: a payload that is null or no object gives null columns and null ``_rescued``; a field that is null is absent; a column of ``df``
-    with a target's name is replaced; an empty table gives an empty one.
+    Defined results: a payload that is null or no object gives null columns and null ``_rescued``; a field that is null
+    is absent; of several paths with a value the first counts; a column of ``df`` with a target's name is replaced; an empty
+    table gives an empty one.
     """
     aliases = aliases or {}
     out = df.withColumn("_v", as_object(F.col(payload)))
     used: list[Column] = []
     columns = {}
-    for name, kind in target.items():
-        paths = [name, *aliases.get(name, [])]
-        loaded = [_load(F.col("_v"), p, kind) for p in paths]
-        columns[name.split(".")[-1]] = F.coalesce(*loaded)
-        used += [F.when(x.isNotNull(), F.lit(p)) for p, x in zip(paths, loaded)]
-    m = F.expr("cast(_v as map<string, variant>)")
-    taken = F.col("_used")
-    out = out.withColumns({**columns, "_used": F.filter(F.array(*used), lambda x: x.isNotNull()), "_m": m})
-    # An object whose fields were loaded in part is rescued whole: its path, not its name, was taken.
-    rest = F.map_filter("_m", lambda k, v: ~F.array_contains(taken, k) & (F.schema_of_variant(v) != "VOID"))
+    for column, (kind, paths) in target.items():
+        every: list[str] = []
+        for path in paths:
+            parent, _, name = path.rpartition(".")
+            for n in [name, *aliases.get(name, [])]:
+                every += [f"{p}.{n}" for p in [parent, *aliases.get(parent, [])]] if parent else [n]
+        every = list(dict.fromkeys(every))
+        loaded = [_load(F.col("_v"), p, kind) for p in every]
+        columns[column] = F.coalesce(*loaded)
+        used += [F.when(x.isNotNull(), F.lit(p)) for p, x in zip(every, loaded) if "." not in p]
+    out = out.withColumns({**columns, "_used": F.filter(F.array(*used), lambda x: x.isNotNull()), "_m": F.expr("cast(_v as map<string, variant>)")})
+    rest = F.map_filter("_m", lambda k, v: ~F.array_contains(F.col("_used"), k) & (F.schema_of_variant(v) != "VOID"))
     return out.withColumn("_rescued", F.when(F.size(rest) > 0, F.to_json(F.to_variant_object(rest)))).drop("_v", "_m", "_used")
 
 
-#: SQL type to the JSON types that load as it without replay.
-_CASTS = {"bigint": "bigint", "double": "double", "string": "string", "boolean": "boolean"}
+def approved_aliases(changes: DataFrame, min_files: int = 1) -> dict[str, list[str]]:
+    """Names to promote, from the renames of a report: {name: other names of its quantity}.
+
+    Only distinct pairs of names come to the driver; their number is that of the vocabulary, not of files.
+    """
+    leaf = lambda c: F.element_at(F.split(c, "[.]"), -1)
+    pairs = changes.filter("change = 'renamed'").select("feed", "file_no", leaf("old_name").alias("a"), leaf("new_name").alias("b")).filter("a <> b")
+    rows = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_files).collect()
+    near: dict[str, set[str]] = {}
+    for r in rows:
+        near.setdefault(r.a, set()).add(r.b)
+        near.setdefault(r.b, set()).add(r.a)
+    return {k: sorted(v) for k, v in near.items()}
+
+
+def consistent_records(records: DataFrame, changes: DataFrame, target: dict[str, tuple[str, list[str]]], payload: str = "payload") -> DataFrame:
+    """All records in one table: ``ingest`` with the names that the report of changes found promoted."""
+    return ingest(records, payload, target, approved_aliases(changes))
 
 
 def _path(name: str) -> str:

@@ -135,17 +135,21 @@ def _reject(_: str):
     raise ValueError("no JSON")
 
 
-_JSON = json.JSONDecoder(parse_int=_Number, parse_float=_Number, parse_constant=_reject, strict=True)
 _BLANK = " \t\n\r"
 
 
-def _read_object(text: str):
+def json_reader() -> json.JSONDecoder:
+    """A strict reader that keeps numbers as written."""
+    return json.JSONDecoder(parse_int=_Number, parse_float=_Number, parse_constant=_reject, strict=True)
+
+
+def _read_object(text: str, reader: json.JSONDecoder):
     """The object, or None. Nesting too deep for the reader counts as malformed."""
     body = text.strip(_BLANK)
     if not body.startswith("{"):
         return None
     try:
-        value, end = _JSON.raw_decode(body)
+        value, end = reader.raw_decode(body)
     except (ValueError, RecursionError):
         return None
     return value if end == len(body) and isinstance(value, dict) else None
@@ -194,7 +198,7 @@ def _typed(ts, price, quantity, side, signed: bool) -> tuple[str | None, tuple |
     return None, (t, float(p), float(abs(q)), s)
 
 
-def parse_line(line_format: str | None, text: str | None, cache: dict | None = None) -> tuple[str | None, str | None, tuple | None]:
+def parse_line(line_format: str | None, text: str | None, cache: dict | None = None, reader: json.JSONDecoder | None = None) -> tuple[str | None, str | None, tuple | None]:
     """(reason, detail, record): reason is None for a line that loads, detail names the edits of a delimited line.
 
     Null and blank text is 'empty'; a line of an unknown format is 'malformed'.
@@ -218,7 +222,7 @@ def parse_line(line_format: str | None, text: str | None, cache: dict | None = N
         return reason, None, record
     if line_format not in ("trade_jsonl", "flow_jsonl"):
         return "malformed", "unknown format", None
-    value = _read_object(text)
+    value = _read_object(text, reader or json_reader())
     if value is None:
         return "malformed", None, None
     if line_format == "flow_jsonl":
@@ -247,10 +251,11 @@ def parse_lines(df: DataFrame, line_id: str = "line_id", line_format: str = "lin
 
     def run(batches):
         cache: dict = {}
+        reader = json_reader()
         for pdf in batches:
             rows = []
             for i, f, t in zip(pdf["_id"], pdf["_format"], pdf["_text"]):
-                reason, detail, record = parse_line(f, t, cache)
+                reason, detail, record = parse_line(f, t, cache, reader)
                 rows.append((i, reason, detail, *(record or (None,) * 4), None if record is None else f == "flow_jsonl"))
             out = pd.DataFrame(rows, columns=["_id", "reason", "detail", "timestamp", "price", "quantity", "side", "reconstructed"], dtype=object)
             yield out.astype({"timestamp": "Int64", "price": "float64", "quantity": "float64"})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tapewright.functions.common import epoch_ms
 from tapewright.operators.dedup import deliver_once
-from tapewright.operators.drift import ingest, schema_changes
+from tapewright.operators.drift import consistent_records, schema_changes
 from tapewright.operators.intervals import periods_and_gaps
 from tapewright.operators.lineparse import parse_lines
 from tapewright.operators.regrid import regular_grid
@@ -86,11 +86,26 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema_changes(table(spark, sf_dir, "drift_records"))
 
 
-#: Columns of the consistent table and the type each loads as.
+#: Columns of the consistent table: field of the first files, type it loads as.
 P6_TARGET = {
-    "timestamp": "bigint", "price": "double", "quantity": "double", "side": "string", "flow.delta": "double", "flow.price": "double",
-    "agg_trade_id": "bigint", "first_trade_id": "bigint", "last_trade_id": "bigint", "is_buyer_maker": "boolean",
-}
+    "event_ts": ("bigint", ["timestamp", "ts"]),
+    "price": ("double", ["price", "flow.price"]),
+    "quantity": ("double", ["quantity", "qty"]),
+    "delta": ("double", ["flow.delta"]),
+    "side": ("string", ["side"]),
+    "agg_trade_id": ("bigint", ["agg_trade_id"]),
+    "first_trade_id": ("bigint", ["first_trade_id"]),
+    "last_trade_id": ("bigint", ["last_trade_id"]),
+    "is_buyer_maker": ("boolean", ["is_buyer_maker"]),
+}
+
+
+@REGISTRY.query("p6_records")
+def p6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = table(spark, sf_dir, "drift_records")
+    changes = schema_changes(records)
+    return consistent_records(records, changes, P6_TARGET).select("record_id", "feed", "file_no", *P6_TARGET, "_rescued")
+
 
 QUANTILES = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
 _P7 = ["volume_50", "range_50"]
