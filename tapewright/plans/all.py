@@ -6,7 +6,7 @@ import importlib
 
 from tapewright.plans.registry import Registry
 
-MODULES = ["tapewright.plans.quality"]
+MODULES = ["tapewright.plans.quality", "tapewright.plans.market"]
 
 
 def registries() -> list[Registry]:
