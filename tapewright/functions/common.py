@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -19,7 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base
-    base = "file://" + tempfile.mkdtemp(prefix="tapewright-")
+    folder = tempfile.mkdtemp(prefix="tapewright-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    base = "file://" + folder
     spark.conf.set("spark.checkpoint.dir", base)
     return base
 

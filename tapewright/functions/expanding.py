@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapewright.functions.common import with_positions
+from tapewright.functions.common import materialize, with_positions
 
 
 class _Counts:
@@ -92,6 +92,8 @@ def expanding_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float, int]]
     ``position`` numbers the rows of a key from 0. Null and NaN are no values. Linear interpolation, as pandas has it. A key that starts and ends within one shard
     is done without the exchange of buckets' counts mattering: it has no earlier shard. Repeated values are counted as often as they occur.
     """
+    # Read several times below: written once, whatever it took to make it.
+    df = materialize(df, "expanding")
     names = [f"_k{i}" for i in range(len(keys))]
     shard = F.floor(F.col(position) / F.lit(shard_rows))
     columns = sorted({c for c, _, _ in wanted.values()})
@@ -103,6 +105,7 @@ def expanding_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float, int]]
     hash_order = ["v", "_p"]
     ranked = with_positions(valued, key, hash_order, _value_slice("v"))
     ranked = ranked.select(*key, "_p", "_s", "v", F.floor(F.col("_pos") / F.lit(bucket_rows)).alias("_b"))
+    ranked = materialize(ranked, "ranked")
     counts = ranked.groupBy(*key, "_s", "_b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"))
     # Per shard and wanted quantile: which buckets of earlier shards are needed, and how many values lie below.
     per_shard = counts.groupBy(*key, "_s").agg(F.sum("n").alias("own"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tapewright.functions.common import with_positions
 
-SHARD_ROWS = 65_536
+SHARD_ROWS = 16_384
 #: Width of the time buckets that positions are counted in.
 BUCKET_MS = 3_600_000
 

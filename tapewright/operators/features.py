@@ -6,7 +6,7 @@ Row frames run over shards with a halo (``functions.halo``), so no symbol is one
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tapewright.functions.common import finite, require_columns, with_positions
@@ -25,23 +25,45 @@ THRESHOLDS = {
 }
 
 
-def _full(col: str, frame: WindowSpec, n: int, value: Column) -> Column:
-    """``value`` where the frame holds ``n`` values."""
-    return F.when(F.count(col).over(frame) >= n, value)
+_HELPERS = {f"{k}{n}" for k in ("_cd", "_cq", "_cp") for n in ("", "n")} | {f"_{x}{k}" for x in "hl" for k in range(64)}
+#: Internal running columns: sums of delta, quantity and price, counts of their values.
+_RUNNING = {"_cd": "delta", "_cq": "quantity", "_cp": "price"}
 
 
-def _dsum(col: str, frame: WindowSpec) -> Column:
-    return F.sum(F.col(col).cast("decimal(28,8)")).over(frame).cast("double")
+def _running(df: DataFrame, w: WindowSpec) -> DataFrame:
+    """Running sums (decimal, so that differences are exact) and counts: any frame's sum is then the difference of two rows."""
+    f = w.rowsBetween(Window.unboundedPreceding, 0)
+    sums = {k: F.sum(F.col(c).cast("decimal(28,8)")).over(f) for k, c in _RUNNING.items()}
+    return df.withColumns({**sums, **{f"{k}n": F.count(c).over(f) for k, c in _RUNNING.items()}})
+
+
+def _extremes(df: DataFrame, w: WindowSpec, longest: int) -> DataFrame:
+    """Highest and lowest price of the last 1, 2, 4, ... rows, each from two of the step before: a frame of any length is then covered by two of them."""
+    df, k = df.withColumns({"_h0": F.col("price"), "_l0": F.col("price")}), 0
+    while 2 ** (k + 1) <= longest:
+        df = df.withColumns({f"_h{k + 1}": F.greatest(f"_h{k}", F.lag(f"_h{k}", 2**k).over(w)), f"_l{k + 1}": F.least(f"_l{k}", F.lag(f"_l{k}", 2**k).over(w))})
+        k += 1
+    return df
+
+
+def _frame(w: WindowSpec, n: int, shift: int = 0):
+    """Sum, count, highest and lowest of the ``n`` rows that end ``shift`` rows before this one."""
+    back = lambda c, k: F.lag(c, k).over(w) if k else F.col(c)
+    total = lambda c: (back(c, shift) - F.coalesce(F.lag(c, n + shift).over(w), F.lit(0))).cast("double")
+    full = lambda c: back(f"{c}n", shift) - F.coalesce(F.lag(f"{c}n", n + shift).over(w), F.lit(0)) >= n
+    k = n.bit_length() - 1
+    high = F.greatest(back(f"_h{k}", shift), back(f"_h{k}", shift + n - 2**k))
+    low = F.least(back(f"_l{k}", shift), back(f"_l{k}", shift + n - 2**k))
+    return total, full, high, low
 
 
 def rolling_columns(w: WindowSpec, n: int) -> dict[str, Column]:
     """delta, volume, pressure, range and speed over the last ``n`` events."""
-    f = w.rowsBetween(-(n - 1), 0)
-    delta, volume = _full("delta", f, n, _dsum("delta", f)), _full("quantity", f, n, _dsum("quantity", f))
+    total, full, high, low = _frame(w, n)
+    delta, volume = F.when(full("_cd"), total("_cd")), F.when(full("_cq"), total("_cq"))
     dt = F.col("timestamp") - F.lag("timestamp", n).over(w)
     return {
-        f"delta_{n}": delta, f"volume_{n}": volume, f"pressure_{n}": F.try_divide(delta, volume),
-        f"range_{n}": _full("price", f, n, F.max("price").over(f) - F.min("price").over(f)),
+        f"delta_{n}": delta, f"volume_{n}": volume, f"pressure_{n}": F.try_divide(delta, volume), f"range_{n}": F.when(full("_cp"), high - low),
         f"speed_{n}": F.when(dt >= MIN_DT_MS, F.least(n / (dt / 1000.0), F.lit(SPEED_CAP))),
     }
 
@@ -59,9 +81,9 @@ def target_columns(w: WindowSpec, n: int) -> dict[str, Column]:
 
 def location_columns(w: WindowSpec, n: int) -> dict[str, Column]:
     """High, low and mean of the ``n`` events before, and where the price lies between them."""
-    f = w.rowsBetween(-n, -1)
-    high, low = _full("price", f, n, F.max("price").over(f)), _full("price", f, n, F.min("price").over(f))
-    return {f"rolling_high_{n}": high, f"rolling_low_{n}": low, f"rolling_mean_{n}": _full("price", f, n, _dsum("price", f) / n), f"position_{n}": F.try_divide(F.col("price") - low, high - low)}
+    total, full, high, low = _frame(w, n, shift=1)
+    high, low = F.when(full("_cp"), high), F.when(full("_cp"), low)
+    return {f"rolling_high_{n}": high, f"rolling_low_{n}": low, f"rolling_mean_{n}": F.when(full("_cp"), total("_cp") / n), f"position_{n}": F.try_divide(F.col("price") - low, high - low)}
 
 
 def location_bin(position: Column) -> Column:
@@ -80,7 +102,9 @@ def event_windows(tape: DataFrame, windows: tuple[int, ...] = WINDOWS, locations
                 cols |= target_columns(w, n)
         for n in locations:
             cols |= location_columns(w, n)
-        out = df.withColumns(cols)
+        helped = _extremes(_running(df, w), w, max([*windows, *locations]))
+        out = helped.withColumns(cols)
+        out = out.drop(*[c for c in out.columns if c in _HELPERS])
         return out.withColumn("location_bin", location_bin(F.col("position_200"))) if 200 in locations else out
 
     back = max([*windows, *locations]) + 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapewright.functions.common import require_columns
+from tapewright.functions.common import materialize, require_columns
 from tapewright.functions.halo import over_shards
 from tapewright.operators.features import regime
 
@@ -43,6 +43,7 @@ def best_condition(table: DataFrame, **equal) -> DataFrame:
 def _runs(df: DataFrame, column: str) -> DataFrame:
     """Runs of equal ``column`` per symbol: where they begin and how long they are. Neighbours are looked up in shards."""
     marked = over_shards(df, lambda d, w: d.withColumn("_prev", F.lag(F.struct(F.col(column).alias("v"))).over(w)), 1, 1)
+    marked = materialize(marked.select("symbol", column, "event_idx", "_prev"), "runs")
     starts = marked.filter(F.col("_prev").isNull() | ~F.col("_prev.v").eqNullSafe(F.col(column))).select("symbol", column, "event_idx")
     ends = marked.groupBy("symbol").agg((F.max("event_idx") + 1).alias("_end"))
     # The next start is that of another run: again within shards of the starts.

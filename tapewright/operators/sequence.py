@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from tapewright.functions.common import require_columns
+from tapewright.functions.common import materialize, require_columns
 from tapewright.functions.halo import SHARD_ROWS, over_shards
 
 REQUIRED = ["symbol", "seq", "timestamp", "price", "pressure_50", "pressure_bin", "speed_50", "speed_bin", "absorption_flag", "location_bin", "regime", "target_50_gap"]
@@ -105,7 +105,8 @@ def pattern_summary(seq: DataFrame, lookback: int = 5) -> DataFrame:
 
 def resolution_statistics(seq: DataFrame, lookback: int = 5) -> DataFrame:
     """Labels with counts, mean and median target and share of confirmed winners; and two rows of metrics."""
-    use = seq.filter(F.col("resolution_label").isNotNull())
+    columns = ["resolution_label", "target_50_gap", "winner_confirmed", "state_absorption", "state_key", f"absorption_pattern_{lookback}"]
+    use = materialize(seq.filter(F.col("resolution_label").isNotNull()).select(*columns), "resolved")
     total = use.agg(F.count(F.lit(1)).alias("_total"))
     per = use.groupBy("resolution_label").agg(F.count(F.lit(1)).alias("samples"), F.avg("target_50_gap").alias("avg_target_50_gap"), F.percentile("target_50_gap", F.lit(0.5)).alias("median_target_50_gap"), F.avg(F.col("winner_confirmed").cast("double")).alias("winner_confirmation_rate"))
     # One row beside a row per label.
