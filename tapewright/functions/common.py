@@ -21,16 +21,35 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base
-    folder = tempfile.mkdtemp(prefix="tapewright-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    base = "file://" + folder
+    base = "file://" + tempfile.mkdtemp(prefix="tapewright-")
+    atexit.register(_remove, base)
     spark.conf.set("spark.checkpoint.dir", base)
     return base
 
 
+def _remove(path: str) -> None:
+    """Delete a folder made by this process, at its end."""
+    spark = SparkSession.getActiveSession()
+    if path.startswith(("file:", "/")):
+        shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
+    elif spark is not None:
+        try:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        except Exception:  # the session may be gone already
+            pass
+
+
+def work_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, deleted when this process ends."""
+    path = os.path.join(shared_dir(spark), f"tapewright-{label}-{uuid.uuid4().hex}")
+    atexit.register(_remove, path)
+    return path
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = os.path.join(shared_dir(df.sparkSession), f"tapewright-{label}-{uuid.uuid4().hex}")
+    path = work_path(df.sparkSession, label)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapewright.functions.common import require_columns, shared_dir
+from tapewright.functions.common import require_columns, work_path
 
 #: Codes in one bitmap, as Spark's bitmap functions have it.
 BITS = 32_768
@@ -51,7 +51,7 @@ def encode_and_select(df: DataFrame, identifier: list[Column], message: str, sta
     in neither result. Everything made is written below ``folder``.
     """
     spark = df.sparkSession
-    folder = folder or os.path.join(shared_dir(spark), f"tapewright-dedup-{uuid.uuid4().hex}")
+    folder = folder or work_path(spark, "dedup")
     shards = state.shards if state else shards
     ids = _id_columns(len(identifier))
     rows = df.select(*[c.alias(n) for c, n in zip(identifier, ids)], F.col(message).cast("long").alias("_m")).dropna()
@@ -131,7 +131,7 @@ def deliver_once(df: DataFrame, identifier: list[Column], message: str, root: st
     spark = df.sparkSession
     state = load_state(spark, root) if root else None
     done = encode_and_select(df, identifier, message, state, shards)
-    root = root or os.path.join(shared_dir(spark), f"tapewright-seen-{uuid.uuid4().hex}")
+    root = root or work_path(spark, "seen")
     commit_state(spark, root, done.state)
     chosen = done.kept.select(F.col("message").alias("_tw_message"))
     known = F.lit(True)

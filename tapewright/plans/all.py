@@ -6,7 +6,7 @@ import importlib
 
 from tapewright.plans.registry import Registry
 
-MODULES = ["tapewright.plans.quality", "tapewright.plans.market", "tapewright.plans.research"]
+MODULES = ["tapewright.plans.quality", "tapewright.plans.market", "tapewright.plans.research", "tapewright.plans.desk"]
 
 
 def registries() -> list[Registry]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -150,11 +150,7 @@ def clean_bars(df: DataFrame) -> DataFrame:
 
 def trades_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event stream as a tape of one symbol."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return e.select(
-        F.lit("EVT").alias("symbol"), F.col("event_id").alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"), F.col("value").alias("price"),
-        (F.get_json_object("props", "$.k").cast("double") + 1).alias("qty"), F.col("event_type").isin("click", "view").alias("is_buyer_maker"),
-    )
+    return events_as_tape(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
 def trades_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,6 +168,23 @@ def feature_tape(trades: DataFrame) -> DataFrame:
     return trades.select("symbol", "seq", "timestamp", "price", F.col("qty").alias("quantity"), side.alias("side"), F.when(F.col("is_buyer_maker"), -F.col("qty")).otherwise(F.col("qty")).alias("delta"), F.lit(False).alias("reconstructed"))
 
 
+def stream_files(spark: SparkSession, path: str) -> DataFrame:
+    """A stream of the parquet file or folder at ``path``. A single file is watched by its name in its folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    is_file = place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isFile()
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    folder, _, name = path.rpartition("/")
+    return reader.option("pathGlobFilter", name).parquet(folder) if is_file else reader.parquet(path)
+
+
+def events_as_tape(e: DataFrame) -> DataFrame:
+    """The event table, still or streaming, as a tape of one symbol."""
+    return e.select(
+        F.lit("EVT").alias("symbol"), F.col("event_id").alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"), F.col("value").alias("price"),
+        (F.get_json_object("props", "$.k").cast("double") + 1).alias("qty"), F.col("event_type").isin("click", "view").alias("is_buyer_maker"),
+    )
+
+
 def session_id(ts_ms: Column, hour: int = 13, minute: int = 30) -> Column:
     """First day of the 24 h session (UTC) an instant falls in, as text."""
     shift = (hour * 60 + minute) * 60_000
@@ -192,7 +205,3 @@ def parse_session_date(value: str) -> dt.date:
         except ValueError:
             pass
     raise ValueError(f"expected YYYY-MM-DD or DDMMYYYY: {value}")
-
-
-def first_in_order(*cols: str) -> Window:
-    return Window.partitionBy("symbol").orderBy(*cols)
