@@ -58,17 +58,19 @@ def bars(spark, sf_dir) -> DataFrame:
     return c.select("symbol", F.col("timestamp_ms").alias("seq"), F.col("timestamp_ms").alias("timestamp"), "open", "high", "low", "close", "volume", S.session_id(F.col("timestamp_ms")).alias("session_id"))
 
 
-def _signal():
-    return F.when(F.col("close") > F.col("open"), 1).when(F.col("close") < F.col("open"), -1).otherwise(0)
+def _signal(size: float = 1.0):
+    return F.when(F.col("close") > F.col("open"), size).when(F.col("close") < F.col("open"), -size).otherwise(0.0)
 
 
-_VB = f"""{BARS}, v0 as (select *, lag(signal) over w as position, close / lag(close) over w - 1 as ret, lag(signal) over w - lag(signal, 2) over w as dp from sig window w as (partition by symbol order by t)),
+# A hundredth of the capital is put at stake: prices of the test tape jump by far more than real ones.
+_VB = f"""{BARS}, s1 as (select * exclude (signal), signal * cast(0.01 as double) as signal from sig),
+v0 as (select *, lag(signal) over w as position, close / lag(close) over w - 1 as ret, lag(signal) over w - lag(signal, 2) over w as dp from s1 window w as (partition by symbol order by t)),
 v1 as (select *, abs(dp) * cast(0.001 as double) as cost, position * ret - abs(dp) * cast(0.001 as double) as sr from v0),
 v2 as (select *, case when event_idx = 0 then 100000.0 when sr is not null then 100000.0 * product(1 + coalesce(sr, 0)) over (partition by symbol order by t rows unbounded preceding) end as equity from v1)"""
 
 
 def _curve(spark, sf_dir) -> DataFrame:
-    return B.vectorized_backtest(bars(spark, sf_dir), _signal())
+    return B.vectorized_backtest(bars(spark, sf_dir), _signal(0.01))
 
 
 @REGISTRY.query("bt_vectorized", f"with {_VB} select symbol, t as \"timestamp\", cast(position as double) as position, round(ret, 9) as ret, round(cost, 9) as cost, round(sr, 9) as strategy_return, round(equity, 3) as equity from v2")
