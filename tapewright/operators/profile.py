@@ -6,15 +6,22 @@ session, whose number is a parameter, so no window ever sees a session's trades.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tapewright.functions.common import require_columns
 from tapewright.sources.tape import exact_sum, session_id
 
 KEY = ["symbol", "session_id"]
-_BINS = Window.partitionBy(*KEY).orderBy("bin_index")
-_ALL = Window.partitionBy(*KEY)
+
+
+def _bins_window() -> WindowSpec:
+    """The bins of a session in order."""
+    return Window.partitionBy(*KEY).orderBy("bin_index")
+
+
+def _session_window() -> WindowSpec:
+    return Window.partitionBy(*KEY)
 
 
 def profile_bins(trades: DataFrame, n_bins: int = 50) -> DataFrame:
@@ -57,7 +64,7 @@ def value_area(bins: DataFrame, share: float = 0.7, tie_up: bool = False) -> Dat
     b = b.withColumn("_m", F.min("total_volume").over(outward))
     order = Window.partitionBy(*KEY).orderBy((F.col("_dist") == 0).desc(), F.col("_m").desc(), F.col("_side").desc() if tie_up else F.col("_side").asc(), F.col("_dist").asc())
     v = F.col("total_volume").cast("decimal(28,8)")
-    b = b.withColumn("_before", F.coalesce(F.sum(v).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("decimal(38,8)"))).withColumn("_total", F.sum(v).over(_ALL))
+    b = b.withColumn("_before", F.coalesce(F.sum(v).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("decimal(38,8)"))).withColumn("_total", F.sum(v).over(_session_window()))
     inside = (F.col("_dist") == 0) | (F.col("_before") < F.col("_total") * F.lit(share).cast("decimal(6,4)"))
     return b.filter(inside).groupBy(*KEY).agg(F.min("bin_low").alias("val"), F.max("bin_high").alias("vah"), F.min("bin_index").alias("val_bin"), F.max("bin_index").alias("vah_bin"))
 
@@ -65,9 +72,9 @@ def value_area(bins: DataFrame, share: float = 0.7, tie_up: bool = False) -> Dat
 def density(bins: DataFrame) -> DataFrame:
     """Bins with their smoothed volume (three bins, edges repeated), its share of the session's largest, and the regime hvn, lvn or neutral."""
     x = F.col("total_volume")
-    smooth = (F.coalesce(F.lag("total_volume").over(_BINS), x) + x + F.coalesce(F.lead("total_volume").over(_BINS), x)) / 3.0
+    smooth = (F.coalesce(F.lag("total_volume").over(_bins_window()), x) + x + F.coalesce(F.lead("total_volume").over(_bins_window()), x)) / 3.0
     d = bins.withColumn("smoothed", smooth)
-    top = F.max("smoothed").over(_ALL)
+    top = F.max("smoothed").over(_session_window())
     d = d.withColumn("density", F.when(top > 0, F.col("smoothed") / top).otherwise(0.0))
     return d.withColumn("regime", F.when(F.col("density") >= 0.65, "hvn").when(F.col("density") <= 0.20, "lvn").otherwise("neutral"))
 
@@ -75,8 +82,8 @@ def density(bins: DataFrame) -> DataFrame:
 def regions(bins: DataFrame) -> DataFrame:
     """Runs of high (hvn) and low (lvn) density. A low run counts only inside the profile and between clearly denser neighbours."""
     d = density(bins)
-    d = d.withColumn("_start", (F.coalesce(F.lag("regime").over(_BINS), F.lit("")) != F.col("regime")).cast("int"))
-    d = d.withColumn("_run", F.sum("_start").over(_BINS)).withColumn("_left", F.lag("density").over(_BINS)).withColumn("_right", F.lead("density").over(_BINS))
+    d = d.withColumn("_start", (F.coalesce(F.lag("regime").over(_bins_window()), F.lit("")) != F.col("regime")).cast("int"))
+    d = d.withColumn("_run", F.sum("_start").over(_bins_window())).withColumn("_left", F.lag("density").over(_bins_window())).withColumn("_right", F.lead("density").over(_bins_window()))
     dominant = F.max_by(F.struct("bin_index", "bin_low", "bin_high"), F.struct("total_volume", -F.col("bin_index")))
     r = d.filter("regime <> 'neutral'").groupBy(*KEY, "_run", "regime").agg(
         F.min("bin_index").alias("start_bin"), F.max("bin_index").alias("end_bin"), dominant.alias("_d"), F.max("density").alias("max_density"), F.avg("density").alias("mean_density"),
@@ -108,16 +115,16 @@ def watch_zones(bins: DataFrame, areas: DataFrame, limit: int = 6) -> DataFrame:
     vol, dlt = F.col("total_volume"), F.abs("delta")
 
     def mean_of(offsets: list[int], what: Column) -> Column:
-        near = [F.lag(what, k).over(_BINS) if k > 0 else F.lead(what, -k).over(_BINS) for k in offsets]
+        near = [F.lag(what, k).over(_bins_window()) if k > 0 else F.lead(what, -k).over(_bins_window()) for k in offsets]
         total = sum((F.coalesce(x, F.lit(0.0)) for x in near[1:]), F.coalesce(near[0], F.lit(0.0)))
         count = sum((x.isNotNull().cast("int") for x in near[1:]), near[0].isNotNull().cast("int"))
         return F.try_divide(total, count)
 
     b = b.withColumn("_m1", mean_of([1, -1], vol)).withColumn("_m2", mean_of([2, 1, -1, -2], vol)).withColumn("_d1", mean_of([1, -1], dlt))
-    b = b.withColumn("_mean", F.sum("total_volume").over(_ALL) / F.count(F.lit(1)).over(_ALL))
+    b = b.withColumn("_mean", F.sum("total_volume").over(_session_window()) / F.count(F.lit(1)).over(_session_window()))
     ranked = Window.partitionBy(*KEY).orderBy("total_volume", "bin_index")
-    b = b.withColumn("_rn", F.row_number().over(ranked) - 1).withColumn("_cnt", F.count(F.lit(1)).over(_ALL))
-    b = b.withColumn("_q75", F.max(F.when(F.col("_rn") == F.floor(0.75 * (F.col("_cnt") - 1)), vol)).over(_ALL))
+    b = b.withColumn("_rn", F.row_number().over(ranked) - 1).withColumn("_cnt", F.count(F.lit(1)).over(_session_window()))
+    b = b.withColumn("_q75", F.max(F.when(F.col("_rn") == F.floor(0.75 * (F.col("_cnt") - 1)), vol)).over(_session_window()))
     floor_ = F.lit(1e-12)
     prominence = vol / F.greatest("_m2", floor_)
     divergence = (vol - F.col("_m1")) / F.greatest("_m1", floor_)
@@ -165,7 +172,7 @@ def profile_overlay(bins: DataFrame, areas: DataFrame, clamp: DataFrame, delta_s
     b = bins.join(areas.select(*KEY, "val", "vah"), KEY).join(clamp.select(*KEY, "clamp_low", "clamp_high"), KEY)
     b = b.filter((F.col("bin_high") >= F.col("clamp_low")) & (F.col("bin_low") <= F.col("clamp_high")))
     b = b.withColumn("low", F.greatest("bin_low", "clamp_low")).withColumn("high", F.least("bin_high", "clamp_high")).filter("high > low")
-    top_v, top_d = F.max(F.when(F.col("total_volume") > 0, F.col("total_volume"))).over(_ALL), F.max(F.when(F.col("delta") != 0, F.abs("delta"))).over(_ALL)
+    top_v, top_d = F.max(F.when(F.col("total_volume") > 0, F.col("total_volume"))).over(_session_window()), F.max(F.when(F.col("delta") != 0, F.abs("delta"))).over(_session_window())
     return b.select(
         *KEY, "bin_index", "low", "high", "total_volume", "delta", ((F.col("bin_low") > F.col("val")) & (F.col("bin_high") < F.col("vah"))).alias("in_value_area"),
         F.coalesce((1 - delta_share) * F.try_divide("total_volume", top_v), F.lit(0.0)).alias("volume_width"), F.coalesce(delta_share * F.try_divide(F.abs("delta"), top_d), F.lit(0.0)).alias("delta_width"),
