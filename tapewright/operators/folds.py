@@ -99,6 +99,22 @@ class SignalMachine:
         self.before: dict | None = None
         self.undecided = self.confirmed_for = self.flips = self.absorbed = 0
 
+    def save(self) -> dict:
+        """The whole state in plain values, for a store between batches."""
+        plain = {k: v for k, v in vars(self).items() if k not in ("speeds", "pressures", "sides")}
+        return plain | {"speeds": (self.speeds.size, list(self.speeds.order)), "pressures": (self.pressures.size, list(self.pressures.order)), "sides": list(self.sides)}
+
+    def restore(self, saved: dict) -> None:
+        for k, v in saved.items():
+            if k in ("speeds", "pressures"):
+                memory = RecentQuantile(v[0])
+                for x in v[1]:
+                    memory.push(x)
+                v = memory
+            elif k == "sides":
+                v = deque(v, maxlen=3)
+            setattr(self, k, v)
+
     # -- judgements -----------------------------------------------------------------------------------
 
     def resolve(self, e: dict) -> tuple[str, str | None]:

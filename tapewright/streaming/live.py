@@ -121,12 +121,14 @@ def signal_machine_stream(tagged: DataFrame, window: int = 100, max_events: int
     import pickle
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        machine = pickle.loads(state.get[0]) if state.exists else SignalMachine(window, max_events)
+        machine = SignalMachine(window, max_events)
+        if state.exists:
+            machine.restore(pickle.loads(state.get[0]))
         rows = []
         for pdf in pdfs:
             for r in pdf.sort_values(["timestamp", "seq"], kind="stable").to_dict("records"):
                 rows += [{"symbol": key[0], **o} for o in machine.step(r)]
-        state.update((pickle.dumps(machine),))
+        state.update((pickle.dumps(machine.save()),))
         yield pd.DataFrame(rows, columns=[x.split()[0] for x in SIGNAL_SCHEMA.split(", ")])
 
     return tagged.groupBy("symbol").applyInPandasWithState(step, SIGNAL_SCHEMA, "machine binary", "append", "NoTimeout")
