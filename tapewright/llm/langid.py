@@ -42,7 +42,7 @@ SMOOTHING = 0.004
 TRAIN_DOCUMENTS = 500
 #: Prior of the main language for a line, prior of the label for the main language, least share of a window's probability, and the posterior of the main
 #: language up to which a line is another's: higher for lines of at least so many letters.
-MAIN_PRIOR, LABEL_PRIOR, LEAST_PROBABILITY = 0.9, 0.6, 1e-5
+MAIN_PRIOR, LABEL_PRIOR, LEAST_PROBABILITY = 0.75, 0.6, 1e-5
 LINE_LETTERS, LONG_POSTERIOR, SHORT_POSTERIOR = 20, 0.4, 0.03
 
 
