@@ -2,14 +2,16 @@ import pytest
 
 pytest.importorskip("tapewright.llm")
 
-from tapewright.llm.langid import LANGUAGES, detect, fit, judge, label_language, line_scores, prose_lines, to_bytes, train, wrong_labels  # noqa: E402
+from tapewright.llm.langid import LANGUAGES, detect, fit_tables, judge, label_language, line_scores, prose_lines, to_bytes, train, wrong_labels  # noqa: E402
+
+
+MIDDLE = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
-def net(spark, sf):
-    samples = [(r["lang"], r["text"]) for r in spark.read.parquet(f"{sf}/lang_samples.parquet").collect()]
-    docs = [(label_language(r["lang"]), r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    return fit(samples, [(c, t) for c, t in docs if c], steps=150)
+def net(spark):
+    """Trained as in production, on the middle tables."""
+    return fit_tables(spark, spark.read.parquet(f"{MIDDLE}/lang_samples.parquet"), spark.read.parquet(f"{MIDDLE}/documents.parquet"))
 
 
 def test_labels():
@@ -26,15 +28,15 @@ def test_prose_without_code_links_numbers():
 
 
 def test_held_out_accuracy(spark, sf, net):
-    # Other rows than those trained on: the larger table's labels are mostly right.
-    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text", "lang").collect()
+    # Other rows than those trained on; their labels are mostly right.
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("doc_id % 5 = 0").select("text", "lang").collect()
     lines = [(label_language(r["lang"]), prose_lines(r["text"])) for r in rows]
     lines = [(c, p) for c, p in lines if c and sum(len(x) for _, x in p) >= 20]
     hits = 0
     for c, p in lines:
         main, _, _ = judge(p, line_scores(net, [to_bytes(x) for _, x in p]))
         hits += LANGUAGES[main] == c
-    assert hits / len(lines) > 0.8  # a twelfth or so of the labels is wrong
+    assert hits / len(lines) > 0.88  # a thirteenth or so of the labels is wrong
 
 
 def test_gradient_lowers_loss():
