@@ -66,3 +66,24 @@ def percentiles(states: DataFrame, keys: list[str], values: list[str], quantiles
     rows = states.select(*keys, per.alias("_p")).select(*keys, "_p.*")
     answers = F.when(F.col("state").isNotNull(), F.call_function("kll_sketch_get_quantile_double", F.col("state"), q))
     return rows.select(*keys, "field", "n", q.alias("quantiles"), answers.alias("answers"), "state")
+
+
+def rank_errors(df: DataFrame, answers: DataFrame, keys: list[str], row_id: str | None = None) -> DataFrame:
+    """Exact check of ``percentiles``: per group and field the largest distance of an answer's ranks from the rank asked for (``worst``), and ``n``.
+
+    ``answers`` is a row per group and field; the values meet it by key. Ties: an answer holds all ranks of its equals, so the distance is to the nearest of them.
+    """
+    fields = [r["field"] for r in answers.select("field").distinct().collect()]
+    rows = df.select(*([row_id] if row_id else []), *keys, *[_valid(f).alias(f) for f in fields])
+    if row_id:
+        rows = rows.dropDuplicates([row_id])
+    per = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("v")) for f in fields]))
+    tall = rows.select(*keys, per.alias("_x")).select(*keys, "_x.field", "_x.v").filter("v is not null")
+    a = answers.select(*[F.col(k).alias(f"_a_{k}") for k in keys], F.col("field").alias("_f"), "quantiles", "answers")
+    cond = tall["field"] == a["_f"]
+    for k in keys:
+        cond = cond & tall[k].eqNullSafe(a[f"_a_{k}"])
+    hit = tall.join(a, cond).select(*keys, "field", "v", F.posexplode(F.arrays_zip("quantiles", "answers")).alias("i", "qa"))
+    ranks = hit.groupBy(*keys, "field", "i").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("v") < F.col("qa.answers")).alias("below"), F.count_if(F.col("v") <= F.col("qa.answers")).alias("upto"), F.first("qa.quantiles").alias("q"))
+    off = F.greatest(F.col("below") / F.col("n") - F.col("q"), F.col("q") - F.col("upto") / F.col("n"), F.lit(0.0))
+    return ranks.groupBy(*keys, "field").agg(F.max("n").alias("n"), F.max(off).alias("worst"))
