@@ -100,10 +100,11 @@ def forward_returns(rows: DataFrame, key: str, horizons_ms: tuple[int, ...] = (3
         # In each bucket, rows and questions in one order; an answer is the next row at or after the question.
         marks = asked.select("_k", "_b", F.col("_at").alias("_t"), F.lit(0).alias("_kind"), F.struct("seq", "timestamp", "price", *[c for c in asked.columns if c not in ("_k", "_b", "_at", "seq", "timestamp", "price")]).alias("_q"), F.lit(None).cast("double").alias("_p"))
         facts = first.select("_k", "_b", F.col("timestamp").alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast(marks.schema["_q"].dataType).alias("_q"), "_p")
-        w = Window.partitionBy("_k", "_b").orderBy("_t", "_kind").rowsBetween(0, Window.unboundedFollowing)
-        both = marks.unionByName(facts).withColumn("_in", F.first("_p", ignorenulls=True).over(w)).filter("_kind = 0")
+        # Backwards in time, so that the frame only grows: its cost is one step a row.
+        w = Window.partitionBy("_k", "_b").orderBy(F.col("_t").desc(), F.col("_kind").desc()).rowsBetween(Window.unboundedPreceding, 0)
+        both = marks.unionByName(facts).withColumn("_in", F.last("_p", ignorenulls=True).over(w)).filter("_kind = 0")
         buckets = both.select("_k", "_b").distinct().join(heads.select(F.col("_k").alias("_hk"), F.col("_b").alias("_hb"), "_head"), F.col("_k").eqNullSafe(F.col("_hk")) & (F.col("_b") == F.col("_hb")), "left").select("_k", "_b", "_head")
-        later = heads.select("_k", "_b", "_head").unionByName(buckets.filter("_head is null")).withColumn("_next", F.first("_head._p", ignorenulls=True).over(Window.partitionBy("_k").orderBy("_b").rowsBetween(1, Window.unboundedFollowing)))
+        later = heads.select("_k", "_b", "_head").unionByName(buckets.filter("_head is null")).withColumn("_next", F.last("_head._p", ignorenulls=True).over(Window.partitionBy("_k").orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)))
         later = later.select(F.col("_k").alias("_lk"), F.col("_b").alias("_lb"), "_next")
         j = both.join(later, both["_k"].eqNullSafe(later["_lk"]) & (both["_b"] == later["_lb"]), "left")
         target = F.coalesce("_in", "_next")
