@@ -86,7 +86,7 @@ def iqr_outliers(values: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def forward_returns(rows: DataFrame, key: str, horizons_ms: tuple[int, ...] = (3_000, 10_000), carry: tuple[str, ...] = ()) -> DataFrame:
-    """Relative price change to the first later row at least a horizon ahead. Rows without such a row have null.
+    """Relative price change to the first later row at least a horizon ahead. Rows without such a row, and rows of price 0, have null.
 
     Input: ``key``, ``seq``, ``timestamp``, ``price``. Of several rows at the target instant the first (by seq) counts. As-of join by time buckets: a row looks into the
     bucket of its target and, through one row per bucket, at the first row of the next bucket that has one; no key is one task.

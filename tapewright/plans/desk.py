@@ -158,7 +158,7 @@ def gap_stats(spark, sf_dir):
     return A.gap_stats(tape(spark, sf_dir))
 
 
-_FWD = f"""{TAPE}, fr as (select a.symbol, a.seq, a.price, a.is_buyer_maker, (b.price - a.price) / a.price as ret_3s, (c.price - a.price) / a.price as ret_600s
+_FWD = f"""{TAPE}, fr as (select a.symbol, a.seq, a.price, a.is_buyer_maker, (b.price - a.price) / nullif(a.price, 0) as ret_3s, (c.price - a.price) / nullif(a.price, 0) as ret_600s
  from tape a asof left join (select symbol, "timestamp" as t, first(price order by seq) as price from tape group by 1, 2) b on a.symbol = b.symbol and a."timestamp" + 3000 <= b.t
  asof left join (select symbol, "timestamp" as t, first(price order by seq) as price from tape group by 1, 2) c on a.symbol = c.symbol and a."timestamp" + 600000 <= c.t)"""
 
