@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapewright.functions.common import require_columns
+from tapewright.functions.common import materialize, require_columns
 
 _TOKEN = r"(-?[0-9]+(?:[.][0-9]+)?(?:[eE][+-]?[0-9]+)?|[\\p{L}_][\\p{L}0-9_]*)"
 _KEYS = r'"(?:[^"\\\\]|\\\\.)*"\\s*:'
@@ -274,7 +274,8 @@ def schema_changes(df: DataFrame, feed: str = "feed", kind: str = "feed_kind", f
     require_columns(df, [feed, kind, file_no, payload])
     src = df.filter(F.col(file_no).isNotNull()).select(F.col(feed).alias("feed"), F.col(kind).alias("kind"), F.col(file_no).cast("long").alias("file_no"), F.col(payload).alias("payload"))
     keys = ["feed", "kind", "file_no"]
-    profile = field_profile(field_entries(src, keys, "payload"), keys)
+    # Used for the files and for names held together: written, so that the records are taken apart once.
+    profile = materialize(field_profile(field_entries(src, keys, "payload"), keys), "profile")
     # From here on: rows of files and their fields, no records. A file without any field must still be there.
     empty = src.select(*keys).distinct()
     files = profile.groupBy(*keys).agg(F.collect_list(F.struct(*_FIELD)).alias("fields"))
