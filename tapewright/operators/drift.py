@@ -47,13 +47,14 @@ def as_object(payload: Column) -> Column:
     return F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
 
 
-def ingest(df: DataFrame, payload: str, target: dict[str, tuple[str, list[str]]], aliases: dict[str, list[str]] | None = None) -> DataFrame:
+def ingest(df: DataFrame, payload: str, target: dict[str, tuple[str, list]], aliases: dict[str, list[str]] | None = None, kind: str | None = None) -> DataFrame:
     """Enforce ``target`` ({column: (SQL type, paths of the field)}) on a column of JSON objects.
 
     Adds a typed column per target and ``_rescued``: a JSON object of all fields that no column took, because
     they are unknown or their value could not be loaded. ``aliases`` ({name: further names})
     promotes approved names: values that were rescued under them are replayed into the column. A path is
-    a field or 'parent.field'; an object of which a field was taken is rescued as well, as it may hold more.
+    a field or 'parent.field', or (path, kinds) if it holds only in records whose column ``kind`` is one of these; an object of which a field was
+    taken is rescued as well, as it may hold more. A parent that is text holding a JSON object stands for that object.
 
     Defined results: a payload that is null or no object gives null columns and null ``_rescued``; a field that is null
     is absent; of several paths with a value the first counts; a column of ``df`` with a target's name is replaced; an empty
@@ -61,21 +62,38 @@ def ingest(df: DataFrame, payload: str, target: dict[str, tuple[str, list[str]]]
     """
     aliases = aliases or {}
     out = df.withColumn("_v", as_object(F.col(payload)))
-    used: list[Column] = []
-    columns = {}
-    for column, (kind, paths) in target.items():
-        every: list[str] = []
+    plan: list[tuple[str, str, list[tuple[str, str, list | None]]]] = []
+    for column, (type_, paths) in target.items():
+        every: list[tuple[str, str, list | None]] = []
         for path in paths:
+            path, kinds = (path, None) if isinstance(path, str) else path
             parent, _, name = path.rpartition(".")
             for n in [name, *aliases.get(name, [])]:
-                every += [f"{p}.{n}" for p in [parent, *aliases.get(parent, [])]] if parent else [n]
-        every = list(dict.fromkeys(every))
-        loaded = [_load(F.col("_v"), p, kind) for p in every]
+                every += [(p, n, kinds) for p in ([parent, *aliases.get(parent, [])] if parent else [""])]
+        plan.append((column, type_, [x for i, x in enumerate(every) if x not in every[:i]]))
+    parents = sorted({p for _, _, every in plan for p, _, _ in every if p})
+    inside = {p: f"_o{i}" for i, p in enumerate(parents)}
+    objects = {}
+    for p in parents:
+        own = F.try_variant_get("_v", _path(p), "variant")
+        objects[inside[p]] = F.when(F.schema_of_variant(own) == "STRING", as_object(F.try_variant_get("_v", _path(p), "string"))).otherwise(own)
+    out = out.withColumns(objects) if objects else out
+    used: list[Column] = []
+    columns = {}
+    for column, type_, every in plan:
+        loaded = [_load(F.col(inside[p] if p else "_v"), n, type_) for p, n, _ in every]
+        loaded = [x if kinds is None else F.when(_any_of(kind, kinds), x) for x, (_, _, kinds) in zip(loaded, every)]
         columns[column] = F.coalesce(*loaded)
-        used += [F.when(x.isNotNull(), F.lit(p)) for p, x in zip(every, loaded) if "." not in p]
-    out = out.withColumns({**columns, "_used": F.filter(F.array(*used), lambda x: x.isNotNull()), "_m": F.expr("cast(_v as map<string, variant>)")})
+        used += [F.when(x.isNotNull(), F.lit(n)) for x, (p, n, _) in zip(loaded, every) if not p]
+    taken = F.filter(F.array(*used), lambda x: x.isNotNull()) if used else F.expr("cast(array() as array<string>)")
+    out = out.withColumns({**columns, "_used": taken, "_m": F.expr("cast(_v as map<string, variant>)")})
     rest = F.map_filter("_m", lambda k, v: ~F.array_contains(F.col("_used"), k) & (F.schema_of_variant(v) != "VOID"))
-    return out.withColumn("_rescued", F.when(F.size(rest) > 0, F.to_json(F.to_variant_object(rest)))).drop("_v", "_m", "_used")
+    return out.withColumn("_rescued", F.when(F.size(rest) > 0, F.to_json(F.to_variant_object(rest)))).drop("_v", "_m", "_used", *objects)
+
+
+def _any_of(column: str, values: list) -> Column:
+    same = F.col(column).isin([v for v in values if v is not None])
+    return (same | F.col(column).isNull()) if None in values else same
 
 
 def approved_aliases(changes: DataFrame, min_files: int = 1) -> dict[str, list[str]]:
@@ -93,9 +111,99 @@ def approved_aliases(changes: DataFrame, min_files: int = 1) -> dict[str, list[s
     return {k: sorted(v) for k, v in near.items()}
 
 
-def consistent_records(records: DataFrame, changes: DataFrame, target: dict[str, tuple[str, list[str]]], payload: str = "payload") -> DataFrame:
-    """All records in one table: ``ingest`` with the names that the report of changes found promoted."""
-    return ingest(records, payload, target, approved_aliases(changes))
+def derive_target(profile: DataFrame, changes: DataFrame, seeds: dict[str, tuple[str, list[str]]]) -> dict[str, tuple[str, list]]:
+    """A target for ``ingest`` with one column per quantity over all kinds: ``seeds`` ({column: (SQL type, paths)}) first, then every other field of the profile.
+
+    Names of a kind are one quantity if the report says that one was renamed to the other, most frequent renames first, then those of other kinds and
+    objects; never if a file holds both side by side, or if they would join two seeds. Across kinds a quantity goes by its most frequent name (of equals, that of the earliest file); a field of an object is called
+    object_field. Objects have no column of their own, their fields have; numbers without a fraction load as bigint.
+
+    Only the vocabulary (names, pairs of names) comes to the driver; it doesn't grow with records or files.
+    """
+    sums = [F.sum(c).alias(c) for c in _STATS if c not in ("places", "lo_word", "hi_word")]
+    words = {(r["kind"], r["parent"], r["name"]): r.asDict() for r in profile.groupBy("kind", "parent", "name").agg(*sums, F.max("places").alias("places"), F.min("file_no").alias("first")).collect()}
+    kind_of = profile.select(F.col("feed").alias("_f"), F.col("file_no").alias("_n"), "kind").distinct()
+    told = changes.filter("change = 'renamed'").join(kind_of, F.col("feed").eqNullSafe(F.col("_f")) & (F.col("file_no") == F.col("_n")))
+    told = sorted(told.groupBy("kind", "old_name", "new_name").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: (-r["n"], str(r["kind"]), r["old_name"], r["new_name"]))
+    sets = profile.groupBy("feed", "kind", "file_no", "parent").agg(F.sort_array(F.collect_set("name")).alias("names")).select("kind", "parent", "names").distinct()
+    pairs = sets.select("kind", (F.col("parent") != "").alias("deep"), "names", F.explode("names").alias("a")).select("kind", "deep", "a", F.explode("names").alias("b")).filter("a < b").distinct()
+    together = {tuple(r) for r in pairs.collect()}
+    leaf = lambda x: x.rpartition(".")[2]
+    elsewhere = [(leaf(r["old_name"]), leaf(r["new_name"])) for r in told]
+    seed_of = {path: column for column, (_, paths) in seeds.items() for path in paths}
+
+    def groups(kind, deep: bool, names: set[str], renames: list[tuple[str, str]], before: list[str]) -> list[set[str]]:
+        of = {n: {n} for n in names}
+        seed = lambda g: {seed_of[p + n] for n in g for p in before if p + n in seed_of}
+        for a, b in renames:
+            x, y = of.get(a), of.get(b)
+            if x is None or y is None or x is y or len(seed(x | y)) > 1 or any((kind, deep, min(m, n), max(m, n)) in together for m in x for n in y):
+                continue
+            x |= y
+            of.update(dict.fromkeys(y, x))
+        return sorted({id(g): g for g in of.values()}.values(), key=sorted)
+
+    def total(rows: list[dict]) -> dict:
+        return {c: sum(r[c] for r in rows) for c in rows[0] if c in _STATS and c != "places"} | {"places": max(r["places"] or 0 for r in rows)}
+
+    often: dict[tuple[bool, str], tuple[int, int]] = {}  # records, negative for sorting, and first file
+    for (_, parent, name), r in words.items():
+        n, first = often.get((parent != "", name), (0, r["first"]))
+        often[parent != "", name] = (n - r["n"], min(first, r["first"]))
+    by_use = lambda g, deep: sorted(g, key=lambda n: (often[deep, n], n))
+    found: dict[str, list[tuple[list[str], object, list[dict]]]] = {c: [] for c in seeds}
+    for kind in sorted({k for k, _, _ in words}, key=str):
+        top = {n for k, p, n in words if k == kind and not p}
+        mine = [(r["old_name"], r["new_name"]) for r in told if r["kind"] == kind]
+        for g in groups(kind, False, top, [x for x in mine if x[0] in top and x[1] in top] + elsewhere, [""]):
+            rows = [words[kind, "", n] for n in g]
+            if file_type(total(rows)) != "object":
+                by_seed = [seed_of[n] for n in sorted(g) if n in seed_of]
+                found.setdefault(by_seed[0] if by_seed else by_use(g, False)[0], []).append((by_use(g, False), kind, rows))
+                continue
+            parents = by_use(g, False)
+            fields = {n for k, p, n in words if k == kind and p in g}
+            cut = lambda x: next((x[len(p) + 1 :] for p in parents if x.startswith(p + ".") and x[len(p) + 1 :] in fields), None)
+            for h in groups(kind, True, fields, [(cut(a), cut(b)) for a, b in mine] + elsewhere, [p + "." for p in parents]):
+                rows = [words[kind, p, n] for p in parents for n in h if (kind, p, n) in words]
+                by_seed = [seed_of[f"{p}.{n}"] for p in parents for n in sorted(h) if f"{p}.{n}" in seed_of]
+                paths = [f"{p}.{n}" for n in by_use(h, True) for p in parents]
+                found.setdefault(by_seed[0] if by_seed else f"{parents[0]}_{by_use(h, True)[0]}", []).append((paths, kind, rows))
+    out: dict[str, tuple[str, list]] = {c: (t, []) for c, (t, _) in seeds.items()}
+    for column, parts in found.items():
+        type_ = seeds[column][0] if column in seeds else column_type(total([r for _, _, rows in parts for r in rows]))
+        out[column] = (type_, [(p, [kind]) for paths, kind, _ in parts for p in paths])
+        if column in seeds and not parts:
+            out[column] = seeds[column]
+    return out
+
+
+def column_type(s: dict) -> str:
+    """The SQL type that a quantity of these statistics loads as."""
+    kind = file_type(s)
+    if kind in ("list", "boolean"):
+        return {"list": "array<string>", "boolean": "boolean"}[kind]
+    if kind == "text" and (s["tokens"] != s["numbers"] or s["tokens"] != s["n"]):
+        return "string"
+    return "bigint" if not s["places"] and s["m1"] >= 0 else "double"
+
+
+def consistent_records(
+    records: DataFrame, changes: DataFrame, target: dict[str, tuple[str, list[str]]], payload: str = "payload", profile: DataFrame | None = None, kind: str = "feed_kind"
+) -> DataFrame:
+    """All records in one table: ``ingest`` with the names that the report of changes found promoted; with ``profile``, into a column per quantity, ``target`` naming some."""
+    if profile is None:
+        return ingest(records, payload, target, approved_aliases(changes))
+    whole = derive_target(profile, changes, target)
+    taken = {c.lower() for c in [*records.columns, *target, "_rescued"]}
+    named = {}
+    for column, spec in whole.items():  # names that differ in letter case only, or are a column of the records already
+        name = column
+        while column not in target and name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        named[name] = spec
+    return ingest(records, payload, named, kind=kind)
 
 
 def _path(name: str) -> str:
@@ -103,9 +211,11 @@ def _path(name: str) -> str:
 
 
 def _load(v: Column, name: str, kind: str) -> Column:
-    """The value at ``name`` as ``kind``; a list or object of one value stands for that value."""
+    """The value at ``name`` as ``kind``; a list or object of one value stands for that value, text for a list is cut at '|'."""
     p = _path(name)
     text = F.try_variant_get(v, p, "string")
+    if kind == "array<string>":
+        return F.coalesce(F.try_variant_get(v, p, kind), F.try_variant_get(v, p + ".value", kind), F.when(~text.startswith("{"), F.split(text, "[|]")))
     inner = F.coalesce(F.try_variant_get(v, p + "[0]", "string"), F.try_variant_get(v, p + ".value", "string"))
     is_box = text.startswith("[") | text.startswith("{")
     value = F.when(is_box, inner).otherwise(text)
@@ -263,19 +373,26 @@ def compare_files(prev: dict[tuple[str, str], dict], cur: dict[tuple[str, str],
 _FIELD = ["parent", "name", *_STATS]
 
 
-def schema_changes(df: DataFrame, feed: str = "feed", kind: str = "feed_kind", file_no: str = "file_no", payload: str = "payload") -> DataFrame:
+def record_profile(df: DataFrame, feed: str = "feed", kind: str = "feed_kind", file_no: str = "file_no", payload: str = "payload") -> DataFrame:
+    """``field_profile`` of the files of all feeds, written, so that the records are taken apart once."""
+    src = df.filter(F.col(file_no).isNotNull()).select(F.col(feed).alias("feed"), F.col(kind).alias("kind"), F.col(file_no).cast("long").alias("file_no"), F.col(payload).alias("payload"))
+    keys = ["feed", "kind", "file_no"]
+    return materialize(field_profile(field_entries(src, keys, "payload"), keys), "profile")
+
+
+def schema_changes(df: DataFrame, feed: str = "feed", kind: str = "feed_kind", file_no: str = "file_no", payload: str = "payload", profile: DataFrame | None = None) -> DataFrame:
     """Each change between a file and the previous one of its feed: ``feed``, ``file_no``, ``change``, ``old_name``, ``new_name``.
 
     Fields inside an object are named parent.field, one level deep; deeper objects are values. Defined results: a
     feed's first file has no change; files without records are absent, so the previous file is the last present one; records whose payload
     is null or no object hold no field; a null feed is a feed of its own; rows without a file_no are left out; ties
-    between candidates go to the names in order; an empty table gives no row.
+    between candidates go to the names in order; an empty table gives no row. ``profile``: that of ``record_profile``, if made already.
     """
     require_columns(df, [feed, kind, file_no, payload])
-    src = df.filter(F.col(file_no).isNotNull()).select(F.col(feed).alias("feed"), F.col(kind).alias("kind"), F.col(file_no).cast("long").alias("file_no"), F.col(payload).alias("payload"))
+    src = df.filter(F.col(file_no).isNotNull()).select(F.col(feed).alias("feed"), F.col(kind).alias("kind"), F.col(file_no).cast("long").alias("file_no"))
     keys = ["feed", "kind", "file_no"]
-    # Used for the files and for names held together: written, so that the records are taken apart once.
-    profile = materialize(field_profile(field_entries(src, keys, "payload"), keys), "profile")
+    if profile is None:  # used for the files and for names held together
+        profile = record_profile(df, feed, kind, file_no, payload)
     # From here on: rows of files and their fields, no records. A file without any field must still be there.
     empty = src.select(*keys).distinct()
     files = profile.groupBy(*keys).agg(F.collect_list(F.struct(*_FIELD)).alias("fields"))

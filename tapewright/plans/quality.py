@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.functions.common import epoch_ms
+from tapewright.functions.common import epoch_ms, materialize
 from tapewright.operators.dedup import deliver_once
-from tapewright.operators.drift import consistent_records, schema_changes
+from tapewright.operators.drift import consistent_records, record_profile, schema_changes
 from tapewright.operators.intervals import periods_and_gaps
 from tapewright.operators.lineparse import parse_lines
 from tapewright.operators.regrid import regular_grid
@@ -86,7 +86,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema_changes(table(spark, sf_dir, "drift_records"))
 
 
-#: Columns of the consistent table: field of the first files, type it loads as.
+#: Columns of the consistent table that have a name of their own: field of the first files, type it loads as. All other fields' columns come from the profile.
 P6_TARGET = {
     "event_ts": ("bigint", ["timestamp", "ts"]),
     "price": ("double", ["price", "flow.price"]),
@@ -103,8 +103,9 @@ P6_TARGET = {
 @REGISTRY.query("p6_records")
 def p6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = table(spark, sf_dir, "drift_records")
-    changes = schema_changes(records)
-    return consistent_records(records, changes, P6_TARGET).select("record_id", "feed", "file_no", *P6_TARGET, "_rescued")
+    profile = record_profile(records)
+    changes = materialize(schema_changes(records, profile=profile), "changes")
+    return consistent_records(records, changes, P6_TARGET, profile=profile).drop("feed_kind", "file_name", "payload", "written_at")
 
 
 QUANTILES = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]

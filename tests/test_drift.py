@@ -1,7 +1,7 @@
 import json
 import random
 
-from tapewright.operators.drift import approved_aliases, consistent_records, ingest, name_likeness, schema_changes
+from tapewright.operators.drift import approved_aliases, consistent_records, ingest, name_likeness, record_profile, schema_changes
 
 SCHEMA = "record_id long, feed string, feed_kind string, file_no int, payload string, name string"
 
@@ -76,3 +76,24 @@ def test_rescue_promote_replay(spark):
 def test_names():
     assert name_likeness("Price", "price") == name_likeness("agg_trade_id", "aggTradeId") == 1.0
     assert name_likeness("buy_volume", "bv") > name_likeness("buy_volume", "sv")
+
+
+def test_a_column_per_quantity(spark):
+    def flow(pressure, text=False):
+        def make(r):
+            inner = {"price": round(50 + r.random(), 4), "delta": round(r.gauss(0, 2), 5), pressure: round(r.uniform(-1, 1), 6)}
+            return {"ts": 1454000000000 + r.randrange(10**6), "flow": json.dumps(inner) if text else inner}
+
+        return make
+
+    fee = lambda name: lambda r: base(r) | {name: round(0.1 + r.random(), 5), "tags": ["a", "b"]}
+    flows = [(i + 10**6, f, "flow", n, p, c) for i, f, _, n, p, c in feed("f", [flow("pressure"), flow("pr"), flow("pr", text=True)])]
+    df = spark.createDataFrame(flows + feed("r", [fee("fee"), fee("commission")]), SCHEMA)
+    profile = record_profile(df)
+    target = {"price": ("double", ["price", "flow.price"]), "delta": ("double", ["flow.delta"])}
+    done = consistent_records(df, schema_changes(df, profile=profile), target, profile=profile)
+    assert {"flow_pressure", "fee", "tags", "side", "quantity"} <= set(done.columns) and not {"commission", "flow_pr", "pr"} & set(done.columns)
+    assert dict(done.dtypes)["tags"] == "array<string>" and dict(done.dtypes)["timestamp"] == "bigint"
+    assert done.filter("price is null").count() == 0
+    assert done.filter("feed = 'f' and (delta is null or flow_pressure is null or ts is null)").count() == 0
+    assert done.filter("feed = 'r' and (fee is null or size(tags) <> 2 or side is null or _rescued is not null)").count() == 0
