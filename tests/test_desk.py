@@ -169,3 +169,15 @@ def test_order_flow_shards(spark):
     # Three trades within 250 s, this one included.
     x = d.toPandas()["delta"].rolling(3, min_periods=1).sum()
     assert got["window_cum_delta"].tolist() == x.tolist()
+
+
+def test_flow_correlation_keeps_large_deltas(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rows = [(i / 50 - 1, float((i * 7) % 11)) for i in range(100)] + [(0.9, 1_784_784.0), (-0.8, -1e6), (0.1, math.inf), (None, 5.0), (0.2, math.nan)]
+    spark.createDataFrame(rows, "pressure double, delta double").write.parquet(str(tmp_path / "flow_readings.parquet"))
+    good = [(x, y) for x, y in rows if x is not None and math.isfinite(y)]
+    mx, my = (math.fsum(v) / len(good) for v in zip(*good))
+    cov, vx, vy = (math.fsum(f(x - mx, y - my) for x, y in good) for f in (lambda a, b: a * b, lambda a, b: a * a, lambda a, b: b * b))
+    got = entry.queries()["flow_correlation"](spark, str(tmp_path)).first()
+    assert got["n"] == 102 and math.isclose(got["corr"], cov / math.sqrt(vx * vy), abs_tol=1e-7)
