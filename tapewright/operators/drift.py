@@ -2,10 +2,10 @@
 
 Method: rescue-column ingestion. A target schema is enforced record by record: a field of the target whose value has
 the target's JSON type becomes a typed column, anything else (unknown fields, values of another type) is kept
-as JSON in a rescue column; approved fields are promoted, replaying the rescued values into their typed
-columns. Records are VARIANT values, read by the JVM.
+as JSON in a rescue column; approved fields are promoted by ingesting the payload again with their names (the rescue column
+alone is not replayed, so the payload must be kept). Records are VARIANT values, read by the JVM.
 
-The report works on the ingested fields (typed and rescued): one row of statistics per file and field, made with
+The report does not go through the ingested table; it works on the payload's own fields and types: one row of statistics per file and field, made with
 map-side combine, then each file is compared with the previous one of its feed. A field that
 vanishes and one that appears together are the same quantity under another name if no file of the kind ever
 holds both names and their values go on alike (magnitude, spread, sign, precision, words);
