@@ -57,7 +57,8 @@ def ingest(df: DataFrame, payload: str, target: dict[str, tuple[str, list]], ali
     taken is rescued as well, as it may hold more. A parent that is text holding a JSON object stands for that object.
 
     Defined results: a payload that is null or no object gives null columns and null ``_rescued``; a field that is null
-    is absent; of several paths with a value the first counts; a column of ``df`` with a target's name is replaced; an empty
+    is absent; of several paths with a value the first counts and the others are rescued, as is a
+    list or object that holds more than the value taken; a column of ``df`` with a target's name is replaced; an empty
     table gives an empty one.
     """
     aliases = aliases or {}
@@ -84,7 +85,10 @@ def ingest(df: DataFrame, payload: str, target: dict[str, tuple[str, list]], ali
         loaded = [_load(F.col(inside[p] if p else "_v"), n, type_) for p, n, _ in every]
         loaded = [x if kinds is None else F.when(_any_of(kind, kinds), x) for x, (_, _, kinds) in zip(loaded, every)]
         columns[column] = F.coalesce(*loaded)
-        used += [F.when(x.isNotNull(), F.lit(n)) for x, (p, n, _) in zip(loaded, every) if not p]
+        source = F
+        for x, (p, n, _) in zip(loaded, every):  # the path that supplied the value, if its field holds no more than that
+            source = source.when(x.isNotNull(), F.lit(None).cast("string") if p else F.when(_nothing_else(F.col("_v"), n, type_), F.lit(n)))
+        used += [source] if every else []
     taken = F.filter(F.array(*used), lambda x: x.isNotNull()) if used else F.expr("cast(array() as array<string>)")
     out = out.withColumns({**columns, "_used": taken, "_m": F.expr("cast(_v as map<string, variant>)")})
     rest = F.map_filter("_m", lambda k, v: ~F.array_contains(F.col("_used"), k) & (F.schema_of_variant(v) != "VOID"))
@@ -229,6 +233,15 @@ def _load(v: Column, name: str, kind: str) -> Column:
     return value
 
 
+def _nothing_else(v: Column, name: str, kind: str) -> Column:
+    """Whether the value that ``_load`` takes is all that the field at ``name`` holds."""
+    p = _path(name)
+    type_ = F.schema_of_variant(F.try_variant_get(v, p, "variant"))
+    one = F.size(F.try_variant_get(v, p, "map<string,variant>")) == 1
+    alone = F.lit(True) if kind == "array<string>" else F.try_variant_get(v, p + "[1]", "variant").isNull()
+    return F.when(type_.startswith("OBJECT"), one).when(type_.startswith("ARRAY"), alone).otherwise(True)
+
+
 def field_entries(df: DataFrame, keys: list[str], payload: str) -> DataFrame:
     """One row per field of each record: ``keys``, ``parent`` ('' at the top), ``name``, ``type``, ``body`` (text or JSON). Null fields give none."""
     src = df.select(*keys, as_object(F.col(payload)).alias("_v")).filter(F.col("_v").isNotNull())

@@ -97,3 +97,11 @@ def test_a_column_per_quantity(spark):
     assert done.filter("price is null").count() == 0
     assert done.filter("feed = 'f' and (delta is null or flow_pressure is null or ts is null)").count() == 0
     assert done.filter("feed = 'r' and (fee is null or size(tags) <> 2 or side is null or _rescued is not null)").count() == 0
+
+
+def test_what_no_column_took_is_rescued(spark):
+    records = [{"price": [1.5, 2.5]}, {"price": {"value": 1.5, "unit": "usd"}}, {"price": 1.5, "px": 2.5}, {"price": [1.5]}, {"price": {"value": 1.5}}, {"price": None, "px": 1.5}]
+    df = spark.createDataFrame([(i, "f", "raw", 1, json.dumps(x), "") for i, x in enumerate(records)], SCHEMA)
+    got = ingest(df, "payload", {"price": ("double", ["price"])}, {"price": ["px"]}).orderBy("record_id").collect()
+    assert [r["price"] for r in got] == [1.5] * 6
+    assert [r["_rescued"] and json.loads(r["_rescued"]) for r in got] == [records[0], records[1], {"px": 2.5}, None, None, None]
