@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -15,12 +16,16 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests, a single machine) a temporary folder is made and set.
+    The cluster names it in ``spark.checkpoint.dir``; only where that is unset and the master is
+    ``local`` (tests, a single machine) a temporary folder is made and set. A cluster without it is an
+    error: a folder of one machine would lose or split what executors write.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base
+    master = spark.conf.get("spark.master", "local")
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder shared by all executors (master {master})")
     base = "file://" + tempfile.mkdtemp(prefix="tapewright-")
     atexit.register(_remove, base)
     spark.conf.set("spark.checkpoint.dir", base)
@@ -86,6 +91,11 @@ def finite(col: Column) -> Column:
     return col.isNotNull() & ~F.isnan(col) & (F.abs(col) != F.lit(float("inf")))
 
 
+def shard_of(col: str, width: int) -> Column:
+    """Number of the shard of ``width`` that a bigint lies in, exact for any bigint."""
+    return F.expr(f"{col} div {width} - if({col} % {width} < 0, 1, 0)")
+
+
 def null_safe_on(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     """Equi-join condition under which null keys meet null keys."""
     cond = F.lit(True)

@@ -4,15 +4,20 @@ Method: identifiers are dictionary-encoded exactly (shard by hash, dense code in
 are held as compressed bitmaps per (shard, bucket of 32,768 codes), one arrival is selected per unseen
 bit, and the new bits are united with the stored ones by an atomic switch to a new version of the state.
 
+A version holds what one batch added: the arrivals it kept with their codes, and its new bits. Nothing older is
+rewritten. The list of versions in force is a numbered manifest, made by a rename that fails if the number is
+taken: kept rows, dictionary and bits come into force together or not at all, and of two writers that started from the same
+state one is refused.
+
 Grouping by identifier combines on the map side, and the rows left out are found by a join on the unique
 message number, so copies of one message may make up any share of the input.
 """
 
 from __future__ import annotations
 
-import os
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,123 +26,169 @@ from tapewright.functions.common import require_columns, work_path
 
 #: Codes in one bitmap, as Spark's bitmap functions have it.
 BITS = 32_768
+#: Versions in force after which ``compact`` is due.
+COMPACT_AFTER = 16
+
+
+class StateChanged(RuntimeError):
+    """Another writer committed since the state was read. Load it again and repeat the batch."""
 
 
 @dataclass(frozen=True)
 class SeenState:
-    """A version of the state: dictionary (identifier to code) and seen-bitmaps, both by shard."""
+    """The versions in force below ``root`` ({name: label of its batch}), as of manifest ``number`` (0: none yet)."""
 
-    dictionary: DataFrame
-    bitmaps: DataFrame
+    root: str
+    number: int
     shards: int
+    versions: dict[str, str]
 
+    def arrivals(self, spark: SparkSession, only: str | None = None) -> DataFrame | None:
+        """Identifiers with their codes and the message kept of each; of one version, or of all."""
+        names = [v for v in self.versions if only in (None, v)]
+        return spark.read.parquet(*[f"{self.root}/{v}/arrivals" for v in names]) if names else None
 
-@dataclass(frozen=True)
-class Delivered:
-    """``kept``: message numbers selected; ``state``: the state with the new bits."""
+    def bitmaps(self, spark: SparkSession) -> DataFrame | None:
+        """``_shard``, ``_bucket``, ``seen``: the bits of all versions united."""
+        if not self.versions:
+            return None
+        parts = spark.read.parquet(*[f"{self.root}/{v}/bitmaps" for v in self.versions])
+        return parts.groupBy("_shard", "_bucket").agg(F.bitmap_or_agg("seen").alias("seen"))
 
-    kept: DataFrame
-    state: SeenState
 
+def _files(spark: SparkSession, root: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
-def _id_columns(n: int) -> list[str]:
-    return [f"_id{i}" for i in range(n)]
 
+def load_state(spark: SparkSession, root: str, shards: int = 1024) -> SeenState:
+    """The state in force below ``root``; an empty one before the first commit."""
+    path, fs = _files(spark, root)
+    found = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    numbers = [int(n.removeprefix("manifest-")) for n in found if n.startswith("manifest-")]
+    if not numbers:
+        return SeenState(root, 0, shards, {})
+    head, *rows = [r[0] for r in spark.read.text(f"{root}/manifest-{max(numbers):08d}", wholetext=True).collect()][0].splitlines()
+    return SeenState(root, max(numbers), int(head), dict(r.split("\t", 1) for r in rows))
 
-def encode_and_select(df: DataFrame, identifier: list[Column], message: str, state: SeenState | None, shards: int = 1024, folder: str | None = None) -> Delivered:
-    """Select one arrival (the lowest ``message``) per identifier whose bit is not yet seen.
 
-    ``message`` must be unique and not null. Rows with a null in any identifier part are no messages and are
-    in neither result. Everything made is written below ``folder``.
-    """
-    spark = df.sparkSession
-    folder = folder or work_path(spark, "dedup")
-    shards = state.shards if state else shards
-    ids = _id_columns(len(identifier))
-    rows = df.select(*[c.alias(n) for c, n in zip(identifier, ids)], F.col(message).cast("long").alias("_m")).dropna()
-    shard = F.pmod(F.xxhash64(*ids), F.lit(shards)).cast("int")
+def _switch(spark: SparkSession, state: SeenState, versions: dict[str, str]) -> SeenState:
+    """Bring ``versions`` into force by one rename that fails if someone else was first."""
+    _, fs = _files(spark, state.root)
+    jvm = spark._jvm
+    made = jvm.org.apache.hadoop.fs.Path(f"{state.root}/next-{uuid.uuid4().hex}")
+    out = fs.create(made, False)
+    out.write(bytearray("\n".join([str(state.shards), *[f"{v}\t{label}" for v, label in versions.items()]]).encode()))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(made.toUri(), spark._jsc.hadoopConfiguration())
+    keep = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    keep[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+    try:
+        context.rename(made, jvm.org.apache.hadoop.fs.Path(f"{state.root}/manifest-{state.number + 1:08d}"), keep)
+    except Exception as e:
+        fs.delete(made, False)
+        if "AlreadyExists" in str(e):
+            raise StateChanged(f"{state.root} is past version {state.number}") from e
+        raise
+    return SeenState(state.root, state.number + 1, state.shards, versions)
+
+
+def _codes(rows: DataFrame, ids: list[str], state: SeenState) -> DataFrame:
+    """One row per identifier of the batch: ``_shard``, ids, ``_m`` (lowest message), ``code`` and ``_old`` (whether the dictionary had it)."""
+    spark = rows.sparkSession
+    shard = F.pmod(F.xxhash64(*ids), F.lit(state.shards)).cast("int")
     arrivals = rows.groupBy(shard.alias("_shard"), *ids).agg(F.min("_m").alias("_m"))
-    if state is None:
-        arrivals = arrivals.withColumn("_code", F.lit(None).cast("long")).withColumn("_base", F.lit(0).cast("long"))
+    words = state.arrivals(spark)
+    if words is None:
+        known, fresh = None, arrivals.withColumn("_base", F.lit(0).cast("long"))
     else:
-        known = state.dictionary.select("_shard", *ids, F.col("code").alias("_code"))
-        base = known.groupBy("_shard").agg((F.max("_code") + 1).alias("_base"))
-        arrivals = arrivals.join(known, ["_shard", *ids], "left").join(base, "_shard", "left").withColumn("_base", F.coalesce("_base", F.lit(0).cast("long")))
+        both = arrivals.join(words.filter("fresh").select("_shard", *ids, "code"), ["_shard", *ids], "left")
+        known = both.filter("code is not null").withColumn("_old", F.lit(True))
+        base = words.groupBy("_shard").agg((F.max("code") + 1).alias("_base"))
+        fresh = both.filter("code is null").drop("code").join(F.broadcast(base), "_shard", "left")  # a row per shard, whose number is a setting
     # Identifiers that are new to the dictionary get the next codes of their shard, in order.
-    order = Window.partitionBy("_shard", F.col("_code").isNull()).orderBy(*ids)
-    code = F.coalesce("_code", F.col("_base") + F.row_number().over(order) - 1)
-    coded = arrivals.withColumn("code", code.cast("long")).withColumn("_bucket", F.call_function("div", F.col("code"), F.lit(BITS)).cast("int")).withColumn("_bit", F.pmod("code", F.lit(BITS)))
-    if state is None:
-        unseen = coded
-    else:
-        joined = coded.join(state.bitmaps.select("_shard", "_bucket", "seen"), ["_shard", "_bucket"], "left")
-        byte = F.conv(F.hex(F.substring("seen", (F.call_function("div", F.col("_bit"), F.lit(8)) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-        is_seen = F.coalesce(F.getbit(byte, F.pmod("_bit", F.lit(8)).cast("int")) == 1, F.lit(False))
-        unseen = joined.filter(~is_seen).drop("seen")
-    path = os.path.join(folder, "unseen")
-    unseen.select("_shard", *ids, "code", "_bucket", "_bit", F.col("_m").alias("message")).write.mode("overwrite").parquet(path)
-    new = spark.read.parquet(path)
-    bits = new.groupBy("_shard", "_bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("_bit") + 1)).alias("seen"))
-    words = new.select("_shard", *ids, "code")
-    if state is not None:
-        bits = state.bitmaps.select("_shard", "_bucket", "seen").unionByName(bits).groupBy("_shard", "_bucket").agg(F.bitmap_or_agg("seen").alias("seen"))
-        words = state.dictionary.select("_shard", *ids, "code").unionByName(words)
-    return Delivered(new.select("message"), SeenState(words, bits, shards))
+    order = Window.partitionBy("_shard").orderBy(*ids)
+    fresh = fresh.select("_shard", *ids, "_m", (F.coalesce("_base", F.lit(0)) + F.row_number().over(order) - 1).cast("long").alias("code"), F.lit(False).alias("_old"))
+    return fresh if known is None else known.select(*fresh.columns).unionByName(fresh)
 
 
-def load_state(spark: SparkSession, root: str) -> SeenState | None:
-    """The committed version below ``root``; None before the first commit."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(root, "CURRENT"))
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    row = spark.read.text(os.path.join(root, "CURRENT")).first()[0].split()
-    version, shards = row[0], int(row[1])
-    return SeenState(spark.read.parquet(f"{root}/{version}/dictionary"), spark.read.parquet(f"{root}/{version}/bitmaps"), shards)
+def _unseen(coded: DataFrame, bitmaps: DataFrame | None) -> DataFrame:
+    """The rows whose bit isn't set. A code that was given out in this batch lies beyond all stored bits of its shard."""
+    placed = coded.withColumn("_bucket", F.call_function("div", F.col("code"), F.lit(BITS)).cast("int")).withColumn("_bit", F.pmod("code", F.lit(BITS)).cast("int"))
+    if bitmaps is None:
+        return placed
+    old = placed.filter("_old").join(bitmaps, ["_shard", "_bucket"], "left")
+    byte = F.ascii(F.decode(F.substring("seen", F.call_function("div", F.col("_bit"), F.lit(8)).cast("int") + 1, F.lit(1)), "ISO-8859-1"))
+    is_seen = F.coalesce(F.getbit(byte, F.pmod("_bit", F.lit(8))) == 1, F.lit(False))
+    return old.filter(~is_seen).drop("seen").select(*placed.columns).unionByName(placed.filter("not _old"))
 
 
-def commit_state(spark: SparkSession, root: str, state: SeenState) -> str:
-    """Write ``state`` as a new version below ``root``, then switch to it by one rename.
+def deliver(df: DataFrame, identifier: list[Column], message: str, state: SeenState, label: str | None = None) -> tuple[DataFrame, SeenState]:
+    """One batch against ``state``: (message numbers kept, the state after it).
 
-    A job that ends before the rename leaves the old version in force; readers see the old
-    state or the new one, never a part.
+    Of each identifier whose bit is unset the lowest ``message`` is kept. What is kept is part of the committed version: a batch that
+    fails before its commit leaves nothing behind and can be repeated; one that was committed under its ``label`` already gives
+    the same messages again. Raises ``StateChanged`` if another writer committed since ``state`` was read.
+    ``message`` must be unique. Rows with a null in any identifier part, or in the message, are no messages.
     """
+    spark = df.sparkSession
+    done = next((v for v, name in state.versions.items() if label and name == label), None)
+    if done:
+        return state.arrivals(spark, done).select("message"), state
+    ids = [f"_id{i}" for i in range(len(identifier))]
+    rows = df.select(*[c.alias(n) for c, n in zip(identifier, ids)], F.col(message).cast("long").alias("_m")).dropna()
     version = f"v-{uuid.uuid4().hex}"
-    state.dictionary.write.parquet(f"{root}/{version}/dictionary", compression="zstd")
-    state.bitmaps.write.parquet(f"{root}/{version}/bitmaps", compression="zstd")
-    jvm = spark._jvm
-    Path = jvm.org.apache.hadoop.fs.Path
-    fs = Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    made = Path(f"{root}/CURRENT.{version}")
-    out = fs.create(made, True)
-    out.write(bytearray(f"{version} {state.shards}\n".encode()))
-    out.close()
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(made.toUri(), spark._jsc.hadoopConfiguration())
-    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    context.rename(made, Path(f"{root}/CURRENT"), overwrite)
-    return version
+    unseen = _unseen(_codes(rows, ids, state), state.bitmaps(spark))
+    unseen.select("_shard", *ids, "code", "_bucket", "_bit", (~F.col("_old")).alias("fresh"), F.col("_m").alias("message")).write.parquet(f"{state.root}/{version}/arrivals", compression="zstd")
+    new = spark.read.parquet(f"{state.root}/{version}/arrivals")
+    bits = new.groupBy("_shard", "_bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("_bit") + 1)).alias("seen"))
+    bits.write.parquet(f"{state.root}/{version}/bitmaps", compression="zstd")
+    return new.select("message"), _switch(spark, state, {**state.versions, version: label or version})
+
+
+def compact(spark: SparkSession, state: SeenState) -> SeenState:
+    """All versions written as one; labels of their batches are given up, so only batches that will not come again may be in it."""
+    version = f"v-{uuid.uuid4().hex}"
+    if len(state.versions) < 2:
+        return state
+    state.arrivals(spark).write.parquet(f"{state.root}/{version}/arrivals", compression="zstd")
+    state.bitmaps(spark).write.parquet(f"{state.root}/{version}/bitmaps", compression="zstd")
+    return _switch(spark, state, {version: version})
 
 
-def deliver_once(df: DataFrame, identifier: list[Column], message: str, root: str | None = None, shards: int = 1024) -> tuple[DataFrame, DataFrame]:
+def deliver_once(df: DataFrame, identifier: list[Column], message: str, root: str | None = None, shards: int = 1024, batches: int = 1) -> tuple[DataFrame, DataFrame]:
     """(kept, repeated) rows of ``df``: one copy of each identifier, and all further copies.
 
-    With ``root`` the identifiers seen in earlier calls count too, and this call's are committed to it; without,
+    ``df`` is read as a log in order of ``message``, in ``batches`` segments of about equal length; each is delivered against the state
+    that the ones before committed. With ``root`` the identifiers seen in earlier calls count too; without,
     the state lives as long as the shared folder. The lowest ``message`` of an identifier is kept. Rows with a null
     in an identifier part are never copies and are all kept. An empty table gives empty results; columns of
     ``df`` pass through unchanged, whatever their names.
     """
     require_columns(df, [message])
     spark = df.sparkSession
-    state = load_state(spark, root) if root else None
-    done = encode_and_select(df, identifier, message, state, shards)
-    root = root or work_path(spark, "seen")
-    commit_state(spark, root, done.state)
-    chosen = done.kept.select(F.col("message").alias("_tw_message"))
+    state = load_state(spark, root or work_path(spark, "seen"), shards)
+    cuts = []
+    if batches > 1:
+        cuts = sorted({int(x) for x in df.agg(F.percentile_approx(F.col(message).cast("long"), [i / batches for i in range(1, batches)], 1000)).first()[0] or []})
+    place = F.col(message)
+    chosen = []
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        segment = df
+        if low is not None:
+            segment = segment.filter(place > low)
+        if high is not None:
+            segment = segment.filter(place <= high)
+        kept, state = deliver(segment, identifier, message, state)
+        chosen.append(kept)
+        if len(state.versions) > COMPACT_AFTER:
+            state = compact(spark, state)
+    chosen = reduce(DataFrame.unionByName, chosen).select(F.col("message").alias("_tw_message"))
     known = F.lit(True)
     for c in identifier:
         known = known & c.isNotNull()
-    whole = df.filter(known & F.col(message).isNotNull())
-    kept = whole.join(chosen, whole[message] == chosen["_tw_message"], "left_semi").unionByName(df.filter(~(known & F.col(message).isNotNull())))
+    known = known & place.isNotNull()
+    whole = df.filter(known)
+    kept = whole.join(chosen, whole[message] == chosen["_tw_message"], "left_semi").unionByName(df.filter(~known))
     repeated = whole.join(chosen, whole[message] == chosen["_tw_message"], "left_anti")
     return kept, repeated

@@ -12,10 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapewright.functions.common import require_columns
-
-#: Bounds beyond this many milliseconds (year 9999) can't be held by a Spark timestamp.
-MAX_MS = 253_402_300_799_999
+from tapewright.functions.common import materialize, require_columns, shard_of
 
 
 def merge_ranges(df: DataFrame, keys: list[str], start: str, end: str, tolerance_ms: int = 1000, shard_ms: int = 3_600_000) -> DataFrame:
@@ -24,7 +21,7 @@ def merge_ranges(df: DataFrame, keys: list[str], start: str, end: str, tolerance
     Ranges join when the next start is at most ``tolerance_ms`` (0 or more) after the largest end so far.
     Returns ``keys``, ``from_ts``, ``to_ts`` and ``n_ranges``, one row per period.
 
-    Defined results: rows with a null or reversed bound, or a bound outside +-year 9999, are left out; a range
+    Defined results: rows with a null or reversed bound are left out; any two bigints are bounds, however far from today; a range
     of a single instant is a range; repeated rows and ties change nothing; a null key is a key of
     its own; an empty table gives no row; other columns are ignored.
     """
@@ -32,19 +29,23 @@ def merge_ranges(df: DataFrame, keys: list[str], start: str, end: str, tolerance
     # Internal names, so that columns of the input can't clash with ours.
     names = [f"_k{i}" for i in range(len(keys))]
     src = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(start).cast("long").alias("_a"), F.col(end).cast("long").alias("_b"))
-    src = src.filter((F.col("_a") <= F.col("_b")) & (F.col("_a") >= -MAX_MS) & (F.col("_b") <= MAX_MS - tolerance_ms))
+    src = src.filter(F.col("_a") <= F.col("_b")).withColumn("_shard", shard_of("_a", shard_ms))
+    # Windows run on the offset within the shard. A range that outlasts its shard need only reach the shard's
+    # last possible start, so offsets and durations fit a timestamp whatever the bounds; the real ends are aggregated.
+    src = src.withColumn("_d", F.least(F.coalesce(F.try_subtract("_b", "_a"), F.lit(shard_ms)), F.lit(shard_ms)))
     # Spark joins sessions whose start is not after the end so far, and drops empty ones: with no
     # tolerance a range lasts a microsecond more, less than the next possible start.
-    seconds = "cast(cast(_b - _a + %d as decimal(18,6)) / 1000 + %s as decimal(18,6))" % (tolerance_ms, "0" if tolerance_ms else "0.000001")
+    seconds = "cast(cast(_d + %d as decimal(18,6)) / 1000 + %s as decimal(18,6))" % (tolerance_ms, "0" if tolerance_ms else "0.000001")
     gap = F.expr(f"make_interval(0, 0, 0, 0, 0, 0, {seconds})")
-    src = src.withColumn("_shard", F.floor(F.col("_a") / F.lit(shard_ms)))
     by_shard = [*names, "_shard"]
     local = (
-        src.withColumn("_t", F.timestamp_millis("_a"))
+        src.withColumn("_t", F.timestamp_millis(F.pmod("_a", F.lit(shard_ms))))
         .groupBy(*by_shard, F.session_window("_t", gap).alias("_w"))
         .agg(F.min("_a").alias("_a"), F.max("_b").alias("_b"), F.count(F.lit(1)).alias("_n"))
         .drop("_w")
     )
+    # Read for the carry and for the periods: written once, so ranges are merged once.
+    local = materialize(local, "periods")
     # Largest end in the earlier shards of the entity: one row per shard.
     ends = local.groupBy(*by_shard).agg(F.max("_b").alias("_end"))
     prior = Window.partitionBy(*names).orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -52,7 +53,7 @@ def merge_ranges(df: DataFrame, keys: list[str], start: str, end: str, tolerance
     carried = _join_shards(local, carry, by_shard)
     # A period that starts within the carried end goes on with an earlier shard's last period. As
     # the carry is one value a shard, these are the first periods of the shard.
-    carried = carried.withColumn("_new", F.col("_carry").isNull() | (F.col("_a") > F.col("_carry") + tolerance_ms))
+    carried = carried.withColumn("_new", F.col("_carry").isNull() | F.coalesce(F.try_subtract("_a", F.lit(tolerance_ms)) > F.col("_carry"), F.lit(False)))
     shards = carried.groupBy(*by_shard).agg(
         F.max(F.when(F.col("_new"), F.col("_a"))).alias("_last"),
         F.max(F.when(~F.col("_new"), F.col("_b"))).alias("_more"),
@@ -89,10 +90,10 @@ def periods_and_gaps(df: DataFrame, keys: list[str], start: str, end: str, toler
     A gap goes from the end of a period to the start of the next one of the same entity. Same defined
     results as ``merge_ranges``; an entity of one period has no gap.
     """
-    periods = merge_ranges(df, keys, start, end, tolerance_ms, shard_ms)
+    periods = materialize(merge_ranges(df, keys, start, end, tolerance_ms, shard_ms), "merged")
     names = [f"_k{i}" for i in range(len(keys))]
     p = periods.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], "from_ts", "to_ts")
-    p = p.withColumn("_shard", F.floor(F.col("from_ts") / F.lit(shard_ms)))
+    p = p.withColumn("_shard", shard_of("from_ts", shard_ms))
     by_shard = [*names, "_shard"]
     inside = Window.partitionBy(*by_shard).orderBy("from_ts")
     p = p.withColumn("_next", F.lead("from_ts").over(inside))

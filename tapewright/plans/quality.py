@@ -68,6 +68,10 @@ def p4_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_lines(table(spark, sf_dir, "raw_lines")).filter("reason is null").drop("reason", "detail")
 
 
+#: Segments of the delivery log: each is judged against the bits that the ones before it committed.
+P5_BATCHES = 3
+
+
 @REGISTRY.query(
     "p5_found",
     f"""
@@ -77,7 +81,7 @@ from trade_deliveries where trade_id is not null and symbol is not null and "tim
 )
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     trades = table(spark, sf_dir, "trade_deliveries")
-    _, repeated = deliver_once(trades, [F.upper("symbol"), F.col("trade_id"), epoch_ms(F.col("timestamp"))], "delivery_id")
+    _, repeated = deliver_once(trades, [F.upper("symbol"), F.col("trade_id"), epoch_ms(F.col("timestamp"))], "delivery_id", batches=P5_BATCHES)
     return repeated.select("delivery_id")
 
 

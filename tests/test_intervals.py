@@ -54,3 +54,10 @@ def test_empty_and_counts(spark):
     assert periods_and_gaps(empty, ["symbol", "session_id"], "min_ts", "max_ts").count() == 0
     df = spark.createDataFrame([("A", "d", 0, 10, ""), ("A", "d", 5, 20, ""), ("A", "d", 0, 10, "")], SCHEMA)
     assert merge_ranges(df, ["symbol"], "min_ts", "max_ts").collect()[0]["n_ranges"] == 3
+
+
+def test_bounds_far_from_today(spark):
+    top, low, far = 2**63 - 1, -(2**63), 253_402_300_800_000
+    rows = [("A", "d", far, far + 5, ""), ("A", "d", far + 2000, top, ""), ("A", "d", top, top, ""), ("A", "d", low, low, ""), ("A", "d", low + 900, 7, ""), ("A", "d", 5000, far - 5000, "")]
+    check(spark, rows, 1000, 3_600_000)
+    check(spark, [("B", "d", low, top, ""), ("B", "d", 3, 4, "")], 0, 3_600_000)
