@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tapewright.functions.common import epoch_ms, materialize
 from tapewright.operators.dedup import deliver_once
-from tapewright.operators.drift import consistent_records, record_profile, schema_changes
+from tapewright.operators.drift import consistent_records, ingest, record_profile, schema_changes
 from tapewright.operators.intervals import periods_and_gaps
 from tapewright.operators.lineparse import parse_lines
 from tapewright.operators.regrid import regular_grid
@@ -85,12 +85,13 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated.select("delivery_id")
 
 
-@REGISTRY.query("p6_found")
-def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schema_changes(table(spark, sf_dir, "drift_records"))
-
-
-#: Columns of the consistent table that have a name of their own: field of the first files, type it loads as. All other fields' columns come from the profile.
+#: The schema that records are ingested under: the fields of the feeds' first files and the type each must have. Everything else is rescued.
+P6_SCHEMA = {
+    "timestamp": ("bigint", ["timestamp"]), "price": ("double", ["price"]), "quantity": ("double", ["quantity"]), "qty": ("double", ["qty"]), "side": ("string", ["side"]),
+    "ts": ("bigint", ["ts"]), "flow_price": ("double", ["flow.price"]), "flow_delta": ("double", ["flow.delta"]),
+    "agg_trade_id": ("bigint", ["agg_trade_id"]), "first_trade_id": ("bigint", ["first_trade_id"]), "last_trade_id": ("bigint", ["last_trade_id"]), "is_buyer_maker": ("boolean", ["is_buyer_maker"]),
+}
+#: Columns of the consistent table that have a name of their own: type it loads as, fields of the first files. All other fields' columns come from the profile.
 P6_TARGET = {
     "event_ts": ("bigint", ["timestamp", "ts"]),
     "price": ("double", ["price", "flow.price"]),
@@ -104,12 +105,23 @@ P6_TARGET = {
 }
 
 
+def _ingested(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The records ingested, and the profile of what was typed and rescued. Both written: payloads are read once."""
+    records = table(spark, sf_dir, "drift_records").select("record_id", "feed", "feed_kind", "file_no", "payload")
+    typed = materialize(ingest(records, "payload", P6_SCHEMA).drop("payload"), "ingested")
+    return typed, record_profile(typed, P6_SCHEMA)
+
+
+@REGISTRY.query("p6_found")
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema_changes(_ingested(spark, sf_dir)[1])
+
+
 @REGISTRY.query("p6_records")
 def p6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = table(spark, sf_dir, "drift_records")
-    profile = record_profile(records)
-    changes = materialize(schema_changes(records, profile=profile), "changes")
-    return consistent_records(records, changes, P6_TARGET, profile=profile).drop("feed_kind", "file_name", "payload", "written_at")
+    typed, profile = _ingested(spark, sf_dir)
+    changes = materialize(schema_changes(profile), "changes")
+    return consistent_records(typed, P6_SCHEMA, profile, changes, P6_TARGET).drop("feed_kind")
 
 
 QUANTILES = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
