@@ -20,7 +20,7 @@ from __future__ import annotations
 import json
 import math
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from decimal import Decimal
 from json.encoder import encode_basestring
 
@@ -317,14 +317,14 @@ def derive_target(profile: DataFrame, changes: DataFrame, seeds: dict[str, tuple
     """A target for ``replay`` with one column per quantity over all kinds: ``seeds`` ({column: (SQL type, paths)}) first, then every other field of the profile.
 
     Names of a kind (and, in an object, of that object) are one quantity if the report says that one was renamed to the other, over any number of renames, most frequent
-    first; never if a file holds both side by side, or if they would join two seeds. A rename of another kind or level counts only if the values of the two names are alike here too. Across kinds a quantity goes by its most frequent name (of equals, that of the earliest file); a field of an object is called
+    first; never if a file holds both side by side, or if they would join two seeds. A rename of another kind or level counts only if the values of the two names are alike in the feeds of this one too. Across kinds a quantity goes by its most frequent name (of equals, that of the earliest file); a field of an object is called
     object_field. Objects have no column of their own, their fields have; numbers without a fraction load as bigint.
 
     Only the vocabulary (names, pairs of names) comes to the driver; it doesn't grow with records or files.
     """
     profile = profile.filter("name is not null")
     sums = [F.sum(c).alias(c) for c in _STATS if c not in ("places", "lo_word", "hi_word")]
-    words = {(r["kind"], r["parent"], r["name"]): r.asDict() for r in profile.groupBy("kind", "parent", "name").agg(*sums, F.max("places").alias("places"), F.min("lo_word").alias("lo_word"), F.max("hi_word").alias("hi_word"), F.min("file_no").alias("first")).collect()}
+    words = {(r["kind"], r["parent"], r["name"]): r.asDict() for r in profile.groupBy("kind", "parent", "name").agg(*sums, F.max("places").alias("places"), F.min("file_no").alias("first")).collect()}
     kind_of = profile.select(F.col("feed").alias("_f"), F.col("file_no").alias("_n"), "kind").distinct()
     told = changes.filter("change = 'renamed'").join(kind_of, F.col("feed").eqNullSafe(F.col("_f")) & (F.col("file_no") == F.col("_n")))
     told = sorted(told.groupBy("kind", "old_name", "new_name").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: (-r["n"], str(r["kind"]), r["old_name"], r["new_name"]))
@@ -332,14 +332,13 @@ def derive_target(profile: DataFrame, changes: DataFrame, seeds: dict[str, tuple
     pairs = sets.select("kind", (F.col("parent") != "").alias("deep"), "names", F.explode("names").alias("a")).select("kind", "deep", "a", F.explode("names").alias("b")).filter("a < b").distinct()
     together = {tuple(r) for r in pairs.collect()}
     leaf = lambda x: x.rpartition(".")[2]
-    elsewhere = [(leaf(r["old_name"]), leaf(r["new_name"])) for r in told]
+    elsewhere = _alike(profile, sorted({(leaf(r["old_name"]), leaf(r["new_name"])) for r in told}))
     seed_of = {path: column for column, (_, paths) in seeds.items() for path in paths}
 
-    def groups(kind, deep: bool, names: set[str], renames: list[tuple[str, str]], before: list[str], stats: Callable[[str], dict]) -> list[set[str]]:
+    def groups(kind, deep: bool, names: set[str], renames: list[tuple[str, str]], before: list[str]) -> list[set[str]]:
         of = {n: {n} for n in names}
         seed = lambda g: {seed_of[p + n] for n in g for p in before if p + n in seed_of}
-        alike = [(a, b) for a, b in elsewhere if a in names and b in names and likeness(stats(a), stats(b)) >= MIN_LIKENESS]
-        for a, b in [*renames, *alike]:
+        for a, b in [*renames, *((a, b) for k, d, a, b in elsewhere if (k, d) == (kind, deep))]:
             x, y = of.get(a), of.get(b)
             if x is None or y is None or x is y or len(seed(x | y)) > 1 or any((kind, deep, min(m, n), max(m, n)) in together for m in x for n in y):
                 continue
@@ -348,8 +347,7 @@ def derive_target(profile: DataFrame, changes: DataFrame, seeds: dict[str, tuple
         return sorted({id(g): g for g in of.values()}.values(), key=sorted)
 
     def total(rows: list[dict]) -> dict:
-        words_ = {c: best((r[c] for r in rows if r[c] is not None), default=None) for c, best in (("lo_word", min), ("hi_word", max))}
-        return {c: sum(r[c] for r in rows) for c in rows[0] if c in _STATS and c not in ("places", *words_)} | {"places": max(r["places"] or 0 for r in rows)} | words_
+        return {c: sum(r[c] for r in rows) for c in rows[0] if c in _STATS and c != "places"} | {"places": max(r["places"] or 0 for r in rows)}
 
     often: dict[tuple[bool, str], tuple[int, int]] = {}  # records, negative for sorting, and first file
     for (_, parent, name), r in words.items():
@@ -360,7 +358,7 @@ def derive_target(profile: DataFrame, changes: DataFrame, seeds: dict[str, tuple
     for kind in sorted({k for k, _, _ in words}, key=str):
         top = {n for k, p, n in words if k == kind and not p}
         mine = [(r["old_name"], r["new_name"]) for r in told if r["kind"] == kind]
-        for g in groups(kind, False, top, [x for x in mine if x[0] in top and x[1] in top], [""], lambda n: total([words[kind, "", n]])):
+        for g in groups(kind, False, top, [x for x in mine if x[0] in top and x[1] in top], [""]):
             rows = [words[kind, "", n] for n in g]
             if file_type(total(rows)) != "object":
                 by_seed = [seed_of[n] for n in sorted(g) if n in seed_of]
@@ -369,8 +367,7 @@ def derive_target(profile: DataFrame, changes: DataFrame, seeds: dict[str, tuple
             parents = by_use(g, False)
             fields = {n for k, p, n in words if k == kind and p in g}
             cut = lambda x: next((x[len(p) + 1 :] for p in parents if x.startswith(p + ".") and x[len(p) + 1 :] in fields), None)
-            inside = lambda n: total([words[kind, p, n] for p in parents if (kind, p, n) in words])
-            for h in groups(kind, True, fields, [(cut(a), cut(b)) for a, b in mine], [p + "." for p in parents], inside):
+            for h in groups(kind, True, fields, [(cut(a), cut(b)) for a, b in mine], [p + "." for p in parents]):
                 rows = [words[kind, p, n] for p in parents for n in h if (kind, p, n) in words]
                 by_seed = [seed_of[f"{p}.{n}"] for p in parents for n in sorted(h) if f"{p}.{n}" in seed_of]
                 paths = [f"{p}.{n}" for n in by_use(h, True) for p in parents]
@@ -384,6 +381,25 @@ def derive_target(profile: DataFrame, changes: DataFrame, seeds: dict[str, tuple
     return out
 
 
+def _alike(profile: DataFrame, pairs: list[tuple[str, str]]) -> list[tuple]:
+    """(kind, whether in an object, a, b) of the pairs of names whose values are alike in the feeds of a kind that hold both, by the mean over these feeds."""
+    if not pairs:
+        return []
+    at = ["feed", "kind", "deep"]
+    per = profile.withColumn("deep", F.col("parent") != "").groupBy(*at, "name").agg(F.struct(*[{"places": F.max(c), "lo_word": F.min(c), "hi_word": F.max(c)}.get(c, F.sum(c)).alias(c) for c in _STATS]).alias("s"))
+    asked = F.broadcast(profile.sparkSession.createDataFrame(pairs, "a string, b string"))  # names of the vocabulary
+    left = per.join(asked, per["name"] == asked["a"]).select(*[F.col(c).alias(f"_{c}") for c in at], "a", "b", F.col("s").alias("x"))
+    on = left["_feed"].eqNullSafe(per["feed"]) & left["_kind"].eqNullSafe(per["kind"]) & (left["_deep"] == per["deep"]) & (left["b"] == per["name"])
+    both = left.join(per, on).select("kind", "deep", "a", "b", "x", F.col("s").alias("y"))
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf[["kind", "deep", "a", "b"]].assign(like=[likeness(x, y) for x, y in zip(pdf["x"], pdf["y"])])
+
+    like = both.mapInPandas(run, "kind string, deep boolean, a string, b string, like double")
+    return sorted((tuple(r)[:4] for r in like.groupBy("kind", "deep", "a", "b").agg(F.avg("like").alias("like")).filter(F.col("like") >= MIN_LIKENESS).collect()), key=str)
+
+
 def column_type(s: dict) -> str:
     """The SQL type that a quantity of these statistics loads as."""
     kind = file_type(s)

@@ -6,7 +6,7 @@ import json
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tapewright.operators.lineparse import min_cost_parse, parse_line, parse_lines, split_fields, structure
+from tapewright.operators.lineparse import json_structure, min_cost_json, min_cost_parse, parse_line, parse_lines, split_fields, structure
 
 
 def states(classes):
@@ -70,6 +70,51 @@ def test_reasons():
     assert parse_line("flow_jsonl", '{"ts":1,"flow":{"price":1,"delta":-2}}')[2] == (1, 1.0, 2.0, "sell")
 
 
+def is_object(text):
+    try:
+        return isinstance(json.loads(text, parse_constant=lambda _: 1 / 0), dict)
+    except (ValueError, ZeroDivisionError):
+        return False
+
+
+def test_json_costs_nothing_only_for_objects():
+    """All texts of up to 5 symbols of a small alphabet."""
+    for n in range(0, 6):
+        for t in itertools.product('{}]",:1' if n == 5 else '{}[]",:1', repeat=n):
+            s = "".join(t)
+            cost, edits = min_cost_json(json_structure(s))
+            assert (cost == 0) == is_object(s) and len(edits) == cost, s
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.recursive(st.none() | st.booleans() | st.integers() | st.text(alphabet='a"\\\\{}[],: \n\t1', max_size=6), lambda x: st.lists(x, max_size=3) | st.dictionaries(st.text(alphabet='k"\\\\:', max_size=3), x, max_size=3), max_leaves=8), st.integers(0, 10**6), st.sampled_from('{}[]",:x\\\\ 1'))
+def test_json_edits(value, at, symbol):
+    text = json.dumps({"a": value}, ensure_ascii=bool(at % 2))
+    assert min_cost_json(json_structure(text)) == (0, [])
+    k = at % len(text)
+    for broken in (text[:k] + text[k + 1 :], text[:k] + symbol + text[k:]):
+        cost, edits = min_cost_json(json_structure(broken))
+        assert (cost == 0) == is_object(broken) and len(edits) == cost
+
+
+def test_edits_are_stated_whole():
+    assert parse_line("trade_csv", ",".join("x" * 60))[1] == "delete_delimiter*55"
+    assert parse_line("trade_jsonl", '{"timestamp":1,"price":1,"quantity":1,"side":"buy"')[1] == "insert_brace"
+    assert parse_line("trade_jsonl", '{"timestamp":1,"price":1"quantity":1,"side":"buy"}')[1] == "insert_comma"
+    assert parse_line("trade_jsonl", '{"timestamp":1,"price":1,"quantity":1,"side":"buy}')[1] == "insert_quote"
+    assert parse_line("trade_jsonl", '{"timestamp":1,"price":1,"quantity":1,"side":"buy"},')[1] == "delete_comma"
+    assert parse_line("trade_jsonl", '{"timestamp":1}')[:2] == ("missing_field", "insert_field:price,insert_field:quantity,insert_field:side")
+    assert parse_line("trade_csv", "1,-1,1,buy,")[1] == "replace_value:price"
+
+
+def test_deep_nesting_loads():
+    deep = "[" * 200_000 + "]" * 200_000
+    for body in (f'{{"a":{deep},"timestamp":1,"price":2,"quantity":3,"side":"buy"}}', f'{{"timestamp":1,"price":2,"quantity":3,"b":{{"side":{deep}}},"side":"buy"}}'):
+        assert parse_line("trade_jsonl", body) == (None, None, (1, 2.0, 3.0, "buy"))
+    assert parse_line("flow_jsonl", f'{{"ts":1,"flow":{{"x":{deep},"price":2,"delta":-3,"y":{{"price":9}}}}}}') == (None, None, (1, 2.0, 3.0, "sell"))
+    assert parse_line("flow_jsonl", f'{{"ts":1,"flow":{{"price":2,"delta":{deep}}}}}')[0] == "bad_quantity"
+
+
 def test_long_lines():
     assert parse_line("trade_csv", "1,1,1,buy," + "x" * 2_000_000)[0] is None
     assert parse_line("trade_csv", "1,1,1,buy," + '"' * 20_001)[0] == "malformed"
