@@ -17,34 +17,29 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapewright.functions.common import require_columns, with_positions
+from tapewright.functions.common import materialize, require_columns, with_positions
 
 
 @dataclass(frozen=True)
 class SpikeRule:
-    """How one field is judged. Half widths are in readings.
-
-    ``threshold`` is in units of the larger of the local and the source's usual deviation. The
-    defaults are above what heavy-tailed but genuine readings reach (a random walk about 13 times its usual
-    distance from the median of 15 readings, a heavy-tailed delta about 14 times) and well below what
-    an implausible one has.
-    """
+    """How one field is judged. Half widths of the rolling median and of the rolling deviation, in readings."""
 
     field: str
     half_width: int = 50
     scale_half_width: int = 50
-    threshold: float = 24.0
 
 
-PRICE = SpikeRule("price", half_width=7, threshold=14.5)
+PRICE = SpikeRule("price", half_width=7)
 DELTA = SpikeRule("delta")
-PRESSURE = SpikeRule("pressure", half_width=7, threshold=30.0)
+PRESSURE = SpikeRule("pressure", half_width=7)
 RULES = (PRICE, DELTA, PRESSURE)
 
 #: Shortest run that can be stuck, longest run ever needed to call it stuck, readings of halo.
 MIN_RUN, MAX_RUN, HALO = 10, 64, 192
-#: Expected number of runs of that length, by chance, in a source with its usual rate of repeats.
-RUN_CHANCE = 1e-3
+#: Expected number of genuine readings, and of genuine runs, of a source that would be called implausible by chance.
+CHANCE = 1e-3
+#: Readings within so many of the usual deviations are never spikes, whatever the tail.
+LEAST_SCORE = 6.0
 
 
 def _impossible(field: str, v: np.ndarray, volume: np.ndarray) -> np.ndarray:
@@ -78,6 +73,19 @@ def _usual(dev: np.ndarray) -> float:
     return float(max(np.median(dev), np.minimum(dev, np.quantile(dev, 0.95)).mean()))
 
 
+def _tail(scores: np.ndarray) -> tuple[float, float]:
+    """(level, slope) of the exponential tail through two upper quantiles of ``scores``: a score is above level + slope ln(1/p) with chance p.
+
+    The quantiles are those above which 1 % and 10 % of the scores lie, fewer than 1 % being implausible; more of a few scores, so that ten lie above.
+    """
+    n = len(scores)
+    high = min(max(0.01, 10 / n), 0.5)
+    low = min(10 * high, 0.9)
+    top, mid = np.quantile(scores, [1 - high, 1 - low])
+    slope = (top - mid) / np.log(low / high)
+    return float(top + slope * np.log(high)), float(slope)
+
+
 def _judge(rule: SpikeRule, pdf: pd.DataFrame, source, core: np.ndarray) -> list[tuple]:
     """Candidates and the statistics row of one field in one shard (rows in order of time)."""
     v = pdf[rule.field].to_numpy(dtype=float, na_value=np.nan)
@@ -96,8 +104,12 @@ def _judge(rule: SpikeRule, pdf: pd.DataFrame, source, core: np.ndarray) -> list
     usual = _usual(dev[inner])
     scale = np.maximum(_rolling_median(dev, rule.scale_half_width), usual)
     with np.errstate(divide="ignore", invalid="ignore"):
-        spike = (dev > rule.threshold * scale) & (dev > 0)
-    for i in np.flatnonzero(spike & inner):
+        score = np.where(dev > 0, dev / scale, 0.0)
+    level, slope = _tail(np.minimum(score[inner], 1e12))
+    n = int(inner.sum())
+    spike = score > max(level + slope * np.log(n / CHANCE), LEAST_SCORE)
+    # All that may be a spike by the source's own tail, which isn't known here.
+    for i in np.flatnonzero((score > LEAST_SCORE) & inner):
         out.append((source, rule.field, "spike", int(ids[good[i]]), float(dev[i]), float(scale[i]), None, None))
     # Runs: a spike between two equal values doesn't end a run. Values on the bound of a bounded field
     # repeat more often than others and are counted by themselves.
@@ -118,7 +130,7 @@ def _judge(rule: SpikeRule, pdf: pd.DataFrame, source, core: np.ndarray) -> list
         if len(ln):
             usual_ln = ln[ln < MIN_RUN] if (ln < MIN_RUN).any() else ln[:0]
             out.append((source, rule.field, name + "_stat", None, float(usual_ln.sum()), float(len(usual_ln)), float(ln.sum()), None))
-    out.append((source, rule.field, "stat", None, usual, float(inner.sum()), None, None))
+    out.append((source, rule.field, "stat", None, usual, float(n), level, slope))
     return out
 
 
@@ -128,6 +140,10 @@ _OUT = "source string, field string, kind string, reading_id long, a double, b d
 def find_implausible(df: DataFrame, rules: tuple[SpikeRule, ...] = RULES, shard_readings: int = 20_000, bucket_ms: int = 900_000) -> DataFrame:
     """Implausible values of ``flow_readings``: ``reading_id``, ``field``, ``kind``, ``source``, one row per value and kind.
 
+    A reading is a spike if its distance from the rolling median, in units of the larger of the local and the source's usual deviation, lies beyond what the
+    exponential tail of the source's own scores would show ``CHANCE`` times among all its readings; a run is stuck if one as long would be expected ``CHANCE`` times, given how
+    often the source repeats a value.
+
     kind is 'impossible' (NaN, infinite, price <= 0, pressure outside -1..1, delta above buy + sell volume),
     'spike' or 'stuck'. A reading delivered again counts once (the earliest ``arrived_at``, ties by the
     smallest values). Defined results: a null value is never a case; readings without a ts come first in
@@ -153,34 +169,34 @@ def find_implausible(df: DataFrame, rules: tuple[SpikeRule, ...] = RULES, shard_
         rows = [x for r in rules for x in _judge(r, pdf, source, core)]
         return pd.DataFrame(rows, columns=["source", "field", "kind", "reading_id", "a", "b", "c", "d"]).astype({"reading_id": "Int64"})
 
-    found = sharded.groupBy("source", "_shard").applyInPandas(judge, _OUT)
-    return _decide(found, rules)
+    # Candidates and statistics are read apart below: written once, so each shard is judged once.
+    return _decide(materialize(sharded.groupBy("source", "_shard").applyInPandas(judge, _OUT), "judged"))
 
 
-def _decide(found: DataFrame, rules: tuple[SpikeRule, ...]) -> DataFrame:
-    """Candidates against what their whole source shows. Both sides are keyed by (source, field, kind)."""
-    threshold = F.create_map(*[x for r in rules for x in (F.lit(r.field), F.lit(r.threshold))])
-    # One pass over the Python output: statistics spread to the candidates by window would put a source
+def _decide(found: DataFrame) -> DataFrame:
+    """Candidates against what their whole source shows: its usual deviation and the tail of its scores, each the median over its shards (by readings)."""
+    # Statistics spread to the candidates by window would put a source
     # into one task; they are aggregated (a row per source and field) and joined instead.
+    median = lambda c: F.expr(f"percentile(if(kind = 'stat', {c}, null), 0.5, if(kind = 'stat', cast(b as bigint), 0))")
     stat = found.filter("kind like '%stat'").groupBy("source", "field").agg(
-        F.expr("percentile(if(kind = 'stat', a, null), 0.5)").alias("usual"),
+        median("a").alias("usual"), median("c").alias("level"), median("d").alias("slope"), F.expr("sum(if(kind = 'stat', b, 0))").alias("readings"),
         F.expr("sum(if(kind = 'run_stat', a, 0))").alias("n"),
         F.expr("sum(if(kind = 'run_stat', b, 0))").alias("r"),
         F.expr("sum(if(kind = 'run_edge_stat', a, 0))").alias("ne"),
         F.expr("sum(if(kind = 'run_edge_stat', b, 0))").alias("re"),
     )
-    stat = stat.select(F.col("source").alias("_s"), F.col("field").alias("_f"), "usual", "n", "r", "ne", "re")
+    stat = stat.select(F.col("source").alias("_s"), F.col("field").alias("_f"), "usual", (F.col("level") + F.col("slope") * F.log(F.col("readings") / CHANCE)).alias("threshold"), "n", "r", "ne", "re")
     cand = found.filter("kind not like '%stat'").select("source", "field", "kind", "reading_id", "a", "b")
     j = cand.join(stat, cand["source"].eqNullSafe(stat["_s"]) & (cand["field"] == stat["_f"]), "left")
     is_edge = F.col("kind") == "run_edge"
     n, r = F.when(is_edge, F.col("ne")).otherwise(F.col("n")), F.when(is_edge, F.col("re")).otherwise(F.col("r"))
     # Rate at which the source repeats a value; half a repeat is added so that it is above 0.
     rate = F.greatest(n - r + 0.5, F.lit(0.5)) / F.greatest(n + 1, F.lit(1.0))
-    needed = 1 + F.log(F.greatest(r, F.lit(1.0)) / F.lit(RUN_CHANCE)) / -F.log(rate)
+    needed = 1 + F.log(F.greatest(r, F.lit(1.0)) / F.lit(CHANCE)) / -F.log(rate)
     needed = F.least(F.greatest(needed, F.lit(float(MIN_RUN))), F.lit(float(MAX_RUN)))
     keep = (
         (F.col("kind") == "impossible")
-        | ((F.col("kind") == "spike") & (F.col("a") > threshold[F.col("field")] * F.greatest(F.col("b"), F.coalesce("usual", F.lit(0.0)))))
+        | ((F.col("kind") == "spike") & (F.col("a") > F.greatest("threshold", F.lit(LEAST_SCORE)) * F.greatest(F.col("b"), F.coalesce("usual", F.lit(0.0)))))
         | (F.col("kind").isin("run", "run_edge") & (F.col("a") >= needed))
     )
     return j.filter(keep).select("reading_id", "field", F.regexp_replace("kind", "^run.*", "stuck").alias("kind"), "source")

@@ -50,3 +50,26 @@ def test_lasting_move_null_and_empty(spark):
     blank = df.withColumns({"price": F.lit(None).cast("double"), "delta": F.lit(None).cast("double"), "pressure": F.lit(None).cast("double"), "source": F.lit(None).cast("string")})
     assert find_implausible(blank).count() == 0
     assert find_implausible(df.limit(0)).count() == 0
+
+
+def test_thresholds_follow_the_source(spark):
+    """Other seeds, sources of other scale and tail: all planted spikes, and next to nothing else."""
+    frames, truth = [], set()
+    for k, seed in enumerate((11, 12, 13, 14, 15, 16)):
+        r = np.random.default_rng(seed)
+        d = readings(4000, seed)
+        d["delta"] = (r.standard_t(5, 4000) * 10.0**k).clip(-13 * 10.0**k, 13 * 10.0**k)
+        d["pressure"] /= 5
+        d["price"] = np.round(d["price"] * 3.0**k, 2 - k // 2)
+        d[["buy_volume", "sell_volume"]] = 1e9
+        for i in r.choice(np.arange(100, 3900, 40), 12, replace=False):
+            f = r.choice(["price", "delta", "pressure"])
+            d.loc[i, f] += {"price": 8.0 * 3.0**k, "delta": 60 * 10.0**k, "pressure": -2.0 * d.loc[i, "pressure"] + 0.95}[f]
+            if f != "pressure" or abs(d.loc[i, f]) <= 1:
+                truth.add((int(i + 10**5 * k), f, "spike"))
+        d["reading_id"] += 10**5 * k
+        d["source"] = f"s{k}"
+        frames.append(d)
+    got = {x for x in found(spark, pd.concat(frames)) if x[2] == "spike"}
+    assert truth <= got
+    assert len(got - truth) <= 1
