@@ -34,10 +34,12 @@ def bar_volumes(df: DataFrame, series: list[str], timeframe: str, ts: str, value
     null or NaN, or whose instant or timeframe is null or unreadable, are no readings.
     """
     require_columns(df, [*series, timeframe, ts, value])
-    # Exact duplicates meet by a hash of the whole row; map-side combine on both steps.
-    every = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+    # Exact duplicates meet by 128 bits of hash of the whole row (hashes skip nulls, so which columns are null is hashed too); map-side combine on both steps.
+    every = [F.col(f"`{c}`") for c in df.columns]
+    absent = F.concat(*[F.isnull(c).cast("int").cast("string") for c in every])
+    hashes = F.struct(F.xxhash64(absent, *every), F.xxhash64(F.lit(7), *every, absent))
     rows = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(
-        *series, timeframe_ms(F.col(timeframe)).alias("_tf"), epoch_ms(F.col(ts)).alias("_ms"), F.col(value).alias("_v"), F.sha2(every, 256).alias("_row")
+        *series, timeframe_ms(F.col(timeframe)).alias("_tf"), epoch_ms(F.col(ts)).alias("_ms"), F.col(value).alias("_v"), hashes.alias("_row")
     )
     rows = rows.filter(F.col("_tf").isNotNull() & F.col("_ms").isNotNull())
     rows = rows.withColumn("_bar", F.call_function("div", F.col("_ms") - F.pmod("_ms", "_tf"), F.col("_tf"))).drop("_ms")

@@ -146,8 +146,8 @@ def find_implausible(df: DataFrame, rules: tuple[SpikeRule, ...] = RULES, shard_
 
     kind is 'impossible' (NaN, infinite, price <= 0, pressure outside -1..1, delta above buy + sell volume),
     'spike' or 'stuck'. A reading delivered again counts once (the earliest ``arrived_at``, ties by the
-    smallest values). Defined results: a null value is never a case; readings without a ts come first in
-    order, readings with a null source form a source of their own; a null volume bounds nothing; an
+    smallest values). Defined results: a null value is never a case; readings without a ts come first, in
+    order of their id, readings with a null source form a source of their own; a null volume bounds nothing; an
     empty table gives no row; other columns are ignored.
     """
     fields = [r.field for r in rules]
@@ -155,7 +155,7 @@ def find_implausible(df: DataFrame, rules: tuple[SpikeRule, ...] = RULES, shard_
     row = F.struct("arrived_at", "ts", "source", *fields, (F.col("buy_volume") + F.col("sell_volume")).alias("volume"))
     # Partial aggregation: copies meet before the shuffle where they can.
     once = df.filter(F.col("reading_id").isNotNull()).groupBy("reading_id").agg(F.min(row).alias("r"))
-    once = once.select("reading_id", F.col("r.source").alias("source"), F.coalesce("r.ts", F.lit(-(2**62))).alias("ts"), *[F.col(f"r.{f}").alias(f) for f in fields], F.col("r.volume").alias("volume"))
+    once = once.select("reading_id", F.col("r.source").alias("source"), F.coalesce("r.ts", F.lit(-(2**62)) + F.pmod("reading_id", F.lit(2**60))).alias("ts"), *[F.col(f"r.{f}").alias(f) for f in fields], F.col("r.volume").alias("volume"))
     placed = with_positions(once, ["source"], ["ts", "reading_id"], F.floor(F.col("ts") / F.lit(bucket_ms)))
     shard = F.floor(F.col("_pos") / F.lit(shard_readings))
     at = F.pmod("_pos", F.lit(shard_readings))

@@ -54,8 +54,42 @@ select * from g except select symbol, timeframe, session_id, bucket_ms from b
 """,
 )
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = regular_grid(table(spark, sf_dir, "ohlcv"), ["symbol", "timeframe", "session_id"], "timeframe", "timestamp_ms", "volume")
-    return grid.filter("status <> 'observed'").select("symbol", "timeframe", "session_id", "bucket_ms")
+    return _grid(spark, sf_dir).filter("status <> 'observed'").select("symbol", "timeframe", "session_id", "bucket_ms")
+
+
+def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regular_grid(table(spark, sf_dir, "ohlcv"), ["symbol", "timeframe", "session_id"], "timeframe", "timestamp_ms", "volume")
+
+
+#: The cubic of problem 3 in SQL: secants to both neighbours, Fritsch-Carlson slopes, Hermite basis. A neighbour further than 13 bars is beyond a gap.
+_SLOPE = "case when {d0} * {d1} > 0 then (3 * {h1} + 3 * {h0}) / ((2 * {h1} + {h0}) / {d0} + ({h1} + 2 * {h0}) / {d1}) else 0 end"
+_END = "(case when sign({e}) <> sign({d0}) then 0 when sign({d0}) <> sign({d1}) and abs({e}) > 3 * abs({d0}) then 3 * {d0} else {e} end)"
+
+
+def _end(h0: str, d0: str, h1: str, d1: str) -> str:
+    return _END.format(e=f"(((2 * {h0} + {h1}) * {d0} - {h0} * {d1}) / ({h0} + {h1}))", d0=d0, d1=d1)
+
+
+@REGISTRY.query(
+    "p3_grid",
+    f"""
+with u as (select distinct * from ohlcv where volume is not null and not isnan(volume)),
+r as (select symbol, timeframe, session_id, volume, {_MS.format(c="timestamp_ms")} ms,
+  cast(regexp_extract(timeframe, '^([0-9]+)', 1) as bigint) * case right(timeframe, 1) when 's' then 1000 when 'm' then 60000 when 'h' then 3600000 else 86400000 end tf from u),
+k as (select symbol, timeframe, session_id, tf, ms // tf bar, sum(volume) v, count(*) n from r group by all),
+w as (select *, lag(bar) over s pb, lag(v) over s pv, lead(bar) over s qb, lead(v) over s qv, lead(bar, 2) over s nb, lead(v, 2) over s nv from k window s as (partition by symbol, timeframe, session_id order by bar)),
+c as (select *, cast(qb - bar as double) h, (qv - v) / (qb - bar) d, case when bar - pb <= 13 then cast(bar - pb as double) end hp, (v - pv) / (bar - pb) dp, case when nb - qb <= 13 then cast(nb - qb as double) end hn, (nv - qv) / (nb - qb) dn from w),
+m as (select *, case when hp is not null then {_SLOPE.format(h0="hp", d0="dp", h1="h", d1="d")} when hn is not null then {_end("h", "d", "hn", "dn")} else d end m0,
+  case when hn is not null then {_SLOPE.format(h0="h", d0="d", h1="hn", d1="dn")} when hp is not null then {_end("h", "d", "hp", "dp")} else d end m1 from c),
+b as (select *, unnest(range(cast(coalesce(h, 1) as bigint))) i from m),
+t as (select *, i / h t from b)
+select symbol, timeframe, session_id, (bar + i) * tf as bucket_ms, case when i = 0 then 'observed' when h <= 13 then 'filled' else 'gap' end as status, cast(case when i = 0 then n else 0 end as bigint) as n_readings,
+  round(case when i = 0 then v when h <= 13 then (1 + 2 * t) * (1 - t) * (1 - t) * v + t * (1 - t) * (1 - t) * h * m0 + t * t * (3 - 2 * t) * qv + t * t * (t - 1) * h * m1 end, 5) as value from t
+""",
+)
+def p3_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every bar of every series with its value: observed, filled, or left open in a long gap."""
+    return _grid(spark, sf_dir).select("symbol", "timeframe", "session_id", "bucket_ms", "status", F.col("n_readings").cast("long").alias("n_readings"), F.round("value", 5).alias("value"))
 
 
 @REGISTRY.query("p4_found")

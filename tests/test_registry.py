@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 
 QUICK = [
     "trades_window", "parse_side", "parse_trade", "tape_validation", "ohlcv_15m", "order_bubbles", "vp_value_area", "vp_regions", "watch_zones", "balance_state", "event_rolling", "event_features", "sequence_labels", "regime_transition",
-    "audit_dups", "audit_segments", "gap_stats", "fwd_returns", "iqr_outliers", "order_flow", "ohlcv_stream", "perf_metrics", "bt_vectorized", "p1_found", "p3_found", "p5_found",
+    "audit_dups", "audit_segments", "gap_stats", "fwd_returns", "iqr_outliers", "order_flow", "ohlcv_stream", "perf_metrics", "bt_vectorized", "p1_found", "p3_found", "p3_grid", "p5_found",
 ]
 
 
