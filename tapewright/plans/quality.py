@@ -1,4 +1,4 @@
-"""Queries of the record-quality operators (problems 1 to 7)."""
+"""Queries of the record-quality operators (problems 1 to 6)."""
 
 from __future__ import annotations
 
@@ -11,7 +11,6 @@ from tapewright.operators.drift import consistent_records, ingest, record_profil
 from tapewright.operators.intervals import periods_and_gaps
 from tapewright.operators.lineparse import parse_lines
 from tapewright.operators.regrid import regular_grid
-from tapewright.operators.sketch import merge_states, percentiles, rank_error, rank_errors, sketch_states
 from tapewright.operators.spikes import find_implausible
 from tapewright.plans.registry import Registry, table
 
@@ -156,39 +155,3 @@ def p6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     typed, profile = _ingested(spark, sf_dir)
     changes = materialize(schema_changes(profile), "changes")
     return consistent_records(typed, P6_SCHEMA, profile, changes, P6_TARGET).drop("feed_kind")
-
-
-QUANTILES = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
-_P7 = ["volume_50", "range_50"]
-
-
-def _p7_states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """States per (symbol, session), and per symbol by merging those."""
-    sessions = sketch_states(table(spark, sf_dir, "event_features"), ["symbol", "session_id"], _P7, row_id="row_id")
-    return sessions, merge_states(sessions, ["symbol"], _P7)
-
-
-@REGISTRY.query("p7_percentiles")
-def p7_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sessions, symbols = _p7_states(spark, sf_dir)
-    a = percentiles(sessions, ["symbol", "session_id"], _P7, QUANTILES)
-    b = percentiles(symbols, ["symbol"], _P7, QUANTILES).withColumn("session_id", F.lit(None).cast("string"))
-    return a.unionByName(b).withColumn("rank_error", F.lit(rank_error()))
-
-
-_P7_ROWS = "select distinct on (row_id) symbol, session_id, volume_50, range_50 from event_features order by row_id"
-
-
-@REGISTRY.query(
-    "p7_rank_check",
-    f"""
-with r as ({_P7_ROWS})
-select symbol, 'volume_50' as field, count(*) as n, true as within_bound from r where volume_50 is not null and not isnan(volume_50) group by symbol
-union all select symbol, 'range_50', count(*), true from r where range_50 is not null and not isnan(range_50) group by symbol
-""",
-)
-def p7_rank_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The answers per symbol, merged from session states, against exact ranks: within twice the 99 % bound."""
-    answers = percentiles(_p7_states(spark, sf_dir)[1], ["symbol"], _P7, QUANTILES)
-    worst = rank_errors(table(spark, sf_dir, "event_features"), answers, ["symbol"], row_id="row_id")
-    return worst.select("symbol", "field", "n", (F.col("worst") <= 2 * rank_error() + 1 / F.col("n")).alias("within_bound"))
