@@ -3,8 +3,8 @@
 Method: a low-discrepancy schedule of sources. The points of the van der Corput sequence are mapped through the cumulative
 weights, so that at any moment each source has had its share of slots; slots are ranked per source, and the
 r-th slot of a source takes the r-th of its blocks of equal tokens, from documents in shuffled order, starting over when they are
-used up. The number of slots is bounded by a parameter, whatever the corpus; documents are placed in blocks by a
-distributed running sum, so a source that holds a third of all documents is spread over many tasks.
+used up. Blocks grow with the corpus up to a bound, then their number does; slots are ranked and documents placed in blocks by
+distributed running sums, so a source that holds a third of all documents is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -16,10 +16,8 @@ from pyspark.sql import functions as F
 
 from tapewright.functions.common import with_positions
 
-#: Most slots of a schedule (the resolution of the shares) and least tokens of a block.
-SLOTS, LEAST_BLOCK = 65_536, 64
-#: A source that would cut the mixture to less than a quarter, the sources so left out holding at most this share, is out of reach.
-OUT_OF_REACH_SHARE = 0.1
+#: Slots a schedule has at most until blocks have reached ``MOST_BLOCK`` tokens; least and most tokens of a block. Beyond that the number of slots grows with the corpus.
+SLOTS, LEAST_BLOCK, MOST_BLOCK = 65_536, 64, 1_000_000
 
 
 @dataclass(frozen=True)
@@ -31,28 +29,29 @@ class Plan:
     status: dict[str, str]
 
 
-def plan_mixture(targets: list[tuple[str, float, int]], available: dict[str, int], total: int | None = None) -> Plan:
+def plan_mixture(targets: list[tuple[str, float, int]], available: dict[str, int], total: int | None = None, leave_out: float = 0.0) -> Plan:
     """How many tokens each source gives.
 
     Without ``total``: as many as let every source with documents reach its share within its repeats. A source
     with no documents gives none ('empty'); one that can't reach its share of the total gives all it may ('out of reach').
+    ``leave_out`` (off by default): the scarcest sources, of at most this share of the target together, don't count for the total if without them it is more than four times as large.
     """
     limit = {s: available.get(s, 0) * max(r, 0) for s, _, r in targets}
     share = {s: w for s, w, _ in targets}
     usable = sorted((s for s in share if limit[s] > 0 and share[s] > 0), key=lambda s: limit[s] / share[s])
     if total is None:
         left, k = 0.0, 0
-        while k + 1 < len(usable) and left + share[usable[k]] <= OUT_OF_REACH_SHARE and 4 * limit[usable[k]] / share[usable[k]] < limit[usable[k + 1]] / share[usable[k + 1]]:
+        while k + 1 < len(usable) and left + share[usable[k]] <= leave_out and 4 * limit[usable[k]] / share[usable[k]] < limit[usable[k + 1]] / share[usable[k + 1]]:
             left += share[usable[k]]
             k += 1
         total = limit[usable[k]] / share[usable[k]] if usable else 0
     tokens = {s: min(share[s] * total, float(limit[s])) for s in share}
     status = {s: "empty" if not limit[s] else "out of reach" if share[s] * total > limit[s] * (1 + 1e-9) else "reached" for s in share}
-    return Plan(tokens, max(LEAST_BLOCK, int(sum(tokens.values()) // SLOTS)), status)
+    return Plan(tokens, min(max(LEAST_BLOCK, int(sum(tokens.values()) // SLOTS)), MOST_BLOCK), status)
 
 
 def schedule(spark: SparkSession, plan: Plan) -> DataFrame:
-    """The slots in order: ``slot``, ``source``, ``rank`` (0-based, per source). At most ``SLOTS`` + 1 rows."""
+    """The slots in order: ``slot``, ``source``, ``rank`` (0-based, per source)."""
     whole = sum(plan.tokens.values())
     sources = sorted(s for s, t in plan.tokens.items() if t > 0)
     n = max(int(round(whole / plan.block)), 1) if whole > 0 else 0
@@ -67,10 +66,10 @@ def schedule(spark: SparkSession, plan: Plan) -> DataFrame:
     for s, edge in reversed(upto[:-1]):
         choice = F.when(F.col("_u") < edge, F.lit(s)).otherwise(choice)
     chosen = slots.withColumn("_u", point).withColumn("source", choice.cast("string")).drop("_u")
-    return chosen.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("slot")) - 1)
+    return with_positions(chosen, ["source"], ["slot"], F.shiftright("slot", 16)).select("slot", "source", F.col("_pos").alias("rank"))
 
 
-def mix_sources(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+def mix_sources(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 17, leave_out: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """(copies per document, report per source).
 
     ``docs``: (doc_id, source, n_tokens), cheap to read twice (a written table); ``targets``: (source, target_share, max_repeats), a small
@@ -84,7 +83,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame, total: int | None = None, s
     rows = [(r["source"], float(r["target_share"] or 0), int(r["max_repeats"] or 0)) for r in targets.select("source", "target_share", "max_repeats").collect() if r["source"] is not None]
     d = docs.select("doc_id", "source", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens")).filter(F.col("source").isin([s for s, _, _ in rows]))
     available = {r["source"]: int(r["t"]) for r in d.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
-    plan = plan_mixture(rows, available, total)
+    plan = plan_mixture(rows, available, total, leave_out)
     # Blocks: documents in shuffled order; a document is in the block that holds its middle.
     shuffled = d.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id"))
     placed = with_positions(shuffled, ["source"], ["_h", "doc_id", "n_tokens"], F.shiftright("_h", 52), F.col("n_tokens"))

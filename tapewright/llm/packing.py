@@ -85,8 +85,16 @@ def pack(sizes: list[int], capacity: int) -> list[list[int]]:
     return [x for x in out if x]
 
 
+def _copies(items: DataFrame) -> DataFrame:
+    """``item``, ``_n`` (its tokens), ``copy``: equal rows numbered from 0. They are counted, not ranked, so any number of equal rows is spread over tasks, and the numbers do not depend on how."""
+    counted = items.select("item", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("_n")).groupBy("item", "_n").agg(F.count(F.lit(1)).alias("_c"))
+    step = 4096  # in two steps, so that no array grows with the count
+    blocks = counted.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_c") - 1, F.lit(step).cast("long"))))
+    return blocks.select("item", "_n", F.explode(F.sequence(F.col("_b"), F.least(F.col("_c"), F.col("_b") + step) - 1)).alias("copy"))
+
+
 def pieces(items: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Items by capacity, cut where they exceed it: ``size_name``, ``capacity``, ``item``, ``piece_no``, ``start_token``, ``n_tokens``.
+    """Items by capacity, cut where they exceed it: ``size_name``, ``capacity``, ``item``, ``whole`` (the item's tokens), ``copy``, ``piece_no``, ``start_token``, ``n_tokens``.
 
     ``items``: (item, n_tokens); ``sizes``: (size_name, capacity_tokens), whose capacities must be above 0.
     """
@@ -96,17 +104,18 @@ def pieces(items: DataFrame, sizes: DataFrame) -> DataFrame:
     if not caps:
         raise ValueError("no capacities given")
     per = F.explode(F.array(*[F.struct(F.lit(n).alias("size_name"), F.lit(c).cast("long").alias("capacity")) for n, c in sorted(caps)]))
-    rows = items.select("item", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("_n"), per.alias("_c")).select("item", "_n", "_c.*")
+    rows = _copies(items).select("item", "_n", "copy", per.alias("_c")).select("item", "_n", "copy", "_c.*")
     last = F.greatest(F.ceil(F.col("_n") / F.col("capacity")) - 1, F.lit(0))
     cut = rows.withColumn("piece_no", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     start = F.col("piece_no") * F.col("capacity")
-    return cut.select("size_name", "capacity", "item", F.col("piece_no").cast("int").alias("piece_no"), start.alias("start_token"), F.least(F.col("_n") - start, F.col("capacity")).alias("n_tokens"))
+    return cut.select("size_name", "capacity", "item", F.col("_n").alias("whole"), "copy", F.col("piece_no").cast("int").alias("piece_no"), start.alias("start_token"), F.least(F.col("_n") - start, F.col("capacity")).alias("n_tokens"))
 
 
 def pack_items(items: DataFrame, sizes: DataFrame, shard_containers: int = SHARD_CONTAINERS) -> DataFrame:
     """Container of every piece of every item: ``size_name``, ``container_id``, ``item``, ``piece_no``, ``start_token``, ``n_tokens``.
 
-    ``items`` should be cheap to read twice (a written table): totals decide the number of shards. Defined results: an item of no
+    ``items`` should be cheap to read twice (a written table): totals decide the number of shards. Containers and their ids follow from the items alone, however
+    they are partitioned. Defined results: an item of no
     tokens (or null) takes no room and goes with other items; a null item is packed like any other; repeated items are items
     of their own; no items give no rows.
     """
@@ -114,11 +123,11 @@ def pack_items(items: DataFrame, sizes: DataFrame, shard_containers: int = SHARD
     totals = {r["size_name"]: math.ceil(r["t"] / (r["capacity"] * shard_containers)) for r in cut.filter(F.col("n_tokens") < F.col("capacity")).groupBy("size_name", "capacity").agg(F.sum("n_tokens").alias("t")).collect()}
     shards = F.create_map(*[x for k, v in totals.items() for x in (F.lit(k), F.lit(max(v, 1)))]) if totals else F.create_map(F.lit(""), F.lit(1))
     is_full = F.col("n_tokens") == F.col("capacity")
-    full = cut.filter(is_full).select("size_name", F.concat_ws("-", "size_name", F.lit("full"), F.coalesce(F.col("item").cast("string"), F.lit("null")), F.col("piece_no").cast("string"), F.monotonically_increasing_id().cast("string")).alias("container_id"), "item", "piece_no", "start_token", "n_tokens")
-    open_ = cut.filter(~is_full).withColumn("_shard", F.pmod(F.xxhash64("item", "piece_no"), F.coalesce(shards[F.col("size_name")], F.lit(1))).cast("long"))
+    full = cut.filter(is_full).select("size_name", F.concat_ws("-", "size_name", F.lit("full"), F.coalesce(F.col("item").cast("string"), F.lit("null")), F.col("whole").cast("string"), F.col("copy").cast("string"), F.col("piece_no").cast("string")).alias("container_id"), "item", "piece_no", "start_token", "n_tokens")
+    open_ = cut.filter(~is_full).withColumn("_shard", F.pmod(F.xxhash64("item", "whole", "copy", "piece_no"), F.coalesce(shards[F.col("size_name")], F.lit(1))).cast("long"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n_tokens", "item"], ascending=[False, True], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["n_tokens", "item", "whole", "copy", "piece_no"], ascending=[False, True, True, True, True], kind="stable").reset_index(drop=True)
         name, shard, capacity = pdf["size_name"].iloc[0], pdf["_shard"].iloc[0], int(pdf["capacity"].iloc[0])
         where = [""] * len(pdf)
         for k, positions in enumerate(pack(pdf["n_tokens"].astype(int).tolist(), capacity)):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,9 +16,9 @@ TOKENIZER_DIR = os.environ.get("TAPEWRIGHT_TOKENIZERS", "/opt/tokenizers")
 TOKENIZER = "byte_bpe_50k.tiktoken"
 #: How byte-level BPE of this vocabulary cuts a text into words.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Texts are encoded in pieces of at most this many characters, cut before a blank, so that the time
-#: of very long texts stays in proportion.
-PIECE_CHARS = 20_000
+#: The encoder's pattern engine runs out of stack on runs of blanks of about a million; longer ones than this are encoded by themselves.
+BLANKS = 100_000
+_RUN = re.compile("[\\t\\n\\v\\f\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{%d,}" % BLANKS)
 
 
 def load_encoding(path: str):
@@ -30,23 +31,17 @@ def load_encoding(path: str):
 
 
 def count_text(encoding, text: str | None) -> int:
-    """Tokens of a text; null and empty have none. The whole text counts."""
-    if not text:
-        return 0
-    if len(text) <= PIECE_CHARS:
-        return len(encoding.encode_ordinary(text))
+    """Tokens of a text, encoded whole; null and empty have none.
+
+    A run of blanks begins a word of the pattern and, but for the last blank where text follows, is one: so a very long run is a piece of its own, and what comes
+    before and after is encoded as it stands.
+    """
     n, start = 0, 0
-    while start < len(text):
-        end = min(start + PIECE_CHARS, len(text))
-        if end < len(text):
-            # A blank after a character that is none begins a new word for the tokenizer as well.
-            cut = end
-            while cut > start + 1 and not (text[cut] == " " and not text[cut - 1].isspace()):
-                cut -= 1
-            end = cut if cut > start + 1 else end
-        n += len(encoding.encode_ordinary(text[start:end]))
+    for m in _RUN.finditer(text or ""):
+        end = m.end() - (m.end() < len(text))
+        n += len(encoding.encode_ordinary(text[start : m.start()])) + len(encoding._encode_single_piece(text[m.start() : end]))
         start = end
-    return n
+    return n + len(encoding.encode_ordinary(text[start:])) if text else 0
 
 
 def with_tokens(df: DataFrame, text: str = "text", tokenizer: str | None = None, keep: list[str] | None = None) -> DataFrame:

@@ -46,3 +46,13 @@ def test_schedule_is_even_at_every_prefix(spark):
         seen[r["source"]] += 1
         if k >= 16:
             assert all(abs(seen[s] - share[s] * k) < 12 for s in share)
+
+
+def test_every_source_counts_unless_told():
+    targets, available = [("a", 0.95, 1), ("b", 0.05, 1)], {"a": 950_000, "b": 100}
+    assert plan_mixture(targets, available).status == {"a": "reached", "b": "reached"}
+    assert plan_mixture(targets, available, leave_out=0.1).status == {"a": "reached", "b": "out of reach"}
+
+
+def test_blocks_stop_growing():
+    assert plan_mixture([("a", 1.0, 1)], {"a": 10**13}).block == 1_000_000

@@ -68,3 +68,28 @@ def test_whole_table(spark, sf):
         pytest.skip("no vocabulary here")
     for r in REGISTRY.queries["p8_fill"](spark, sf).collect():
         assert r["fullest"] <= r["capacity_tokens"] and r["fill"] > 0.8
+
+
+def test_same_containers_however_partitioned(spark):
+    df = spark.createDataFrame([(None, 100)] * 500 + [(7, 3000)] * 3 + [(i, 40 + i % 300) for i in range(500)], "item long, n_tokens long")
+    caps = spark.createDataFrame([("small", 512)], SIZES)
+    got = [sorted((r["container_id"], str(r["item"]), r["piece_no"], r["n_tokens"]) for r in pack_items(df.repartition(n), caps, shard_containers=8).collect()) for n in (1, 7)]
+    assert got[0] == got[1] and len(got[0]) == 1000 + 3 * 6
+    shards = {c.rsplit("-", 1)[0] for c, item, _, _ in got[0] if item == "None"}
+    assert len(shards) > 10  # items without an id are spread
+
+
+def test_tokens_of_any_text():
+    import os
+
+    from tapewright.llm.tokens import BLANKS, TOKENIZER, TOKENIZER_DIR, count_text, load_encoding
+
+    path = os.path.join(TOKENIZER_DIR, TOKENIZER)
+    if not os.path.exists(path):
+        pytest.skip("no vocabulary here")
+    e = load_encoding(path)
+    whole = lambda t: len(e.encode_ordinary(t))
+    for text in ("a\tb" * 30_000, "x" * 100_000, "word " * 50_000, "", " ", "a" + " " * (BLANKS + 5) + "b c", " " * (2 * BLANKS), "\n" * BLANKS + "b" + " " * BLANKS, "a" + " " * BLANKS + "\n"):
+        assert count_text(e, text) == whole(text)
+    assert count_text(e, None) == 0
+    assert count_text(e, "a" + " " * 3_000_000 + "b") == count_text(e, "a" + " " * 1_000_000 + "b") + len(e._encode_single_piece(" " * 2_999_999)) - len(e._encode_single_piece(" " * 999_999))
