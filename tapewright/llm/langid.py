@@ -1,16 +1,20 @@
 """Language of documents and of lines in another language.
 
-Method: a byte convolutional network. Filters of several widths run over the bytes of fixed-length windows, each filter keeps its
+Method: a byte convolutional network. Bytes are embedded, filters of several widths run over fixed-length windows of them, each filter keeps its
 maximum over the window, and a softmax gives the languages. It is trained in numpy on labelled text: a small clean table, and a bounded
-sample of labelled documents whose wrong labels are dropped by a first training. It is applied to batched windows in Arrow batches, without
-a shuffle.
+sample of labelled documents whose wrong labels are dropped by a first training. Trained weights are stored in the shared folder under a hash of what they were
+trained on. The network is applied to batches of windows in Arrow batches, without a shuffle; equal lines of a batch are judged once. A window's result does not depend
+on the windows beside it.
 
 Code, links and numbers have no language and are cut out first. The main language of a document is that of most prose letters; a
-line counts as another language's if its posterior, under a prior for the main language, is high.
+line counts as another language's if the posterior of the main language is low. Evidence grows with the length of a line by a law that is fitted to held-out text, so one limit
+serves lines of any length.
 """
 
 from __future__ import annotations
 
+import hashlib
+import io
 import re
 from dataclasses import dataclass, field
 
@@ -19,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapewright.functions.common import shared_dir
+
 LANGUAGES = ("de", "en", "es", "fr", "it", "nl", "pt", "ru")
 
 # How the languages are written as labels (ISO 639-1, 639-2/B and T, English and own names).
@@ -34,16 +40,17 @@ LABELS = {
 }
 LABEL_OF = {name: code for code, names in LABELS.items() for name in names}
 
-#: Bytes of a window, filter widths and filters per width.
-WINDOW, WIDTHS, FILTERS = 96, (2, 3, 4, 5), 48
+#: Bytes of a window, width of a byte's embedding, filter widths and filters per width; windows judged at once.
+WINDOW, DEPTH, WIDTHS, FILTERS, BATCH = 96, 12, (2, 3, 4, 5), 36, 32
 #: Share of a training label spread over all languages.
 SMOOTHING = 0.004
-#: Labelled documents used for training, per language (about, and never more than 4 times in all).
-TRAIN_DOCUMENTS = 500
+#: Probability of a line's label below which the label is taken for wrong.
+LEAST_LABEL = 0.4
+#: Labelled documents used for training, per language (about, and never more than 4 times in all), and clean samples.
+TRAIN_DOCUMENTS, TRAIN_SAMPLES = 500, 10_000
 #: Prior of the main language for a line, prior of the label for the main language, least share of a window's probability, and the posterior of the main
-#: language up to which a line is another's: higher for lines of at least so many letters.
-MAIN_PRIOR, LABEL_PRIOR, LEAST_PROBABILITY = 0.75, 0.6, 1e-5
-LINE_LETTERS, LONG_POSTERIOR, SHORT_POSTERIOR = 20, 0.4, 0.03
+#: language up to which a line is another's.
+MAIN_PRIOR, LABEL_PRIOR, LEAST_PROBABILITY, LINE_POSTERIOR = 0.75, 0.6, 1e-5, 0.1
 
 
 def label_language(label: str | None) -> str | None:
@@ -56,37 +63,51 @@ def label_language(label: str | None) -> str | None:
 
 # -- prose ------------------------------------------------------------------------------------------------
 
-_FENCE = re.compile(r"^\s*(```|~~~)")
 _INLINE = re.compile(r"`[^`]*`")
-_LINK = re.compile(r"(?:https?|ftp)://\S+|www\.\S+|\S+@\S+\.\S+")
+_LINK = re.compile(r"(?:https?|ftp)://\S+|www\.\S+|\S+@\S+\.\S+", re.IGNORECASE)
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>|&[a-z]+;")
 _NAME = re.compile(r"[^\W\d]\w*(?:\.\w+)*\([^()\s]*\)|\b\w*_\w*\b|\b\w+\.(?:py|csv|json|jsonl|parquet|sql|sh|txt|log|cpp|java|rs|go)\b|\b\w*\d\w*\b")
 _CODE_LINE = re.compile(r"[{}\[\];]\s*$|^\s*[{\[<$#]|==|!=|->|=>|\+\+|^\s*(?:def|class|import|from|SELECT|FROM|WHERE|GROUP BY|return|for \(|if \()\b.*[(:=;*]")
 
 
-def prose_lines(text: str | None) -> list[tuple[int, str]]:
-    """(number, prose) of the lines of ``text`` that hold prose; lines count from 1, split at line feeds."""
+#: A line without any of these holds no code, link, number or name.
+_MARK = re.compile(r"[`<&@/\\:(){}\[\];=+*$#_\d|~^%\"]|\.\w|www|^(?:def|class|import|from|SELECT|FROM|WHERE|GROUP BY|return)\b|->")
+_SPACE = re.compile(r"[\W\d_]+")
+
+
+def _prose(line: str) -> str | None:
+    """The line without code, links and numbers; None if it holds no prose."""
+    if not _MARK.search(line):
+        return line if len(_SPACE.sub("", line)) >= 2 else None
+    rest = _LINK.sub(" ", _INLINE.sub(" ", line))
+    rest = _NAME.sub(" ", _TAG.sub(" ", rest))
+    letters = len(_SPACE.sub("", rest))
+    if letters < 2 or (_CODE_LINE.search(line) and letters < 0.6 * len(line.replace(" ", ""))):
+        return None
+    return rest
+
+
+def prose_lines(text: str | None, known: dict | None = None) -> list[tuple[int, str]]:
+    """(number, prose) of the lines of ``text`` that hold prose; lines count from 1, split at line feeds. ``known`` remembers lines."""
     if not text:
         return []
+    known = {} if known is None else known
     out, fenced = [], False
     for n, line in enumerate(text.split("\n"), 1):
-        if _FENCE.match(line):
+        if line.lstrip()[:3] in ("```", "~~~"):
             fenced = not fenced
             continue
         if fenced or line.startswith(("    ", "\t")) or not line.strip():
             continue
-        rest = _LINK.sub(" ", _INLINE.sub(" ", line))
-        rest = _NAME.sub(" ", _TAG.sub(" ", rest))
-        letters = sum(map(str.isalpha, rest))
-        if letters < 2 or (_CODE_LINE.search(line) and letters < 0.6 * len(line.replace(" ", ""))):
-            continue
-        out.append((n, rest))
+        if line in known:
+            rest = known[line]
+        else:
+            rest = known[line] = _prose(line)
+        if rest is not None:
+            out.append((n, rest))
     return out
 
 
-_SPACE = re.compile(r"[\W\d_]+")
-
-
 def to_bytes(prose: str) -> bytes:
     """Lower-case letters and single blanks, a blank at either end."""
     return (" " + _SPACE.sub(" ", prose.lower()).strip() + " ").encode("utf-8", "replace")
@@ -94,97 +115,110 @@ def to_bytes(prose: str) -> bytes:
 
 # -- the network ------------------------------------------------------------------------------------------
 
+_WIDEST = max(WIDTHS)
+#: Which rows of the filter matrix a filter may use: those of its own width.
+_MASK = np.repeat(np.stack([(np.arange(_WIDEST * DEPTH) < w * DEPTH) for w in WIDTHS], 1), FILTERS, 1).astype(np.float32)
+
 
 @dataclass
 class ByteNet:
-    """Weights: per width a table (offset, byte, filter) and a bias; a dense layer to the languages."""
+    """Weights: embedding of bytes (0 is padding and stays 0), filters of all widths as one matrix, their biases, a dense layer to the languages; and how evidence grows with length."""
 
-    tables: list[np.ndarray] = field(default_factory=list)
-    biases: list[np.ndarray] = field(default_factory=list)
-    dense: np.ndarray | None = None
-    offset: np.ndarray | None = None
+    bytes_: np.ndarray
+    filters: np.ndarray
+    bias: np.ndarray
+    dense: np.ndarray
+    offset: np.ndarray
+    evidence: np.ndarray = field(default_factory=lambda: np.array([1.0, 0.0]))
 
     @staticmethod
     def fresh(seed: int = 7, classes: int = len(LANGUAGES)) -> "ByteNet":
         rng = np.random.default_rng(seed)
-        net = ByteNet()
-        for w in WIDTHS:
-            net.tables.append(rng.normal(0, 0.3 / np.sqrt(w), (w, 256, FILTERS)).astype(np.float32))
-            net.biases.append(np.zeros(FILTERS, np.float32))
-        net.dense = rng.normal(0, 0.1, (FILTERS * len(WIDTHS), classes)).astype(np.float32)
-        net.offset = np.zeros(classes, np.float32)
+        n = FILTERS * len(WIDTHS)
+        net = ByteNet(rng.normal(0, 1, (256, DEPTH)), rng.normal(0, 0.25, (_WIDEST * DEPTH, n)) * _MASK, np.zeros(n), rng.normal(0, 0.1, (n, classes)), np.zeros(classes))
+        net.bytes_[0] = 0
+        for k in ("bytes_", "filters", "bias", "dense", "offset"):
+            setattr(net, k, getattr(net, k).astype(np.float32))
         return net
 
-    def pooled(self, x: np.ndarray, with_argmax: bool = False):
-        """Maxima of all filters over windows ``x`` (n, length) of bytes, 0 being padding; and where they are."""
-        out, where = [], []
-        for t, b, w in zip(self.tables, self.biases, WIDTHS):
-            n = x.shape[1] - w + 1
-            s = t[0][x[:, :n]]
-            for j in range(1, w):
-                s += t[j][x[:, j : j + n]]
-            if with_argmax:
-                at = s.argmax(axis=1)
-                where.append(at)
-                m = np.take_along_axis(s, at[:, None, :], 1)[:, 0]
-            else:
-                m = s.max(axis=1)
-            out.append(np.maximum(m + b, 0))
-        return np.concatenate(out, 1), where
+    def views(self, x: np.ndarray) -> np.ndarray:
+        """(windows, places, widest * depth): the embedded bytes that start at each place, padded with 0 behind the end."""
+        n, length = x.shape
+        e = np.zeros((n, length - 2 + _WIDEST, DEPTH), np.float32)
+        e[:, :length] = self.bytes_[x]
+        return np.lib.stride_tricks.as_strided(e, (n, length - 1, _WIDEST * DEPTH), (e.strides[0], e.strides[1], e.strides[2]))
 
     def log_probs(self, x: np.ndarray) -> np.ndarray:
-        h, _ = self.pooled(x)
-        z = h @ self.dense + self.offset
+        """Log-probabilities of windows ``x`` (n, length) of bytes, all of one length."""
+        n, length = x.shape
+        s = (self.views(x).reshape(-1, _WIDEST * DEPTH) @ self.filters).reshape(n, length - 1, -1).max(1)
+        z = (np.maximum(s + self.bias, 0) @ self.dense + self.offset).astype(np.float64)
         z -= z.max(1, keepdims=True)
         return z - np.log(np.exp(z).sum(1, keepdims=True))
 
+    def save(self) -> bytes:
+        out = io.BytesIO()
+        np.savez_compressed(out, **vars(self))
+        return out.getvalue()
+
+    @staticmethod
+    def load(data: bytes) -> "ByteNet":
+        return ByteNet(**np.load(io.BytesIO(data)))
 
-def windows_of(data: bytes) -> list[bytes]:
-    """Windows of at most ``WINDOW`` bytes; the last takes a short rest with it."""
-    n = max(1, -(-len(data) // WINDOW))
-    size = -(-len(data) // n)
-    return [data[i : i + size] for i in range(0, len(data), size)]
 
+def windows_of(data: bytes) -> list[tuple[bytes, float]]:
+    """(window, weight) that cover ``data``: windows of ``WINDOW`` bytes, the last one ending with it and weighing what it adds. Shorter data is one window."""
+    if len(data) <= WINDOW:
+        return [(data if len(data) > 1 else data + b"  ", 1.0)]
+    out = [(data[i : i + WINDOW], 1.0) for i in range(0, len(data) - WINDOW + 1, WINDOW)]
+    rest = len(data) % WINDOW
+    return [*out, (data[-WINDOW:], rest / WINDOW)] if rest else out
 
-def pad(parts: list[bytes], length: int) -> np.ndarray:
-    x = np.zeros((len(parts), length), np.uint8)
+
+def batched_log_probs(net: ByteNet, parts: list[bytes]) -> np.ndarray:
+    """Log-probabilities of windows. Batches hold ``BATCH`` windows of one length, the last one filled up with zeros, so all products of matrices have the same shape."""
+    out = np.zeros((len(parts), len(LANGUAGES)))
+    by_length: dict[int, list[int]] = {}
     for i, p in enumerate(parts):
-        x[i, : len(p)] = np.frombuffer(p, np.uint8)
-    return x
-
-
-def batched_log_probs(net: ByteNet, parts: list[bytes], batch: int = 256) -> np.ndarray:
-    """Log-probabilities of windows, in batches of windows of like length."""
-    out = np.zeros((len(parts), len(LANGUAGES)), np.float32)
-    order = sorted(range(len(parts)), key=lambda i: len(parts[i]))
-    for k in range(0, len(order), batch):
-        ids = order[k : k + batch]
-        length = max(len(parts[ids[-1]]), max(WIDTHS))
-        out[ids] = net.log_probs(pad([parts[i] for i in ids], length))
+        by_length.setdefault(len(p), []).append(i)
+    for length, ids in by_length.items():
+        x = np.zeros((-(-len(ids) // BATCH) * BATCH, length), np.uint8)
+        x[: len(ids)] = np.frombuffer(b"".join([parts[i] for i in ids]), np.uint8).reshape(len(ids), length)
+        for k in range(0, len(ids), BATCH):
+            mine = ids[k : k + BATCH]
+            out[mine] = net.log_probs(x[k : k + BATCH])[: len(mine)]
     return out
 
 
-def train(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, steps: int = 700, seed: int = 7, batch: int = 128, rate: float = 4e-3) -> ByteNet:
-    """Adam on the cross-entropy of random windows of random length, languages drawn evenly."""
+def train(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, steps: int = 800, seed: int = 7, batch: int = 64, rate: float = 6e-3, start: ByteNet | None = None) -> ByteNet:
+    """Adam on the cross-entropy of random windows of random length, languages drawn evenly; from the weights of ``start`` on, if given."""
     rng = np.random.default_rng(seed)
-    net = ByteNet.fresh(seed)
+    net = start or ByteNet.fresh(seed)
     by_class = [np.flatnonzero(labels == c) for c in range(len(LANGUAGES))]
     present = [c for c in range(len(LANGUAGES)) if len(by_class[c])]
-    draw = [weights[i] / weights[i].sum() if len(i) else None for i in by_class]
-    params = [*net.tables, *net.biases, net.dense, net.offset]
+    draw = [np.cumsum(weights[i] / weights[i].sum()) if len(i) else None for i in by_class]
+    params = [net.bytes_, net.filters, net.bias, net.dense, net.offset]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    k = len(WIDTHS)
+    mean = [np.zeros_like(p) for p in params]
+    rows = np.arange(batch)[:, None]
     for step in range(1, steps + 1):
         cls = rng.choice(present, batch)
+        size = np.where(rng.random(batch) < 0.7, rng.integers(10, WINDOW + 1, batch), WINDOW)
         parts = []
-        for c in cls:
-            d = texts[rng.choice(by_class[c], p=draw[c])]
-            n = int(rng.integers(10, WINDOW + 1)) if rng.random() < 0.7 else WINDOW
-            s = int(rng.integers(0, max(len(d) - n, 0) + 1))
+        for c, u, v, n in zip(cls, rng.random(batch), rng.random(batch), size):
+            d = texts[by_class[c][min(int(np.searchsorted(draw[c], u)), len(draw[c]) - 1)]]
+            s = int(v * (max(len(d) - n, 0) + 1))
             parts.append(d[s : s + n])
-        x = pad(parts, max(max(map(len, parts)), max(WIDTHS)))
-        h, where = net.pooled(x, True)
-        keep = rng.random(h.shape) > 0.2
+        length = np.array([len(p) for p in parts])
+        x = np.zeros((batch, max(int(length.max()), 2)), np.uint8)
+        for i, p in enumerate(parts):
+            x[i, : len(p)] = np.frombuffer(p, np.uint8)
+        views = net.views(x)
+        scores = (views.reshape(-1, _WIDEST * DEPTH) @ net.filters).reshape(batch, x.shape[1] - 1, -1)
+        scores[np.arange(x.shape[1] - 1)[None, :] >= np.maximum(length - 1, 1)[:, None]] = -np.inf
+        at = scores.argmax(1)
+        h = np.maximum(np.take_along_axis(scores, at[:, None, :], 1)[:, 0] + net.bias, 0)
+        keep = rng.random(h.shape, dtype=np.float32) > 0.2
         hd = h * keep / 0.8
         z = hd @ net.dense + net.offset
         z -= z.max(1, keepdims=True)
@@ -195,24 +229,25 @@ def train(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, steps: in
         target[np.arange(batch), cls] += 1 - SMOOTHING
         gz = (p - target) / batch
         gh = (gz @ net.dense.T) * keep / 0.8 * (h > 0)
-        grads = []
-        rows = np.arange(batch)[:, None]
-        for t, at, w, i in zip(net.tables, where, WIDTHS, range(k)):
-            g = gh[:, i * FILTERS : (i + 1) * FILTERS]
-            gt = np.zeros_like(t)
-            filters = np.broadcast_to(np.arange(FILTERS), at.shape)
-            for j in range(w):
-                np.add.at(gt[j], (x[rows, at + j], filters), g)
-            grads.append(gt)
-        grads += [gh[:, i * FILTERS : (i + 1) * FILTERS].sum(0) for i in range(k)]
-        grads += [hd.T @ gz, gz.sum(0)]
-        lr = rate * min(1.0, 2.0 * (1 - step / (steps + 1)))
+        picked = views[rows, at]  # (batch, filters, widest * depth): what each filter saw at its maximum
+        g_filters = np.einsum("bf,bfk->kf", gh, picked, optimize=True) * _MASK
+        seen = np.pad(x, ((0, 0), (0, _WIDEST - 2)))[rows[:, :, None], at[:, :, None] + np.arange(_WIDEST)]  # their bytes
+        g_seen = (gh[:, :, None] * net.filters.T[None]).reshape(-1, DEPTH)
+        g_bytes = np.stack([np.bincount(seen.reshape(-1), g_seen[:, k], 256) for k in range(DEPTH)], 1).astype(np.float32)
+        g_bytes[0] = 0
+        grads = [g_bytes, g_filters, gh.sum(0), hd.T @ gz, gz.sum(0)]
+        lr = rate * min(1.0, 1.5 * (1 - step / (steps + 1)))
         for q, g, a, b in zip(params, grads, first, second):
             a *= 0.9
             a += 0.1 * g
             b *= 0.99
             b += 0.01 * g * g
             q -= lr * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
+        if step > steps // 2:  # the mean of the weights over the second half errs less than the last ones
+            for m, q in zip(mean, params):
+                m += (q - m) / (step - steps // 2)
+    for m, q in zip(mean, params):
+        q[...] = m
     return net
 
 
@@ -224,46 +259,92 @@ def training_sample(docs: DataFrame, per_language: int = TRAIN_DOCUMENTS) -> lis
     label = F.lower(F.trim("lang"))
     primary = F.split(label, "[-_.@ (]")[0]
     known = F.create_map(*[x for k, v in LABEL_OF.items() for x in (F.lit(k), F.lit(v))])
-    labelled = docs.select("doc_id", "lang", F.coalesce(F.try_element_at(known, label), F.try_element_at(known, primary)).alias("_l"))
-    counts = {r["_l"]: r["n"] for r in labelled.filter("_l is not null").groupBy("_l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    labelled = docs.select("doc_id", "text", F.coalesce(F.try_element_at(known, label), F.try_element_at(known, primary)).alias("_l")).filter("_l is not null")
+    counts = {r["_l"]: r["n"] for r in labelled.groupBy("_l").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return []
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))])
-    at = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) / float(1 << 20)
-    src = docs.withColumn("_l", F.coalesce(F.try_element_at(known, label), F.try_element_at(known, primary)))
-    rows = src.filter(F.col("_l").isNotNull() & (at < share[F.col("_l")])).select("_l", "doc_id", "text").limit(4 * per_language * len(LANGUAGES)).collect()
-    return [(r["_l"], r["text"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
+    rows = labelled.withColumn("_at", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) / float(1 << 20)).filter(F.col("_at") < share[F.col("_l")])
+    rows = rows.orderBy("_at", "doc_id", "text").limit(4 * per_language * len(LANGUAGES)).select("_l", "doc_id", "text").collect()
+    return [(r["_l"], r["text"]) for r in sorted(rows, key=lambda r: (str(r["doc_id"]), r["text"] or ""))]
 
 
-def fit(samples: list[tuple[str, str]], documents: list[tuple[str, str]], steps: int = 700, seed: int = 7) -> ByteNet:
-    """Train on clean samples and noisy documents: a first network drops the lines whose label it rejects, a second learns from the rest."""
+def fit(samples: list[tuple[str, str]], documents: list[tuple[str, str]], steps: int = 800, seed: int = 7) -> ByteNet:
+    """Train on clean samples and noisy documents: the network drops the lines whose label it rejects and goes on with the rest. A tenth of the lines is held out to fit how evidence grows with length."""
     code = {c: i for i, c in enumerate(LANGUAGES)}
     clean = [(code[c], to_bytes(t)) for c, t in samples if c in code and t]
-    noisy = [(code[c], to_bytes(p)) for c, t in documents if c in code for _, p in prose_lines(t)]
+    lines = [(code[c], to_bytes(p)) for c, t in documents if c in code for _, p in prose_lines(t)]
+    noisy, held = [x for i, x in enumerate(lines) if i % 10], lines[::10]
     texts = [t for _, t in clean + noisy]
     labels = np.array([c for c, _ in clean + noisy])
     weights = np.array([3.0 * max(len(noisy), 1) / max(len(clean), 1) / 10] * len(clean) + [1 + min(len(t), 2 * WINDOW) / WINDOW for _, t in noisy])
     net = train(texts, labels, weights, steps, seed)
     if noisy:
-        scores = line_scores(net, [t for _, t in noisy])
-        own = np.array([scores[i][c] for i, (c, _) in enumerate(noisy)])
-        good = np.r_[np.ones(len(clean), bool), own > np.log(0.4)]
-        net = train([t for t, g in zip(texts, good) if g], labels[good], weights[good], steps, seed + 1)
+        good = np.r_[np.ones(len(clean), bool), accepted(net, noisy)]
+        net = train([t for t, g in zip(texts, good) if g], labels[good], weights[good], steps, seed + 1, start=net)
+        calibrate(net, [x for x, g in zip(held, accepted(net, held)) if g], seed)
     return net
 
 
-def line_scores(net: ByteNet, lines: list[bytes]) -> np.ndarray:
-    """Normalized log-probabilities of lines: those of their windows added, none below ``LEAST_PROBABILITY``."""
-    parts, owner = [], []
+def accepted(net: ByteNet, lines: list[tuple[int, bytes]]) -> np.ndarray:
+    """Which labelled lines are kept. Of three or more equal lines those with the label of most; of others those whose label the network doesn't reject."""
+    scores = _normalized(_raw_scores(net, [t for _, t in lines])) if lines else np.zeros((0, 1))
+    own = np.array([scores[i][c] for i, (c, _) in enumerate(lines)], float)
+    votes: dict[bytes, dict[int, int]] = {}
+    for c, t in lines:
+        of = votes.setdefault(t, {})
+        of[c] = of.get(c, 0) + 1
+    share = np.array([votes[t][c] / sum(votes[t].values()) if sum(votes[t].values()) >= 3 else np.nan for c, t in lines])
+    return np.where(np.isnan(share), own > np.log(LEAST_LABEL), share > 0.5)
+
+
+def calibrate(net: ByteNet, lines: list[tuple[int, bytes]], seed: int) -> None:
+    """Set how evidence grows: log-likelihoods count a n / (n + b) of their size for n bytes, by the least cross-entropy of held-out lines cut to random lengths."""
+    rng = np.random.default_rng(seed)
+    cut = []
+    for c, t in lines:
+        n = int(rng.integers(6, WINDOW))
+        s = int(rng.integers(0, max(len(t) - n, 0) + 1))
+        cut.append((c, t[s : s + n]))
+    if not cut:
+        return
+    net.evidence = np.array([1.0, 0.0])
+    raw = _raw_scores(net, [t for _, t in cut])
+    n = np.array([[len(t)] for _, t in cut], float)
+    own = np.array([c for c, _ in cut])
+
+    def loss(a: float, b: float) -> float:
+        return -_normalized(raw * (a * n / (n + b)))[np.arange(len(own)), own].mean()
+
+    net.evidence = np.array(min(((a, b) for a in np.arange(0.3, 1.51, 0.1) for b in (0, 2, 4, 8, 12, 16, 24, 32, 48)), key=lambda x: loss(*x)), float)
+
+
+def _raw_scores(net: ByteNet, lines: list[bytes]) -> np.ndarray:
+    """Log-probabilities of the windows of each line added by weight, none below ``LEAST_PROBABILITY``."""
+    parts, owner, weight = [], [], []
     for i, d in enumerate(lines):
-        w = windows_of(d)
-        parts += w
-        owner += [i] * len(w)
-    out = np.zeros((len(lines), len(LANGUAGES)), np.float64)
+        for w, share in windows_of(d):
+            parts.append(w)
+            owner.append(i)
+            weight.append(share)
+    out = np.zeros((len(lines), len(LANGUAGES)))
     if parts:
-        np.add.at(out, np.array(owner), np.maximum(batched_log_probs(net, parts), np.log(LEAST_PROBABILITY)))
-    m = out.max(1, keepdims=True) if len(out) else out
-    return out - m - np.log(np.exp(out - m).sum(1, keepdims=True)) if len(out) else out
+        np.add.at(out, np.array(owner), np.maximum(batched_log_probs(net, parts), np.log(LEAST_PROBABILITY)) * np.array(weight)[:, None])
+    return out
+
+
+def _normalized(x: np.ndarray) -> np.ndarray:
+    x = x - x.max(1, keepdims=True)
+    return x - np.log(np.exp(x).sum(1, keepdims=True))
+
+
+def line_scores(net: ByteNet, lines: list[bytes]) -> np.ndarray:
+    """Normalized log-probabilities of lines: those of their windows, counted by the law of evidence."""
+    if not lines:
+        return np.zeros((0, len(LANGUAGES)))
+    n = np.array([[len(t)] for t in lines], float)
+    a, b = net.evidence
+    return _normalized(_raw_scores(net, lines) * (a * n / (n + b)))
 
 
 def _prior(share: float, of: int | None) -> np.ndarray:
@@ -282,26 +363,29 @@ def _posterior(scores: np.ndarray, prior: np.ndarray) -> np.ndarray:
     return q / q.sum(1, keepdims=True)
 
 
-def judge(lines: list[tuple[int, str]], scores: np.ndarray, label: str | None = None) -> tuple[int, float, list[tuple[int, int, float]]]:
-    """(main language, confidence, [(line, language, confidence)]) of a document, from the scores of its prose lines."""
-    letters = np.array([sum(map(str.isalpha, p)) for _, p in lines], float)
+def judge(lines: list[tuple[int, str]], scores: np.ndarray, label: str | None = None, letters: np.ndarray | None = None) -> tuple[int, float, list[tuple[int, int, float]]]:
+    """(main language, confidence, [(line, language, confidence)]) of a document, from the scores of its prose lines.
+
+    Main language and lines' languages depend on each other: they are found in turn until nothing changes, or a main language comes up again; then the one of most letters among those seen stays.
+    """
+    if letters is None:
+        letters = np.array([len(_SPACE.sub("", p)) for _, p in lines], float)
     # The label counts once per document, however many lines there are.
     p = _posterior(scores, _prior(LABEL_PRIOR, LANGUAGES.index(label) if label in LANGUAGES else None) / len(lines))
     main = int((letters[:, None] * p).sum(0).argmax())
-    out: list[tuple[int, int, float]] = []
-    for _ in range(3):
+    seen: dict[int, tuple] = {}
+    while main not in seen:
         q = _posterior(scores, _prior(MAIN_PRIOR, main))
-        best = q.argmax(1)
-        sure = q[:, main] <= np.where(letters >= LINE_LETTERS, LONG_POSTERIOR, SHORT_POSTERIOR)
-        lang = np.where(sure, best, main)
-        out = [(n, int(c), float(q[i, c])) for i, ((n, _), c) in enumerate(zip(lines, lang))]
+        lang = np.where(q[:, main] <= LINE_POSTERIOR, q.argmax(1), main)
         share = np.bincount(lang, weights=letters, minlength=len(LANGUAGES))
-        if share.argmax() == main or share[share.argmax()] == share[main]:
-            break
-        main = int(share.argmax())
-    own = [(letters[i], c) for i, (_, k, c) in enumerate(out) if k == main]
-    confidence = sum(a * c for a, c in own) / max(letters.sum(), 1.0)
-    return main, float(confidence), out
+        seen[main] = (share[main], q, lang)
+        if share[main] < share.max():
+            main = int(share.argmax())
+    main = main if seen[main][0] >= np.bincount(seen[main][2], weights=letters).max() else max(seen, key=lambda m: (seen[m][0], -m))
+    _, q, lang = seen[main]
+    out = [(n, int(c), round(float(q[i, c]), 6)) for i, ((n, _), c) in enumerate(zip(lines, lang))]
+    confidence = sum(letters[i] * c for i, (_, k, c) in enumerate(out) if k == main) / max(letters.sum(), 1.0)
+    return main, round(float(confidence), 6), out
 
 
 _OUT = "doc_id long, line_no int, lang string, confidence double, label string, main string"
@@ -314,22 +398,27 @@ def detect(docs: DataFrame, net: ByteNet) -> DataFrame:
     only) has one row of line_no 0 with a null lang and confidence 0; repeated documents each have their rows; an empty table gives none; other columns are ignored.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(net)  # some 0.7 MB, by its fixed shape
+    shared = spark.sparkContext.broadcast(net.save())  # some 50 kB, by its fixed shape
 
     def run(batches):
-        model = shared.value
+        model = ByteNet.load(shared.value)
         for pdf in batches:
-            rows = []
-            docs_ = [(d, prose_lines(t), l) for d, t, l in zip(pdf["doc_id"], pdf["text"], pdf["lang"])]
-            flat = [to_bytes(p) for _, lines, _ in docs_ for _, p in lines]
-            scores, at = line_scores(model, flat), 0
+            rows, known = [], {}
+            docs_ = [(d, prose_lines(t, known), l) for d, t, l in zip(pdf["doc_id"], pdf["text"], pdf["lang"])]
+            # Equal lines of the batch are judged once.
+            place: dict[str, int] = {}
+            for _, lines, _ in docs_:
+                for _, p in lines:
+                    place.setdefault(p, len(place))
+            scores = line_scores(model, [to_bytes(p) for p in place])
+            letters = np.array([len(_SPACE.sub("", p)) for p in place], float)
             for d, lines, label in docs_:
                 own = label_language(label)
                 if not lines:
                     rows.append((d, 0, None, 0.0, own, None))
                     continue
-                main, confidence, judged = judge(lines, scores[at : at + len(lines)], own)
-                at += len(lines)
+                ids = [place[p] for _, p in lines]
+                main, confidence, judged = judge(lines, scores[ids], own, letters[ids])
                 rows.append((d, 0, LANGUAGES[main], confidence, own, LANGUAGES[main]))
                 rows.extend((d, n, LANGUAGES[c], q, own, LANGUAGES[main]) for n, c, q in judged)
             yield pd.DataFrame(rows, columns=["doc_id", "line_no", "lang", "confidence", "label", "main"])
@@ -337,10 +426,16 @@ def detect(docs: DataFrame, net: ByteNet) -> DataFrame:
     return docs.select("doc_id", "text", "lang").mapInPandas(run, _OUT)
 
 
-def fit_tables(spark: SparkSession, samples: DataFrame, docs: DataFrame, per_language: int = TRAIN_DOCUMENTS, steps: int = 700) -> ByteNet:
-    """Train on a small table of samples (lang, text) and a bounded sample of ``docs``."""
-    clean = [(r["lang"], r["text"]) for r in samples.select("lang", "text").limit(10_000).collect()]
-    return fit(clean, training_sample(docs, per_language), steps)
+def fit_tables(spark: SparkSession, samples: DataFrame, docs: DataFrame, per_language: int = TRAIN_DOCUMENTS, steps: int = 800, max_samples: int = TRAIN_SAMPLES) -> ByteNet:
+    """Train on a table of samples (lang, text; at most ``max_samples`` of them, by hash) and a bounded sample of ``docs``; or load the weights if the shared folder holds those of the same texts and parameters."""
+    clean = samples.select("lang", "text").orderBy(F.xxhash64("lang", "text"), "lang", "text").limit(max_samples).collect()
+    clean, noisy = [(r["lang"], r["text"]) for r in clean], training_sample(docs, per_language)
+    settings = (WINDOW, DEPTH, WIDTHS, FILTERS, SMOOTHING, steps)
+    path = f"{shared_dir(spark)}/tapewright-langid-{hashlib.sha256(repr((settings, clean, noisy)).encode()).hexdigest()}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        spark.createDataFrame([(bytearray(fit(clean, noisy, steps).save()),)], "weights binary").coalesce(1).write.mode("overwrite").parquet(path)
+    return ByteNet.load(bytes(spark.read.parquet(path).first()["weights"]))
 
 
 def wrong_labels(found: DataFrame) -> DataFrame:

@@ -2,7 +2,10 @@ import pytest
 
 pytest.importorskip("tapewright.llm")
 
-from tapewright.llm.langid import LANGUAGES, detect, fit_tables, judge, label_language, line_scores, prose_lines, to_bytes, train, wrong_labels  # noqa: E402
+import numpy as np  # noqa: E402
+
+from tapewright.llm import langid  # noqa: E402
+from tapewright.llm.langid import LANGUAGES, WINDOW, ByteNet, batched_log_probs, detect, fit_tables, judge, label_language, line_scores, prose_lines, to_bytes, train, windows_of, wrong_labels  # noqa: E402
 
 
 MIDDLE = "/root/testdata/sf0.01"
@@ -40,8 +43,6 @@ def test_held_out_accuracy(spark, sf, net):
 
 
 def test_gradient_lowers_loss():
-    import numpy as np
-
     texts = [b" the cat and the dog ", b" der hund und die katze "] * 20
     labels = np.array([LANGUAGES.index("en"), LANGUAGES.index("de")] * 20)
     small = train(texts, labels, np.ones(40), steps=60)
@@ -61,3 +62,48 @@ def test_edge_rows(spark, net):
     wrong = {(r["doc_id"], r["line_no"], r["lang"]) for r in wrong_labels(found).collect()}
     assert (4, 0, "en") in wrong and (5, 2, "de") in wrong and not any(d == 5 and n != 2 for d, n, _ in wrong)
     assert detect(df.limit(0), net).count() == 0
+
+
+def test_windows_cover_and_weigh():
+    for n in (2, 50, 96, 97, 192, 250):
+        data = bytes(1 + i % 250 for i in range(n))
+        parts = windows_of(data)
+        assert all(len(p) == min(n, WINDOW) for p, _ in parts) and abs(sum(w for _, w in parts) - max(n / WINDOW, 1)) < 1e-9
+    assert len(windows_of(b" ")[0][0]) > 1
+
+
+def test_a_window_does_not_depend_on_those_beside_it(net):
+    parts = [b" " + bytes([97 + i % 26]) * k + b" der hund " for i, k in enumerate(range(1, 80))]
+    together = batched_log_probs(net, parts)
+    alone = [batched_log_probs(net, [p])[0] for p in parts]
+    assert np.abs(together - np.array(alone)).max() < 1e-6
+
+
+def test_same_rows_however_partitioned(spark, sf, net):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = []
+    for n, batch in ((1, "10000"), (4, "7"), (50, "10000")):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        got.append(sorted(map(tuple, detect(docs.repartition(n), net).drop("label").collect()), key=str))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert got[0] == got[1] == got[2] and len(got[0]) > 100
+
+
+def test_weights_are_stored(spark, sf, net, monkeypatch):
+    copy = ByteNet.load(net.save())
+    assert all(np.array_equal(getattr(copy, k), v) for k, v in vars(net).items())
+    monkeypatch.setattr(langid, "fit", lambda *_: 1 / 0)
+    again = fit_tables(spark, spark.read.parquet(f"{MIDDLE}/lang_samples.parquet"), spark.read.parquet(f"{MIDDLE}/documents.parquet"))
+    assert np.array_equal(again.filters, net.filters)
+
+
+def test_judging_ends_and_agrees():
+    """Random scores: the main language is one of most letters under its own reading of the lines, or none is."""
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        n = int(rng.integers(1, 6))
+        letters = rng.integers(2, 60, n).astype(float)
+        raw = rng.normal(0, 3, (n, len(LANGUAGES)))
+        main, confidence, out = judge([(i + 1, "x") for i in range(n)], raw, None, letters)
+        assert 0 <= confidence <= 1 and [k for k, _, _ in out] == list(range(1, n + 1)) and 0 <= main < len(LANGUAGES)
