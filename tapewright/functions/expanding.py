@@ -1,9 +1,13 @@
 """Exact expanding quantiles of a long tape: at each row, over all rows before it.
 
 A window frame that grows with the tape costs its square, and one Python task per symbol can't hold a symbol of a third of all rows. Here the
-tape is cut into shards by position. For a shard, all earlier shards are one fixed multiset: of it, only the values near the wanted ranks are
-needed, the rest being counted. Which values those are follows from a table of counts per (shard, value bucket), value buckets being cut by
-exact rank. So a task holds its shard's rows and a few buckets of values, whatever the length of the tape.
+tape is cut into shards by position. Inside a shard all rows are answered at once by descending a wavelet matrix, bit by bit, for all rows and quantiles of a column
+together.
+
+Of the earlier shards a shard needs only the values near the ranks it will ask for, the others being counted. Values get a bucket by exact rank. Counts of values by (shard, bucket) are
+summed over shards once per bucket, so what a shard finds before it is one row per bucket, first for groups of buckets, then for the buckets of the few groups that hold a wanted rank. The buckets
+found are sent once per column, whatever the number of quantiles. So tables in between grow in proportion to the tape: (rows / shard) x groups, and some two shards' worth of
+values per shard and column.
 """
 
 from __future__ import annotations
@@ -15,162 +19,169 @@ from pyspark.sql import functions as F
 
 from tapewright.functions.common import materialize, with_positions
 
+#: Rows of a shard and of a bucket of values; groups that buckets are first looked up in; parts that the values of a bucket are sent in.
+SHARD_ROWS, BUCKET_ROWS, GROUPS, SALTS = 131_072, 16_384, 256, 16
+
+
+def kth_of_prefixes(ranks: np.ndarray, length: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The ``k``-th smallest (from 0) of the first ``length`` entries of ``ranks``, for many (length, k) at once."""
+    left, right, k = np.zeros(len(length), np.int64), length.astype(np.int64), k.astype(np.int64)
+    out = np.zeros(len(length), np.int64)
+    for bit in range(max(int(ranks.max()).bit_length() if len(ranks) else 0, 1) - 1, -1, -1):
+        one = (ranks >> bit) & 1
+        zeros = np.r_[0, np.cumsum(1 - one)]
+        l0, r0 = zeros[left], zeros[right]
+        here = r0 - l0
+        up = k >= here
+        k = np.where(up, k - here, k)
+        left, right = np.where(up, zeros[-1] + left - l0, l0), np.where(up, zeros[-1] + right - r0, r0)
+        out |= up.astype(np.int64) << bit
+        ranks = np.concatenate([ranks[one == 0], ranks[one == 1]])
+    return out
+
+
+def shard_quantiles(base: np.ndarray, values: np.ndarray, total: int, asked: list[tuple[float, int, int]]) -> list[np.ndarray]:
+    """Quantiles (linear) at each position of ``values`` over everything before it, one array per (quantile, least number of values, shift) of ``asked``.
 
-class _Counts:
-    """Fenwick tree over sorted candidate values: insert, and find the k-th smallest."""
-
-    def __init__(self, n: int) -> None:
-        self.n = n
-        self.tree = np.zeros(n + 1, np.int64)
-        self.top = 1 << max(n.bit_length() - 1, 0)
-
-    @staticmethod
-    def of(counts: np.ndarray) -> "_Counts":
-        t = _Counts(len(counts))
-        tree = t.tree
-        tree[1:] = counts
-        for i in range(1, t.n + 1):
-            j = i + (i & -i)
-            if j <= t.n:
-                tree[j] += tree[i]
-        t.tree = tree.tolist()
-        return t
-
-    def add(self, i: int) -> None:
-        i += 1
-        tree, n = self.tree, self.n
-        while i <= n:
-            tree[i] += 1
-            i += i & -i
-
-    def kth(self, k: int) -> int:
-        """Index of the k-th smallest, k from 0."""
-        pos, step, tree, n = 0, self.top, self.tree, self.n
-        while step:
-            nxt = pos + step
-            if nxt <= n and tree[nxt] <= k:
-                pos, k = nxt, k - tree[nxt]
-            step >>= 1
-        return pos
-
-
-def shard_quantile(base: np.ndarray, below: int, total: int, values: np.ndarray, q: float, least: int) -> np.ndarray:
-    """Quantile ``q`` (linear) at each position of ``values`` over everything before it; nan below ``least`` values.
-
-    Before the shard there are ``total`` values: ``below`` smaller than all of ``base``, then the sorted ``base``, then larger ones.
-    nan in ``values`` is no value.
+    Before the shard there are ``total`` values. ``base`` holds those of them near the wanted ranks, sorted; ``shift`` is the number of earlier values that are below the ones
+    near this rank and not in ``base``. nan in ``values`` is no value; below the least number the answer is nan.
     """
-    out = np.full(len(values), np.nan)
-    mine = values[~np.isnan(values)]
-    grid = np.unique(np.concatenate([base, mine]))
+    known = ~np.isnan(values)
+    grid, ranks = np.unique(np.concatenate([base, values[known]]), return_inverse=True)
+    before = np.cumsum(known) - known
+    n = total + before
+    out = [np.full(len(values), np.nan) for _ in asked]
     if not len(grid):
         return out
-    counts = _Counts.of(np.bincount(np.searchsorted(grid, base), minlength=len(grid)))
-    at = np.searchsorted(grid, np.nan_to_num(values))
-    n = total
-    for i, v in enumerate(values):
-        if n >= least and n > 0:
-            pos = q * (n - 1)
-            k = int(pos)
-            frac = pos - k
-            a = grid[min(counts.kth(k - below), len(grid) - 1)]
-            if frac > 0:
-                b = grid[min(counts.kth(k + 1 - below), len(grid) - 1)]
-                out[i] = a + (b - a) * frac
-            else:
-                out[i] = a
-        if v == v:
-            # Values smaller than the given base raise the count below it; they are on the grid, so the tree holds them.
-            counts.add(at[i])
-            n += 1
+    jobs = []
+    for i, (q, least, shift) in enumerate(asked):
+        at = np.flatnonzero((n >= max(least, 1)))
+        pos = q * (n[at] - 1)
+        low = np.floor(pos).astype(np.int64)
+        jobs.append((i, at, low - shift, pos - low))
+    length = np.concatenate([len(base) + before[at] for _, at, _, _ in jobs])
+    last = np.maximum(length - 1, 0)
+    wanted = np.concatenate([k for _, _, k, _ in jobs])
+    found = kth_of_prefixes(ranks.astype(np.int64), np.r_[length, length], np.r_[np.clip(wanted, 0, last), np.clip(wanted + 1, 0, last)])
+    found = grid[np.minimum(found, len(grid) - 1)].reshape(2, -1)
+    start = 0
+    for i, at, k, frac in jobs:
+        a, b = found[:, start : start + len(k)]
+        start += len(k)
+        with np.errstate(invalid="ignore"):
+            out[i][at] = np.where(frac > 0, a + (b - a) * frac, a)
     return out
 
 
-def expanding_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float, int]], keys: tuple[str, ...] = ("symbol",), position: str = "event_idx", shard_rows: int = 65_536, bucket_rows: int = 65_536) -> DataFrame:
+def expanding_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float, int]], keys: tuple[str, ...] = ("symbol",), position: str = "event_idx", shard_rows: int = SHARD_ROWS, bucket_rows: int | None = None) -> DataFrame:
     """Adds a column per entry of ``wanted`` ({name: (column, quantile, least number of values)}): the quantile over all rows of the key before this one.
 
-    ``position`` numbers the rows of a key from 0. Null and NaN are no values. Linear interpolation, as pandas has it. A key that starts and ends within one shard
-    is done without the exchange of buckets' counts mattering: it has no earlier shard. Repeated values are counted as often as they occur.
+    ``position`` numbers the rows of a key from 0. Null and NaN are no values. Linear interpolation, as pandas has it. Repeated values are counted as often as they occur.
+    A null key is a key of its own; an empty table gives an empty one. Where no tape is longer than a shard there is nothing before any shard, and nothing is exchanged.
     """
     # Read several times below: written once, whatever it took to make it.
     df = materialize(df, "expanding")
     names = [f"_k{i}" for i in range(len(keys))]
-    shard = F.floor(F.col(position) / F.lit(shard_rows))
     columns = sorted({c for c, _, _ in wanted.values()})
-    tall = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(position).alias("_p"), shard.alias("_s"), F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.when(~F.isnan(c), F.col(c)).alias("v")) for c in columns])).alias("_x"))
-    tall = tall.select(*names, "_p", "_s", "_x.c", "_x.v")
+    value = {c: f"_v{i}" for i, c in enumerate(columns)}
+    rows = df.select(
+        *[F.col(k).alias(n) for k, n in zip(keys, names)], F.floor(F.col(position) / F.lit(shard_rows)).alias("_s"), F.col(position).cast("long").alias("_p"),
+        *[F.when(~F.isnan(c), F.col(c)).cast("double").alias(v) for c, v in value.items()],
+    )
+    longest = df.agg(F.max(position)).first()[0]
+    spec = list(wanted.items())
+    types = dict(rows.dtypes)
+    schema = ", ".join(f"{n} {types[n]}" for n in names) + ", _p long, " + ", ".join(f"`_a{i}` double" for i in range(len(spec)))
+
+    def answer(pdf: pd.DataFrame, near: pd.DataFrame | None) -> pd.DataFrame:
+        pdf = pdf.sort_values("_p", kind="stable")
+        out = pdf[[*names, "_p"]].copy()
+        for c in columns:
+            mine = [(i, q, least, name) for i, (name, (of, q, least)) in enumerate(spec) if of == c]
+            total, base, asked = 0, np.zeros(0), [(q, least, 0) for _, q, least, _ in mine]
+            if near is not None and len(near):
+                here = near[near["c"] == c]
+                facts = here[here["name"].notna()]
+                if len(facts):
+                    total = int(facts["total"].iloc[0])
+                    held = here[here["name"].isna()].sort_values("v")
+                    base, bucket = held["v"].to_numpy(float), np.sort(held["b"].to_numpy(np.int64))
+                    first = {n: (int(b), int(x)) for n, b, x in zip(facts["name"], facts["b"], facts["below"])}
+                    asked = [(q, least, first[name][1] - int(np.searchsorted(bucket, first[name][0]))) for _, q, least, name in mine]
+            got = shard_quantiles(base, pdf[value[c]].to_numpy(dtype=float, na_value=np.nan), total, asked)
+            for (i, _, _, _), a in zip(mine, got):
+                out[f"_a{i}"] = a
+        return out
+
+    by = rows.groupBy(*names, "_s")
+    if longest is None or longest < shard_rows:
+        answers = by.applyInPandas(lambda pdf: answer(pdf, None), schema)
+    else:
+        near = _near(rows, names, value, wanted, shard_rows, bucket_rows or max(shard_rows // 8, 1), int(longest))
+        answers = by.cogroup(near.groupBy(*names, "_s")).applyInPandas(answer, schema)
+    answers = answers.select(*names, "_p", *[F.when(~F.isnan(f"_a{i}"), F.col(f"_a{i}")).alias(name) for i, (name, _) in enumerate(spec)])
+    cond = df[position] == answers["_p"]
+    for k, n in zip(keys, names):
+        cond = cond & df[k].eqNullSafe(answers[n])
+    return df.join(answers, cond, "left").drop(*names, "_p")
+
+
+def _near(rows: DataFrame, names: list[str], value: dict[str, str], wanted: dict, shard_rows: int, bucket_rows: int, longest: int) -> DataFrame:
+    """What each shard needs of the earlier ones: rows of values (``c``, ``b`` their bucket, ``v``), and per wanted name the ``total`` before, the first bucket sent (``b``) and how many values lie ``below`` it."""
     key = [*names, "c"]
-    valued = tall.filter("v is not null")
-    # Value buckets of equal numbers of rows, by exact rank; equal values may lie in two buckets.
-    hash_order = ["v", "_p"]
-    ranked = with_positions(valued, key, hash_order, _value_slice("v"))
-    ranked = ranked.select(*key, "_p", "_s", "v", F.floor(F.col("_pos") / F.lit(bucket_rows)).alias("_b"))
+    per_column = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(v).alias("v")) for c, v in value.items()]))
+    valued = rows.select(*names, "_s", "_p", per_column.alias("_x")).select(*names, "_s", "_p", "_x.c", "_x.v").filter("v is not null")
+    ranked = with_positions(valued, key, ["v", "_p"], _value_slice("v")).select(*key, "_s", "_p", "v", F.floor(F.col("_pos") / F.lit(bucket_rows)).alias("b"))
     ranked = materialize(ranked, "ranked")
-    counts = ranked.groupBy(*key, "_s", "_b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"))
-    # Per shard and wanted quantile: which buckets of earlier shards are needed, and how many values lie below.
-    per_shard = counts.groupBy(*key, "_s").agg(F.sum("n").alias("own"))
-    before = Window.partitionBy(*key).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    per_shard = per_shard.withColumn("total", F.coalesce(F.sum("own").over(before), F.lit(0)))
-    asked = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(c).alias("of"), F.lit(float(q)).alias("q"), F.lit(int(m)).alias("least")) for n, (c, q, m) in wanted.items()]))
-    jobs = per_shard.select(*key, "_s", "own", "total", asked.alias("a")).filter("a.of = c").select(*key, "_s", "own", "total", "a.name", "a.q", "a.least")
-    buckets = counts.select(*[F.col(x).alias(f"e_{x}") for x in key], F.col("_s").alias("e_s"), F.col("_b").alias("e_b"), F.col("n").alias("e_n"))
-    same = F.lit(True)
-    for x in key:
-        same = same & jobs[x].eqNullSafe(buckets[f"e_{x}"])
-    # Counts of values by bucket over all earlier shards: one row per (shard, bucket), not per value.
-    earlier = jobs.join(buckets, same & (buckets["e_s"] < jobs["_s"])).groupBy(*key, "_s", "own", "total", "name", "q", "least", "e_b").agg(F.sum("e_n").alias("n"))
-    upto = Window.partitionBy(*key, "_s", "name").orderBy("e_b")
-    earlier = earlier.withColumn("cum", F.sum("n").over(upto))
+    cells = materialize(ranked.groupBy(*key, "_s", "b").agg(F.count(F.lit(1)).alias("n")), "cells")
+    buckets = longest // bucket_rows + 1
+    size = -(-buckets // GROUPS)  # buckets of a group
+    groups = -(-buckets // size)
+    # What lies before a shard, by groups of buckets: a row per shard and group, summed over the shards of one group at a time.
+    shards = rows.select(*names, "_s").distinct().withColumn("c", F.explode(F.array(*[F.lit(c) for c in value])))
+    frame = shards.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    coarse = cells.groupBy(*key, "_s", F.call_function("div", F.col("b"), F.lit(size)).alias("g")).agg(F.sum("n").alias("n"))
+    coarse = _equal(frame, coarse, [*key, "_s", "g"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    over_s = Window.partitionBy(*key, "g").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    coarse = coarse.withColumn("before", F.coalesce(F.sum("n").over(over_s), F.lit(0)))
+    at = Window.partitionBy(*key, "_s")
+    coarse = coarse.withColumn("cum", F.sum("before").over(at.orderBy("g"))).withColumn("total", F.sum("before").over(at)).withColumn("own", F.sum("n").over(at)).filter("total > 0")
+    asked = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(c).alias("of"), F.lit(float(q)).alias("q")) for n, (c, q, _) in wanted.items()]))
     # Ranks asked for go from q (total - 1) down by at most own and up by at most own + 1.
     low, high = F.floor(F.col("q") * (F.col("total") - 1)) - F.col("own"), F.ceil(F.col("q") * (F.col("total") + F.col("own"))) + 1
-    near = (F.col("cum") > low) & (F.col("cum") - F.col("n") <= high)
-    window_ = earlier.filter(near).withColumn("below_b", F.col("cum") - F.col("n"))
-    below = window_.groupBy(*key, "_s", "name").agg(F.min("below_b").alias("below"))
-    need = window_.select(*[F.col(x).alias(f"w_{x}") for x in key], F.col("_s").alias("w_s"), F.col("name").alias("w_name"), F.col("e_b").alias("w_b"))
-    match = F.lit(True)
-    for x in key:
-        match = match & ranked[x].eqNullSafe(need[f"w_{x}"])
-    base = ranked.join(need, match & (ranked["_b"] == need["w_b"]) & (ranked["_s"] < need["w_s"])).select(*key, F.col("w_s").alias("_s"), F.col("w_name").alias("name"), F.lit(-1).cast("long").alias("_p"), "v")
-    rows = tall.select(*key, "_s", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(c).alias("of")) for n, (c, _, _) in wanted.items()])).alias("a"), "_p", "v").filter("a.of = c").select(*key, "_s", "a.name", "_p", "v")
-    spec = {n: (float(q), int(m)) for n, (_, q, m) in wanted.items()}
-    on = [*key, "_s", "name"]
-    facts = _outer(jobs.select(*on, "total"), below, on)
-    work = rows.unionByName(base)
-    marks = facts.select(*on, F.lit(-2).cast("long").alias("_p"), F.col("total").cast("double").alias("v")).unionByName(facts.select(*on, F.lit(-3).cast("long").alias("_p"), F.coalesce("below", F.lit(0)).cast("double").alias("v")))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        name = pdf["name"].iloc[0]
-        q, least = spec[name]
-        p = pdf["_p"].to_numpy()
-        v = pdf["v"].to_numpy(dtype=float, na_value=np.nan)
-        total, below_ = (int(v[p == m][0]) if (p == m).any() else 0 for m in (-2, -3))
-        mine = p >= 0
-        order = np.argsort(p[mine], kind="stable")
-        values = v[mine][order]
-        got = shard_quantile(np.sort(v[p == -1]), below_, total, values, q, least)
-        out = pdf.loc[mine, [*names, "_p", "name"]].iloc[order].copy()
-        out["answer"] = got
-        return out
-
-    types = dict(tall.dtypes)
-    schema = ", ".join(f"{n} {types[n]}" for n in names) + ", _p long, name string, answer double"
-    answers = work.unionByName(marks).groupBy(*on).applyInPandas(run, schema)
-    wide = answers.groupBy(*names, "_p").agg(*[F.max(F.when((F.col("name") == n) & ~F.isnan("answer"), F.col("answer"))).alias(n) for n in wanted])
-    cond = df[position] == wide["_p"]
-    for k, n in zip(keys, names):
-        cond = cond & df[k].eqNullSafe(wide[n])
-    return df.join(wide, cond, "left").drop(*names, "_p")
+    jobs = coarse.withColumn("_a", asked).filter("_a.of = c").select(*key, "_s", "g", "before", "cum", "total", "own", "_a.name", "_a.q").withColumns({"low": low, "high": high})
+    chosen = jobs.filter((F.col("cum") > F.col("low")) & (F.col("cum") - F.col("before") <= F.col("high"))).withColumn("under", F.col("cum") - F.col("before"))
+    chosen = materialize(chosen.select(*key, "_s", "g", "name", "low", "high", "total", "under"), "chosen")
+    # The same by single buckets, for the groups found.
+    ask = chosen.select(*key, "_s", "g").distinct().withColumn("b", F.explode(F.sequence(F.col("g") * size, F.col("g") * size + (size - 1))))
+    both = ask.select(*key, "_s", "g", "b", F.lit(0).cast("long").alias("n")).unionByName(cells.select(*key, "_s", F.lit(None).cast("long").alias("g"), "b", "n"))
+    # A question comes before the counts of its own shard, and sees those of earlier ones.
+    over_b = Window.partitionBy(*key, "b").orderBy("_s", F.col("g").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    fine = both.withColumn("before", F.sum("n").over(over_b)).filter("g is not null").drop("n")
+    fine = fine.withColumn("cum", F.sum("before").over(Window.partitionBy(*key, "_s", "g").orderBy("b")))
+    hit = _equal(chosen, fine, [*key, "_s", "g"], "inner").withColumn("cum", F.col("cum") + F.col("under"))
+    hit = hit.filter((F.col("cum") > F.col("low")) & (F.col("cum") - F.col("before") <= F.col("high")))
+    hit = materialize(hit.select(*key, "_s", "name", "b", "total", (F.col("cum") - F.col("before")).alias("below")), "hit")
+    facts = hit.groupBy(*key, "_s", "name").agg(F.min("b").alias("b"), F.min("below").alias("below"), F.first("total").alias("total"))
+    # A bucket near a quantile is needed by every later shard: its values are sent in parts.
+    need = hit.select(*key, "b", F.col("_s").alias("_t")).distinct().withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = ranked.withColumn("_salt", F.pmod(F.xxhash64("_p"), F.lit(SALTS)).cast("int"))
+    base = _equal(need, salted, [*key, "b", "_salt"], "inner").filter(F.col("_s") < F.col("_t")).select(*key, F.col("_t").alias("_s"), "b", "v")
+    empty = {"v": "double", "name": "string", "total": "long", "below": "long"}
+    fill = lambda d: d.withColumns({c: F.lit(None).cast(t) for c, t in empty.items() if c not in d.columns})
+    return fill(base).unionByName(fill(facts))
+
+
+def _equal(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Join on equal columns, nulls being equal; each of them once in the result."""
+    right = right.select(*[F.col(c).alias(f"_r_{c}") for c in on], *[c for c in right.columns if c not in on])
+    cond = F.lit(True)
+    for c in on:
+        cond = cond & left[c].eqNullSafe(right[f"_r_{c}"])
+    return left.join(right, cond, how).drop(*[f"_r_{c}" for c in on])
 
 
 def _value_slice(v: str):
     """A bucket number that grows with a double: its leading bits, order-preserving."""
     size = F.floor(F.log2(F.abs(v) + F.lit(2.0**-40)) * 8)
     return F.when(F.col(v) < 0, -(size + 400)).otherwise(size + 400).cast("long")
-
-
-def _outer(jobs: DataFrame, below: DataFrame, on: list[str]) -> DataFrame:
-    b = below.select(*[F.col(x).alias(f"b_{x}") for x in on], "below")
-    cond = F.lit(True)
-    for x in on:
-        cond = cond & jobs[x].eqNullSafe(b[f"b_{x}"])
-    return jobs.join(b, cond, "left").drop(*[f"b_{x}" for x in on])

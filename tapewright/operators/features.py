@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tapewright.functions.common import finite, require_columns, with_positions
+from tapewright.functions.expanding import SHARD_ROWS as QUANTILE_ROWS
 from tapewright.functions.expanding import expanding_quantiles
 from tapewright.functions.halo import BUCKET_MS, SHARD_ROWS, over_shards
 
@@ -117,10 +118,10 @@ def tertile(x: str, q1: str, q2: str, labels: tuple[str, str, str]) -> Column:
     return F.when(v <= F.col(q1), labels[0]).when((v > F.col(q1)) & (v <= F.col(q2)), labels[1]).when(v > F.col(q2), labels[2])
 
 
-def causal_bins(df: DataFrame, with_range: bool = True, position: str = "event_idx", shard_rows: int = SHARD_ROWS) -> DataFrame:
+def causal_bins(df: DataFrame, with_range: bool = True, position: str = "event_idx", quantile_rows: int = QUANTILE_ROWS) -> DataFrame:
     """Absorption flag and thirds of pressure, speed and range against the rows before. A missing threshold gives flag 0 and a null bin."""
     wanted = {k: v for k, v in THRESHOLDS.items() if with_range or not k.startswith("range_q")}
-    out = expanding_quantiles(df, wanted, position=position, shard_rows=shard_rows)
+    out = expanding_quantiles(df, wanted, position=position, shard_rows=quantile_rows)
     absorbed = (F.col("volume_50") > F.col("vol_p80_50")) & (F.col("range_50") < F.col("range_p30_50"))
     cols = {
         "absorption_flag": F.coalesce(absorbed, F.lit(False)).cast("int"),
@@ -143,9 +144,9 @@ FEATURES = (
 )
 
 
-def event_features(tape: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def event_features(tape: DataFrame, shard_rows: int = SHARD_ROWS, quantile_rows: int = QUANTILE_ROWS) -> DataFrame:
     """The feature data set: rows whose features and targets are all known and whose gap target of 50 events isn't 0."""
-    full = causal_bins(event_windows(tape, shard_rows=shard_rows), shard_rows=shard_rows)
+    full = causal_bins(event_windows(tape, shard_rows=shard_rows), quantile_rows=quantile_rows)
     needed = [c for c in FEATURES if c not in ("symbol", "seq", "timestamp", "price", "quantity", "side", "delta", "reconstructed")]
     return full.filter(F.col("target_50_gap") != 0).dropna(subset=needed).select(*FEATURES)
 

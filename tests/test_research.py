@@ -3,7 +3,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tapewright.functions.common import with_positions
-from tapewright.functions.expanding import expanding_quantiles
+from tapewright.functions.expanding import expanding_quantiles, kth_of_prefixes
 from tapewright.functions.halo import over_shards
 from tapewright.operators import features as X
 from tapewright.operators.regime import duration_stats, tag_regime, transitions
@@ -32,13 +32,27 @@ def test_shards_do_not_change_frames(spark, sf):
 
 def test_expanding_quantiles_against_pandas(spark):
     r = np.random.default_rng(0)
-    d = pd.DataFrame({"symbol": np.where(np.arange(1500) % 3 == 0, "A", "B"), "x": np.round(r.normal(0, 3, 1500), 1)})
-    d["event_idx"] = d.groupby("symbol").cumcount()
+    d = pd.DataFrame({"symbol": np.where(np.arange(1500) % 3 == 0, None, "B"), "x": np.round(r.normal(0, 3, 1500), 1), "y": np.cumsum(r.normal(0.1, 1, 1500))})
+    d["event_idx"] = d.groupby("symbol", dropna=False).cumcount()
     d.loc[::17, "x"] = np.nan
-    got = expanding_quantiles(spark.createDataFrame(d), {"q": ("x", 1 / 3, 40), "h": ("x", 0.9, 10)}, shard_rows=130, bucket_rows=50).toPandas()
-    for _, g in got.sort_values("event_idx").groupby("symbol"):
-        for name, q, m in (("q", 1 / 3, 40), ("h", 0.9, 10)):
-            assert np.allclose(g["x"].shift(1).expanding(min_periods=m).quantile(q), g[name].astype(float), equal_nan=True)
+    d.loc[600:1200, "x"] = np.nan  # whole shards without a value
+    wanted = {"q": ("x", 1 / 3, 40), "h": ("x", 0.9, 10), "z": ("y", 0.0, 1), "t": ("y", 2 / 3, 100), "o": ("y", 1.0, 1)}
+    df = spark.createDataFrame(d, "symbol string, x double, y double, event_idx long")
+    for shard_rows, bucket_rows in ((10_000, None), (130, 50), (90, 2)):
+        got = expanding_quantiles(df, wanted, shard_rows=shard_rows, bucket_rows=bucket_rows).toPandas()
+        assert len(got) == len(d)
+        for _, g in got.sort_values("event_idx").groupby("symbol", dropna=False):
+            for name, (c, q, m) in wanted.items():
+                assert np.allclose(g[c].shift(1).expanding(min_periods=m).quantile(q), g[name].astype(float), equal_nan=True), (name, shard_rows)
+    assert expanding_quantiles(df.limit(0), wanted).count() == 0
+
+
+def test_kth_of_prefixes():
+    r = np.random.default_rng(5)
+    a = r.integers(0, 70, 400)
+    n = r.integers(1, 401, 900)
+    k = (r.random(900) * n).astype(int)
+    assert np.array_equal(kth_of_prefixes(a, n, k), [np.sort(a[:m])[j] for m, j in zip(n, k)])
 
 
 def test_no_look_ahead(spark, sf):
