@@ -104,7 +104,7 @@ def null_safe_on(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return cond
 
 
-def with_positions(df: DataFrame, keys: list[str], order: list[str], bucket: Column, weight: Column | None = None) -> DataFrame:
+def with_positions(df: DataFrame, keys: list[str], order: list[str], bucket: Column, weight: Column | None = None, weight_type: str = "long") -> DataFrame:
     """Exact position (and running weight) of each row within its key, without one task per key.
 
     ``bucket`` must be monotone in the order of ``order[0]``. Rows are ranked inside
@@ -116,18 +116,18 @@ def with_positions(df: DataFrame, keys: list[str], order: list[str], bucket: Col
     part = [*keys, "_bucket"]
     inner = Window.partitionBy(*part).orderBy(*order)
     w = F.lit(1) if weight is None else weight
-    ranked = df.withColumn("_rn", F.row_number().over(inner) - 1).withColumn("_w", w.cast("long"))
+    ranked = df.withColumn("_rn", F.row_number().over(inner) - 1).withColumn("_w", w.cast(weight_type))
     ranked = ranked.withColumn("_in", F.sum("_w").over(inner.rowsBetween(Window.unboundedPreceding, -1)))
-    totals = df.withColumn("_w", w.cast("long")).groupBy(*part).agg(F.count(F.lit(1)).alias("_n"), F.sum("_w").alias("_t"))
+    totals = df.withColumn("_w", w.cast(weight_type)).groupBy(*part).agg(F.count(F.lit(1)).alias("_n"), F.sum("_w").alias("_t"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("_n0", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    totals = totals.withColumn("_t0", F.coalesce(F.sum("_t").over(before), F.lit(0)))
+    totals = totals.withColumn("_t0", F.coalesce(F.sum("_t").over(before), F.lit(0).cast(weight_type)))
     totals = totals.select(*[F.col(c).alias(f"_k_{c}") for c in part], "_n0", "_t0")
     cond = F.lit(True)
     for c in part:
         cond = cond & ranked[c].eqNullSafe(totals[f"_k_{c}"])
     joined = ranked.join(totals, cond, "left").drop(*[f"_k_{c}" for c in part])
     joined = joined.withColumn("_pos", F.col("_n0") + F.col("_rn"))
-    joined = joined.withColumn("_before", F.col("_t0") + F.coalesce(F.col("_in"), F.lit(0)))
+    joined = joined.withColumn("_before", F.col("_t0") + F.coalesce(F.col("_in"), F.lit(0).cast(weight_type)))
     return joined.drop("_rn", "_w", "_in", "_n0", "_t0")
 

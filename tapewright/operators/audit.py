@@ -5,10 +5,10 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapewright.functions.common import finite, with_positions
+from tapewright.functions.common import finite, materialize, with_positions
 from tapewright.functions.halo import over_shards
 
 
@@ -59,21 +59,35 @@ def boundary_checks(ranges: DataFrame, keys: list[str], start: str = "min_ts", e
 
 
 def gap_stats(tape: DataFrame, key: str = "symbol") -> DataFrame:
-    """Milliseconds between neighbouring trades: smallest, largest, how many above 1, 5, 10 and 60 s, and how many share a timestamp."""
+    """Milliseconds between neighbouring trades: smallest, median, 95th percentile (nearest rank), largest, how many above 1, 5, 10 and 60 s, and how many share a timestamp."""
     d = over_shards(tape, lambda x, w: x.withColumn("_gap", F.col("timestamp") - F.lag("timestamp").over(w)), 1, 1, keys=(key,))
+    d = materialize(d.select(key, "_gap"), "gaps")
     over = {f"gaps_over_{s}s": F.count_if(F.col("_gap") > s * 1000) for s in (1, 5, 10, 60)}
-    return d.groupBy(key).agg(F.min("_gap").alias("min_gap"), F.max("_gap").alias("max_gap"), *[v.alias(k) for k, v in over.items()], F.count_if(F.col("_gap") == 0).alias("duplicate_ts"))
+    g = d.groupBy(key).agg(F.min("_gap").alias("min_gap"), F.max("_gap").alias("max_gap"), *[v.alias(k) for k, v in over.items()], F.count_if(F.col("_gap") == 0).alias("duplicate_ts"))
+    q = order_statistics(d, key, "_gap", {"p50_gap": 0.5}, {"p95_gap": 0.95}).drop("n").withColumnRenamed(key, "_kq")
+    return g.join(q, g[key].eqNullSafe(q["_kq"]), "left").drop("_kq")
 
 
-def nearest_rank(values: DataFrame, key: str, value: str, quantiles: dict[str, float]) -> DataFrame:
-    """Values at rank int(q (n - 1)) of the ascending order: no interpolation. Ranks by distributed positions."""
-    good = values.filter(finite(F.col(value))).select(F.col(key).alias("_k"), F.col(value).cast("double").alias("_v"))
+def order_statistics(values: DataFrame, key: str, value: str, linear: dict[str, float], nearest: dict[str, float]) -> DataFrame:
+    """Exact quantiles per key, with the number of values ``n``: ``linear`` between the neighbouring ranks, ``nearest`` at rank int(q (n - 1)). Ranks by distributed positions; null, NaN and infinite values are left out."""
+    good = values.filter(finite(F.col(value).cast("double"))).select(F.col(key).alias("_k"), F.col(value).cast("double").alias("_v"))
     size = F.floor(F.log2(F.abs("_v") + F.lit(2.0**-40)) * 8)
     placed = with_positions(good, ["_k"], ["_v"], F.when(F.col("_v") < 0, -(size + 400)).otherwise(size + 400).cast("long"))
     n = good.groupBy("_k").agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed("_k", "_kn")
     j = placed.join(n, placed["_k"].eqNullSafe(n["_kn"]))
-    pick = lambda q: F.max(F.when(F.col("_pos") == F.floor(F.lit(q) * (F.col("_n") - 1)), F.col("_v")))
-    return j.groupBy(F.col("_k").alias(key)).agg(F.max("_n").alias("n"), *[pick(q).alias(name) for name, q in quantiles.items()])
+    at = lambda rank: F.max(F.when(F.col("_pos") == rank, F.col("_v")))
+    place = lambda q: F.lit(q) * (F.col("_n") - 1)
+    picks = [at(F.floor(place(q))).alias(name) for name, q in nearest.items()]
+    for name, q in linear.items():
+        low, high = at(F.floor(place(q))), at(F.ceil(place(q)))
+        share = F.max(place(q) - F.floor(place(q)))
+        picks.append((low + (high - low) * share).alias(name))
+    return j.groupBy(F.col("_k").alias(key)).agg(F.max("_n").alias("n"), *picks)
+
+
+def nearest_rank(values: DataFrame, key: str, value: str, quantiles: dict[str, float]) -> DataFrame:
+    """Values at rank int(q (n - 1)) of the ascending order: no interpolation."""
+    return order_statistics(values, key, value, {}, quantiles)
 
 
 def iqr_outliers(values: DataFrame, key: str, value: str) -> DataFrame:
@@ -125,45 +139,95 @@ def correlation(rows: DataFrame, x: str, y: str) -> DataFrame:
     return g.select("n", F.when((F.col("n") >= 3) & (F.col("sx") > 0) & (F.col("sy") > 0), F.col("r")).alias("corr"))
 
 
+#: Rows of a block of the permutation test.
+BLOCK_ROWS = 4096
+
+
 def permutation_pvalue(rows: DataFrame, group: str, value: str, n_iter: int = 2000, seed: int = 42) -> DataFrame:
-    """p-value of the difference of means of two groups (boolean ``group``) under random relabelling.
+    """p-value of the difference of means of two groups (boolean ``group``) under random permutations of the labels: (as extreme + 1) / (n_iter + 1). Null below 2 rows in a group.
 
-    Each row draws the same number of uniform keys as there are iterations, block by block; a relabelling of one iteration takes each row with the chance of the
-    true group's share, and its difference of means comes from sums. So iterations are aggregates, not shuffles of a list. Null below 2 rows in a group.
+    Every iteration is a permutation: exactly as many rows bear the label as do. Rows are put in an order of their own values and cut into blocks; how many labels a block gets is drawn
+    block after block from the hypergeometric distribution (a row per block), which rows of the block get them inside the block. Random streams follow
+    the seed and the block, so the result doesn't depend on partitions.
     """
-    good = rows.filter(finite(F.col(value)) & F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"))
-    facts = good.agg(F.count_if("g").alias("na"), F.count_if(~F.col("g")).alias("nb"), F.avg(F.when(F.col("g"), F.col("v"))).alias("ma"), F.avg(F.when(~F.col("g"), F.col("v"))).alias("mb"), F.sum("v").alias("sv"))
-
-    share_df = facts.select("na", "nb", "ma", "mb", "sv")
+    good = rows.filter(finite(F.col(value)) & F.col(group).isNotNull()).select(F.col(group).cast("boolean").alias("g"), F.col(value).cast("double").alias("v"))
+    hashed = good.withColumn("h", F.xxhash64("v", "g"))
+    placed = with_positions(hashed, [], ["h", "v", "g"], F.shiftright("h", 48)).select("g", "v", F.floor(F.col("_pos") / F.lit(BLOCK_ROWS)).alias("block"))
+    placed = materialize(placed, "blocks")
+    facts = placed.agg(F.count_if("g").alias("na"), F.count_if(~F.col("g")).alias("nb"), F.avg(F.when(F.col("g"), F.col("v"))).alias("ma"), F.avg(F.when(~F.col("g"), F.col("v"))).alias("mb"), F.sum("v").alias("sv")).first()
+    na, nb = facts["na"], facts["nb"]
+    if min(na, nb) < 2:
+        return rows.sparkSession.createDataFrame([(None,)], "p_value double")
+
+    def draw(batches):
+        import numpy as np
 
-    def partial(batches):
+        left = np.full(n_iter, na), np.full(n_iter, nb)
+        for pdf in batches:
+            out = []
+            for block, n in zip(pdf["block"].tolist(), pdf["n"].tolist()):
+                got = np.random.default_rng([seed, 0, block]).hypergeometric(left[0], left[1], n)
+                left = left[0] - got, left[1] - (n - got)
+                out.append(got.tolist())
+            yield pdf[["block"]].assign(labels=out)
+
+    # One row per block, streamed through one task.
+    sizes = placed.groupBy("block").agg(F.count(F.lit(1)).alias("n")).repartition(1).sortWithinPartitions("block")
+    labels = sizes.mapInPandas(draw, "block long, labels array<int>")
+
+    def sums(pdf: pd.DataFrame, drawn: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        total, count = np.zeros(n_iter), np.zeros(n_iter)
+        block = int(pdf["block"].iloc[0])
+        v = np.sort(pdf["v"].to_numpy())
+        rng = np.random.default_rng([seed, 1, block])
+        count = np.asarray(drawn["labels"].iloc[0])
+        total = np.array([v[rng.permutation(len(v))[:k]].sum() for k in count])
+        return pd.DataFrame({"i": np.arange(n_iter), "t": total})
+
+    per = placed.groupBy("block").cogroup(labels.groupBy("block")).applyInPandas(sums, "i int, t double").groupBy("i").agg(F.sum("t").alias("t"))
+    distance = F.abs(F.col("t") / na - (F.lit(facts["sv"]) - F.col("t")) / nb)
+    return per.agg(((F.count_if(distance >= abs(facts["ma"] - facts["mb"])) + 1) / (n_iter + 1)).alias("p_value"))
+
+
+def schema_variants(spark: SparkSession, path: str) -> DataFrame:
+    """Columns and types over the parquet files at ``path``: ``field``, ``dtype``, ``files`` (how many hold the field with that type), ``n_files`` and ``layouts`` (different lists of columns in all).
+
+    Footers are read on the executors, one file at a time.
+    """
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path).select("path")
+
+    def footers(batches):
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
         for pdf in batches:
-            if not len(pdf):
-                continue
-            share = pdf["share"].iloc[0]
-            ids = pdf["id"].to_numpy()
-            v = pdf["v"].to_numpy()
-            for a in range(0, len(v), 4096):
-                rng = np.random.default_rng([seed, int(ids[a]) & 0x7FFFFFFF])
-                pick = rng.random((len(v[a : a + 4096]), n_iter), dtype=np.float32) < share
-                total += v[a : a + 4096] @ pick
-                count += pick.sum(0)
-        yield pd.DataFrame({"i": np.arange(n_iter), "t": total, "c": count})
-
-    drawn = good.withColumn("id", F.xxhash64("v", F.monotonically_increasing_id())).join(F.broadcast(share_df.select((F.col("na") / (F.col("na") + F.col("nb"))).alias("share"))), F.lit(True)).select("id", "v", "share")
-    sums = drawn.mapInPandas(partial, "i int, t double, c double").groupBy("i").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    j = sums.join(F.broadcast(facts), F.lit(True))
-    d = F.abs(F.try_divide("t", "c") - F.try_divide(F.col("sv") - F.col("t"), F.col("na") + F.col("nb") - F.col("c")))
-    ge = F.count_if(d >= F.abs(F.col("ma") - F.col("mb")))
-    ok = (F.max("na") >= 2) & (F.max("nb") >= 2)
-    return j.agg(F.when(ok, (ge + 1) / (n_iter + 1)).alias("p_value"))
+            rows = []
+            for p in pdf["path"]:
+                system, place = fs.FileSystem.from_uri(p.replace("file:/", "file:///", 1) if p.startswith("file:/") and not p.startswith("file://") else p)
+                schema = pq.read_schema(place, filesystem=system)
+                rows += [(p, n, str(t), "|".join(schema.names)) for n, t in zip(schema.names, schema.types)]
+            yield pd.DataFrame(rows, columns=["path", "field", "dtype", "layout"])
+
+    f = found.mapInPandas(footers, "path string, field string, dtype string, layout string")
+    f = materialize(f, "footers")
+    whole = f.agg(F.count_distinct("path").alias("n_files"), F.count_distinct("layout").alias("layouts")).first()
+    return f.groupBy("field", "dtype").agg(F.count(F.lit(1)).alias("files")).withColumns({"n_files": F.lit(whole["n_files"]), "layouts": F.lit(whole["layouts"])})
+
+
+def tape_report(tape: DataFrame) -> DataFrame:
+    """The audit of a tape in one table (``symbol``, ``metric``, ``value``): rows, first and last instant, duration, rate, gaps."""
+    base = tape.groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"), F.min("timestamp").alias("ts_min"), F.max("timestamp").alias("ts_max"))
+    base = base.withColumn("duration_s", (F.col("ts_max") - F.col("ts_min")) / 1000).withColumn("rows_per_s", F.try_divide("rows", "duration_s"))
+    g = gap_stats(tape).withColumnRenamed("symbol", "_s")
+    whole = base.join(g, base["symbol"].eqNullSafe(g["_s"])).drop("_s")
+    names = [c for c in whole.columns if c != "symbol"]
+    return whole.select("symbol", F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in names])).alias("m")).select("symbol", "m.*")
 
 
 # -- rules over enriched records --------------------------------------------------------------------------
 
+# The fields of an enriched record, and below the names of the rules.
 NUMERIC = ["timestamp", "price", "delta", "window_cum_delta", "session_cum_delta", "buy_volume", "sell_volume", "pressure", "volume_per_sec", "delta_per_sec", "trade_intensity", "price_range"]
 BOOLEAN = ["absorption", "warm"]
 
@@ -205,10 +269,13 @@ def rule_violations(lines: DataFrame, line_no: str = "line_no", text: str = "lin
 
 
 def field_histogram(lines: DataFrame, text: str = "line_text") -> DataFrame:
-    """How often each field of the flow object (or of the top level where there is none) occurs, by JSON type."""
+    """How often each field of the flow object (or of the top level where there is none) occurs, by JSON type: integer, decimal, text, boolean, list, object, null."""
     v = F.try_parse_json(F.col(text))
     d = lines.select(F.when(F.schema_of_variant(v).startswith("OBJECT"), v).alias("_v")).filter("_v is not null")
     flow = F.try_variant_get("_v", "$.flow", "variant")
     body = F.when(F.coalesce(F.schema_of_variant(flow), F.lit("")).startswith("OBJECT"), flow).otherwise(F.col("_v"))
+    t = F.regexp_replace(F.schema_of_variant("x"), "[<(].*$", "")
+    whole = F.schema_of_variant("x").rlike(r"^(BIGINT|DECIMAL\(\d+,0\))$")
+    kind = F.when(whole, "integer").when(t.isin("DECIMAL", "DOUBLE", "FLOAT"), "decimal").when(t == "STRING", "text").when(t == "BOOLEAN", "boolean").when(t == "ARRAY", "list").when(t == "OBJECT", "object").otherwise("null")
     e = d.select(body.alias("_b")).select(F.explode(F.expr("cast(_b as map<string, variant>)")).alias("field", "x"))
-    return e.groupBy("field", F.regexp_replace(F.schema_of_variant("x"), "[<(].*$", "").alias("type")).agg(F.count(F.lit(1)).alias("n"))
+    return e.groupBy("field", kind.alias("type")).agg(F.count(F.lit(1)).alias("n"))

@@ -88,9 +88,10 @@ def performance(curve: DataFrame, column: str = "equity") -> DataFrame:
 
 
 class BarBroker:
-    """Bar by bar: buys with all cash or sells short its worth, flips, pays slippage and commission, marks equity at the close."""
+    """Bar by bar: buys with all cash or sells short its worth, flips, pays slippage and commission, marks equity at the close. ``log`` gives the trades instead, with the cash left by each."""
 
-    def __init__(self, capital: float = 100_000.0, commission: float = 0.001, slippage: float = 0.0005) -> None:
+    def __init__(self, capital: float = 100_000.0, commission: float = 0.001, slippage: float = 0.0005, log: bool = False) -> None:
+        self.log = log
         self.cash, self.size, self.commission, self.slippage = capital, 0.0, commission, slippage
 
     def step(self, r: dict) -> list[dict]:
@@ -99,12 +100,14 @@ class BarBroker:
         if signal and self.size * signal <= 0:
             if self.size:
                 self.cash += self.size * price * (1 - self.commission)
-                actions.append("CLOSE_SHORT" if signal > 0 else "CLOSE_LONG")
+                actions.append(("CLOSE_SHORT" if signal > 0 else "CLOSE_LONG", self.cash))
             self.size = signal * self.cash / price
             worth = abs(self.size) * price
             self.cash += -worth * (1 + self.commission) if signal > 0 else worth * (1 - self.commission)
-            actions.append("BUY" if signal > 0 else "SELL")
-        return [{"seq": r["seq"], "timestamp": r["timestamp"], "equity": self.cash + self.size * r["close"], "position": self.size, "actions": ",".join(actions)}]
+            actions.append(("BUY" if signal > 0 else "SELL", self.cash))
+        if self.log:
+            return [{"seq": r["seq"], "timestamp": r["timestamp"], "action": a, "price": price, "equity": cash} for a, cash in actions]
+        return [{"seq": r["seq"], "timestamp": r["timestamp"], "equity": self.cash + self.size * r["close"], "position": self.size, "actions": ",".join(a for a, _ in actions)}]
 
     def finish(self) -> list[dict]:
         return []
@@ -115,6 +118,11 @@ def loop_backtest(bars: DataFrame, capital: float = 100_000.0, commission: float
     return fold_by_symbol(bars, ["seq", "timestamp", "close", "signal"], lambda: BarBroker(capital, commission, slippage), "symbol string, seq long, timestamp long, equity double, position double, actions string")
 
 
+def loop_trades(bars: DataFrame, capital: float = 100_000.0, commission: float = 0.001, slippage: float = 0.0005) -> DataFrame:
+    """The trades of ``loop_backtest`` in order: action, price after slippage, and the cash after the trade."""
+    return fold_by_symbol(bars, ["seq", "timestamp", "close", "signal"], lambda: BarBroker(capital, commission, slippage, log=True), "symbol string, seq long, timestamp long, action string, price double, equity double")
+
+
 def loop_summary(equity: DataFrame, capital: float = 100_000.0) -> DataFrame:
     """Total return, Sharpe ratio per minute bar, largest drawdown, share of rising bars and number of trades."""
     w = Window.partitionBy("symbol").orderBy("timestamp", "seq")

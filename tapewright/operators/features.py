@@ -13,6 +13,7 @@ from tapewright.functions.common import finite, require_columns, with_positions
 from tapewright.functions.expanding import SHARD_ROWS as QUANTILE_ROWS
 from tapewright.functions.expanding import expanding_quantiles
 from tapewright.functions.halo import BUCKET_MS, SHARD_ROWS, over_shards
+from tapewright.operators.audit import order_statistics
 
 WINDOWS, LOCATION_WINDOWS, GAP, SPEED_CAP, MIN_DT_MS = (20, 50, 100), (200, 500), 10, 1000.0, 1
 INPUT = ["symbol", "seq", "timestamp", "price", "quantity", "delta"]
@@ -178,11 +179,15 @@ def regime() -> Column:
 
 
 def feature_report(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Per column: nulls, NaN, infinite values, min, median, max and 99th percentile (approximate within 1e-4 of rank, one pass)."""
+    """Per column: nulls, NaN, infinite values, min, median, max and 99th percentile (exact, linear)."""
     per = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("v")) for c in columns]))
     x = df.select(per.alias("x")).select("x.*")
     good = F.when(finite(F.col("v")), F.col("v"))
-    return x.groupBy("field").agg(
-        F.count_if(F.col("v").isNull()).alias("nulls"), F.count_if(F.isnan("v")).alias("nans"), F.count_if(F.abs("v") == float("inf")).alias("infs"),
-        F.min(good).alias("min"), F.percentile_approx(good, 0.5, 10_000).alias("median"), F.max(good).alias("max"), F.percentile_approx(good, 0.99, 10_000).alias("p99"),
-    )
+    counts = x.groupBy("field").agg(F.count_if(F.col("v").isNull()).alias("nulls"), F.count_if(F.isnan("v")).alias("nans"), F.count_if(F.abs("v") == float("inf")).alias("infs"), F.min(good).alias("min"), F.max(good).alias("max"))
+    return counts.join(order_statistics(x, "field", "v", {"median": 0.5, "p99": 0.99}, {}).drop("n"), "field", "left")
+
+
+def bin_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """How many rows are in each bin: ``field``, ``bin``, ``n``."""
+    per = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("bin")) for c in columns]))
+    return df.select(per.alias("x")).select("x.*").filter("bin is not null").groupBy("field", "bin").agg(F.count(F.lit(1)).alias("n"))

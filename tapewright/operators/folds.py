@@ -13,7 +13,7 @@ from collections import deque
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, WindowSpec
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tapewright.functions.common import require_columns
@@ -388,6 +388,12 @@ def execution_trades(regime_rows: DataFrame, atr_window: int = 300, delta_window
     return fold_by_symbol(ready, EXECUTION_COLUMNS, lambda: Execution(**parameters), TRADE_SCHEMA)
 
 
+def with_cum_pnl(trades: DataFrame) -> DataFrame:
+    """Adds ``cum_pnl``: the running sum of pnl over a symbol's trades in order of their exit. A window over trades, not over events."""
+    w = Window.partitionBy("symbol").orderBy("exit_idx", "entry_idx").rowsBetween(Window.unboundedPreceding, 0)
+    return trades.withColumn("cum_pnl", F.sum(F.col("pnl").cast("decimal(28,8)")).over(w).cast("double"))
+
+
 def summarize_trades(trades: DataFrame) -> DataFrame:
     """Count, win rate, means and the largest winner; one row with nulls if there are no trades."""
     win = (F.col("pnl") > 0).cast("double")

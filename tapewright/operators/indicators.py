@@ -8,8 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tapewright.functions.common import materialize
 from tapewright.functions.halo import over_shards
 from tapewright.operators.folds import fold_by_symbol
+from tapewright.operators.profile import point_of_control, value_area
 
 
 class _Wilder:
@@ -51,7 +53,7 @@ def buy_volume(o: str = "open", h: str = "high", low: str = "low", c: str = "clo
     return F.when(F.col(c) > F.col(o), F.col(v)).when(F.col(c) == F.col(o), F.col(v) * 0.5).otherwise(F.col(v) * ((F.col(h) - F.col(c)) / (F.col(h) - F.col(low) + 0.0001)))
 
 
-def bar_indicators(bars: DataFrame, delta_lookback: int = 5, volume_mult: float = 1.5, move_limit: float = 0.5) -> DataFrame:
+def bar_indicators(bars: DataFrame, delta_lookback: int = 5, volume_mult: float = 2.0, move_limit: float = 0.3) -> DataFrame:
     """Delta and its control, absorption, contraction, expansion and the three-step setups. ``bars`` hold ``atr``."""
     def mean(c: str, w: WindowSpec, n: int) -> Column:
         f = w.rowsBetween(-(n - 1), 0)
@@ -82,26 +84,65 @@ def bar_indicators(bars: DataFrame, delta_lookback: int = 5, volume_mult: float
     return over_shards(bars, compute, 80, 1)
 
 
-def opening_range(bars: DataFrame, minutes: int = 30) -> DataFrame:
-    """High and low of a session's first minutes, and the bars that close beyond them after the bar before did not."""
-    w = Window.partitionBy("symbol", "session_id").orderBy("timestamp", "seq")
-    start = F.min("timestamp").over(Window.partitionBy("symbol", "session_id"))
-    early = F.col("timestamp") < start + minutes * 60_000
-    whole = Window.partitionBy("symbol", "session_id")
-    d = bars.withColumns({"orb_high": F.max(F.when(early, F.col("high"))).over(whole), "orb_low": F.min(F.when(early, F.col("low"))).over(whole), "_prev": F.lag("close").over(w)})
+def exchange_session(bars: DataFrame, start: str = "09:30", end: str = "16:00", zone: str = "America/New_York") -> DataFrame:
+    """Adds ``in_session`` (the bar begins in [start, end) by the exchange's clock) and ``session_change`` (the first such bar after one that isn't, or at all)."""
+    minutes = lambda t: int(t[:2]) * 60 + int(t[3:])
+    wall = F.convert_timezone(F.lit("UTC"), F.lit(zone), F.expr("timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast(timestamp / 1000 as decimal(18, 6)))"))
+    at = F.hour(wall) * 60 + F.minute(wall)
+
+    def compute(d: DataFrame, w: WindowSpec) -> DataFrame:
+        d = d.withColumn("in_session", (at >= minutes(start)) & (at < minutes(end)))
+        return d.withColumn("session_change", F.col("in_session") & ~F.coalesce(F.lag("in_session").over(w), F.lit(False)))
+
+    return over_shards(bars.drop("event_idx"), compute, 1, 1)
+
+
+def rolling_profile(bars: DataFrame, length: int = 50, rows: int = 24) -> DataFrame:
+    """Adds ``poc``, ``vah`` and ``val`` of the last ``length`` bars: volume by the row their close lies in, between the lowest low and the highest high; null until there are so many bars.
+
+    A close at the very top lies in no row. Ties of the area go up. Without a range all three are the price.
+    """
+    def compute(d: DataFrame, w: WindowSpec) -> DataFrame:
+        f = w.rowsBetween(-(length - 1), 0)
+        full = F.count(F.lit(1)).over(f) >= length
+        return d.withColumns({"_low": F.when(full, F.min("low").over(f)), "_high": F.when(full, F.max("high").over(f)), "_bars": F.collect_list(F.struct("close", "volume")).over(f)})
+
+    d = materialize(over_shards(bars.drop("event_idx"), compute, length, 1), "profiled")
+    step = (F.col("_high") - F.col("_low")) / rows
+    # A row per bar and row of its profile: the session profile's operators do the rest, a bar being their session.
+    near = d.filter("_low is not null").withColumn("_step", step)
+    at = lambda x: F.when(F.col("_step") > 0, F.floor((x["close"] - F.col("_low")) / F.col("_step")))
+    placed = F.transform("_bars", lambda x: F.struct(at(x).alias("i"), x["volume"].alias("v")))
+    near = near.withColumn("_placed", placed).withColumn("bin_index", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+    volume = F.aggregate(F.filter("_placed", lambda x: x["i"] == F.col("bin_index")), F.lit(0.0), lambda acc, x: acc + x["v"])
+    low = F.col("_low") + F.col("bin_index") * F.col("_step")
+    bins = near.select("symbol", F.col("event_idx").alias("session_id"), "bin_index", low.alias("bin_low"), (low + F.col("_step")).alias("bin_high"), volume.alias("total_volume"))
+    bins = materialize(bins, "rows")
+    area = point_of_control(bins).join(value_area(bins, tie_up=True), ["symbol", "session_id"]).select(F.col("symbol").alias("_s"), F.col("session_id").alias("_i"), F.col("poc_price").alias("poc"), "vah", "val")
+    return d.join(area, d["symbol"].eqNullSafe(area["_s"]) & (d["event_idx"] == area["_i"]), "left").drop("_s", "_i", "_low", "_high", "_bars", "event_idx")
+
+
+def opening_range(bars: DataFrame, minutes: int = 30, bar_ms: int = 900_000, flag: str | None = None) -> DataFrame:
+    """High and low of a session's first minutes (its first bar and as many after it as ``minutes`` hold), known from the last of them on, and the bars that close beyond them after the bar before did not.
+
+    With ``flag`` only bars where it is true are of a session.
+    """
+    live = F.col(flag) if flag else F.lit(True)
+    w = Window.partitionBy("symbol", "session_id", live.alias("_live")).orderBy("timestamp", "seq")
+    last = minutes * 60_000 // bar_ms
+    d = bars.withColumn("_n", F.row_number().over(w) - 1).withColumn("_prev", F.lag("close").over(Window.partitionBy("symbol", "session_id").orderBy("timestamp", "seq")))
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    early, known = F.col("_n") <= last, live & (F.col("_n") >= last)
+    d = d.withColumns({"orb_high": F.when(known, F.max(F.when(early, F.col("high"))).over(so_far)), "orb_low": F.when(known, F.min(F.when(early, F.col("low"))).over(so_far))})
     return d.withColumns({
-        "orb_long": F.coalesce(~early & (F.col("close") > F.col("orb_high")) & (F.col("_prev") <= F.col("orb_high")), F.lit(False)),
-        "orb_short": F.coalesce(~early & (F.col("close") < F.col("orb_low")) & (F.col("_prev") >= F.col("orb_low")), F.lit(False)),
-    }).drop("_prev")
-
-
-def combined_signals(bars: DataFrame, areas: DataFrame | None = None, band: float = 1.0) -> DataFrame:
-    """``signal`` 1, -1 or 0 from the setups, filtered by the band around the average price. ``areas`` (symbol, session_id, val, vah) adds bounces off the value area."""
-    d = bars
-    if areas is not None:
-        d = d.join(areas.select("symbol", "session_id", "val", "vah"), ["symbol", "session_id"], "left")
-    else:
-        d = d.withColumns({"val": F.lit(None).cast("double"), "vah": F.lit(None).cast("double")})
+        "orb_long": F.coalesce((F.col("close") > F.col("orb_high")) & (F.col("_prev") <= F.col("orb_high")), F.lit(False)),
+        "orb_short": F.coalesce((F.col("close") < F.col("orb_low")) & (F.col("_prev") >= F.col("orb_low")), F.lit(False)),
+    }).drop("_prev", "_n")
+
+
+def combined_signals(bars: DataFrame, band: float = 0.5) -> DataFrame:
+    """``signal`` 1, -1 or 0 from the setups, filtered by the band around the average price. Columns ``val`` and ``vah``, if there are, add bounces off the value area."""
+    d = bars.withColumns({c: F.lit(None).cast("double") for c in ("val", "vah") if c not in bars.columns})
     near = lambda x, edge: F.coalesce((F.col(x) <= F.col(edge) * 1.001) & (F.col(x) >= F.col(edge) * 0.999), F.lit(False))
     up = F.col("triple_a_long") | F.col("orb_long") | (near("low", "val") & F.col("absorption_up") & F.col("buyers_control"))
     down = F.col("triple_a_short") | F.col("orb_short") | (near("high", "vah") & F.col("absorption_down") & F.col("sellers_control"))
@@ -111,10 +152,13 @@ def combined_signals(bars: DataFrame, areas: DataFrame | None = None, band: floa
 
 
 class _BarStrategy:
-    """One position: stop one ATR beyond the bar, target at a multiple of the risk, trailing stop, no entries after so many losses in a session."""
+    """One position: stop one ATR beyond the bar, target at a multiple of the risk, a stop that follows once the price has moved far enough, no entries after so many losses in a session or outside of it.
+
+    Distances are those of the signal's bar. In a bar the stop is looked at before the target, and the best price is noted after both.
+    """
 
-    def __init__(self, max_losses: int, reward: float, trail: float) -> None:
-        self.max_losses, self.reward, self.trail = max_losses, reward, trail
+    def __init__(self, max_losses: int, reward: float, arm: float, follow: float) -> None:
+        self.max_losses, self.reward, self.arm, self.follow = max_losses, reward, arm, follow
         self.pos, self.losses, self.session = None, 0, None
 
     def step(self, r: dict) -> list[dict]:
@@ -125,25 +169,28 @@ class _BarStrategy:
         if p is not None:
             s = p["side"]
             worst, best = (r["low"], r["high"]) if s > 0 else (r["high"], r["low"])
-            price = p["stop"] if s * (worst - p["stop"]) <= 0 else p["target"] if s * (best - p["target"]) >= 0 else None
+            trail = p["best"] - s * p["follow"] if s * (p["best"] - p["entry"]) >= p["arm"] else None
+            stop = p["stop"] if trail is None else max(p["stop"], trail) if s > 0 else min(p["stop"], trail)
+            reason = "trail" if stop != p["stop"] else "stop"
+            price = stop if s * (worst - stop) <= 0 else p["target"] if s * (best - p["target"]) >= 0 else None
             if price is not None:
                 pnl = s * (price - p["entry"])
                 self.losses += pnl < 0
-                out.append({"seq": r["seq"], "timestamp": r["timestamp"], "side": s, "entry": p["entry"], "exit": price, "pnl": pnl, "reason": "stop" if price == p["stop"] else "target"})
+                out.append({"seq": r["seq"], "timestamp": r["timestamp"], "side": s, "entry": p["entry"], "exit": price, "pnl": pnl, "reason": reason if price == stop else "target"})
                 self.pos = None
             else:
-                moved = best - s * self.trail * r["atr"]
-                p["stop"] = max(p["stop"], moved) if s > 0 else min(p["stop"], moved)
-        if self.pos is None and r["signal"] and r["atr"] is not None and r["atr"] == r["atr"] and self.losses < self.max_losses:
+                p["best"] = max(p["best"], best) if s > 0 else min(p["best"], best)
+        if self.pos is None and not out and r["signal"] and r["in_session"] and r["atr"] is not None and r["atr"] == r["atr"] and self.losses < self.max_losses:
             s = int(r["signal"])
             stop = (r["low"] if s > 0 else r["high"]) - s * r["atr"]
-            self.pos = {"side": s, "entry": r["close"], "stop": stop, "target": r["close"] + (r["close"] - stop) * self.reward}
+            self.pos = {"side": s, "entry": r["close"], "best": r["close"], "stop": stop, "target": r["close"] + (r["close"] - stop) * self.reward, "arm": self.arm * r["atr"], "follow": self.follow * r["atr"]}
         return out
 
     def finish(self) -> list[dict]:
         return []
 
 
-def strategy_trades(bars: DataFrame, max_losses: int = 3, reward: float = 2.0, trail: float = 1.5) -> DataFrame:
-    """Closed trades of the bar strategy on ``signal``."""
-    return fold_by_symbol(bars, ["seq", "timestamp", "session_id", "high", "low", "close", "atr", "signal"], lambda: _BarStrategy(max_losses, reward, trail), "symbol string, seq long, timestamp long, side int, entry double, exit double, pnl double, reason string")
+def strategy_trades(bars: DataFrame, max_losses: int = 3, reward: float = 2.0, arm: float = 1.5, follow: float = 0.5) -> DataFrame:
+    """Closed trades of the bar strategy on ``signal``. The stop follows at ``follow`` ATR once the price has moved by ``arm`` ATR. Bars without a column ``in_session`` are all of a session."""
+    bars = bars if "in_session" in bars.columns else bars.withColumn("in_session", F.lit(True))
+    return fold_by_symbol(bars, ["seq", "timestamp", "session_id", "high", "low", "close", "atr", "signal", "in_session"], lambda: _BarStrategy(max_losses, reward, arm, follow), "symbol string, seq long, timestamp long, side int, entry double, exit double, pnl double, reason string")

@@ -177,3 +177,10 @@ def profile_overlay(bins: DataFrame, areas: DataFrame, clamp: DataFrame, delta_s
         *KEY, "bin_index", "low", "high", "total_volume", "delta", ((F.col("bin_low") > F.col("val")) & (F.col("bin_high") < F.col("vah"))).alias("in_value_area"),
         F.coalesce((1 - delta_share) * F.try_divide("total_volume", top_v), F.lit(0.0)).alias("volume_width"), F.coalesce(delta_share * F.try_divide(F.abs("delta"), top_d), F.lit(0.0)).alias("delta_width"),
     )
+
+
+def overlay_window(start: Column, end: Column, ratio: float) -> tuple[Column, Column]:
+    """Where an overlay of a profile is drawn: from its session's start over ``ratio`` (above 0, at most 1) of its duration."""
+    if not 0 < ratio <= 1:
+        raise ValueError(f"ratio must be above 0 and at most 1: {ratio}")
+    return start, start + F.round((end - start) * ratio).cast("long")

@@ -13,7 +13,7 @@ from tapewright.operators import folds as M
 from tapewright.operators import indicators as N
 from tapewright.operators import regime as R
 from tapewright.operators.candles import candles
-from tapewright.plans.market import DEC, SESSION, TAPE, tape
+from tapewright.plans.market import DEC, SESSION, TAPE, area_sql, tape
 from tapewright.plans.registry import Registry, table
 from tapewright.plans.research import CORE_STEP, ftape, tagged
 from tapewright.sources import tape as S
@@ -38,6 +38,11 @@ def mvp_trades(spark, sf_dir):
     return _trades(spark, sf_dir)
 
 
+@REGISTRY.query("mvp_cum_pnl")
+def mvp_cum_pnl(spark, sf_dir):
+    return M.with_cum_pnl(_trades(spark, sf_dir)).select("symbol", "entry_idx", "exit_idx", "pnl", "cum_pnl")
+
+
 @REGISTRY.query("mvp_summary")
 def mvp_summary(spark, sf_dir):
     return M.summarize_trades(_trades(spark, sf_dir))
@@ -86,14 +91,34 @@ def bt_summary(spark, sf_dir):
     return B.backtest_summary(_curve(spark, sf_dir)).withColumns({c: F.round(c, 7) for c in ("total_return", "sharpe_ratio", "max_drawdown")})
 
 
-@REGISTRY.query("bt_loop")
+#: The broker as a recursion over bars: s signal, x price after slippage, q cash after a position was closed, then cash and size.
+_LOOP = f"""{BARS}, lb as (select symbol, seq, t, close, signal as s, row_number() over (partition by symbol order by t) as k from sig),
+lr as (select symbol, cast(0 as bigint) as k, cast(0 as bigint) as seq, cast(0 as bigint) as t, cast(0 as double) as close, 0 as s, cast(0 as double) as x, cast(0 as double) as old, cast(0 as double) as q, cast(100000 as double) as cash, cast(0 as double) as size, false as trades from lb where k = 1
+ union all select symbol, k, seq, t, close, s, x, size, q, case when trades then case when s > 0 then q - abs(s * q / x) * x * 1.001 else q + abs(s * q / x) * x * 0.999 end else cash end, case when trades then s * q / x else size end, trades
+ from (select b.symbol, b.k, b.seq, b.t, b.close, b.s, b.close * (1 + 0.0005 * b.s) as x, r.size, r.cash, b.s <> 0 and r.size * b.s <= 0 as trades, case when r.size <> 0 then r.cash + r.size * (b.close * (1 + 0.0005 * b.s)) * 0.999 else r.cash end as q from lr r join lb b on b.symbol = r.symbol and b.k = r.k + 1))"""
+_ACTION = "case when trades then concat_ws(',', case when old <> 0 then case when s > 0 then 'CLOSE_SHORT' else 'CLOSE_LONG' end end, case when s > 0 then 'BUY' else 'SELL' end) else '' end"
+
+
+@REGISTRY.query("bt_loop", f"with recursive {_LOOP} select symbol, seq, t as \"timestamp\", round(cash + size * close, 2) as equity, actions from (select *, {_ACTION} as actions from lr where k > 0)")
 def bt_loop(spark, sf_dir):
+    return _loop(spark, sf_dir).select("symbol", "seq", "timestamp", F.round("equity", 2).alias("equity"), "actions")
+
+
+def _loop(spark, sf_dir) -> DataFrame:
     return B.loop_backtest(bars(spark, sf_dir).withColumn("signal", _signal()))
 
 
+@REGISTRY.query("bt_loop_trades", f"""with recursive {_LOOP}, d as (select * from lr where k > 0 and trades)
+select symbol, seq, t as "timestamp", case when s > 0 then 'CLOSE_SHORT' else 'CLOSE_LONG' end as action, round(x, 7) as price, round(q, 2) as equity from d where old <> 0
+union all select symbol, seq, t, case when s > 0 then 'BUY' else 'SELL' end, round(x, 7), round(cash, 2) from d""")
+def bt_loop_trades(spark, sf_dir):
+    t = B.loop_trades(bars(spark, sf_dir).withColumn("signal", _signal()))
+    return t.withColumns({"price": F.round("price", 7), "equity": F.round("equity", 2)})
+
+
 @REGISTRY.query("bt_loop_summary")
 def bt_loop_summary(spark, sf_dir):
-    return B.loop_summary(materialize(bt_loop(spark, sf_dir), "loop"))
+    return B.loop_summary(materialize(_loop(spark, sf_dir), "loop"))
 
 
 @REGISTRY.query("bar_returns", f"with {BARS} select symbol, t as \"timestamp\", close / lag(close) over (partition by symbol order by t) - 1 as ret from bars")
@@ -153,11 +178,26 @@ def audit_boundaries(spark, sf_dir):
 
 
 @REGISTRY.query("gap_stats", f"""with {TAPE}, g as (select symbol, "timestamp" - lag("timestamp") over (partition by symbol order by "timestamp", seq) as gap from tape)
-select symbol, min(gap) as min_gap, max(gap) as max_gap, count(*) filter (gap > 1000) as gaps_over_1s, count(*) filter (gap > 5000) as gaps_over_5s, count(*) filter (gap > 10000) as gaps_over_10s, count(*) filter (gap > 60000) as gaps_over_60s, count(*) filter (gap = 0) as duplicate_ts from g group by symbol""")
+select symbol, min(gap) as min_gap, quantile_cont(gap, 0.5) as p50_gap, cast(list_sort(list(gap) filter (gap is not null))[cast(floor(0.95 * (count(gap) - 1)) as int) + 1] as double) as p95_gap, max(gap) as max_gap, count(*) filter (gap > 1000) as gaps_over_1s, count(*) filter (gap > 5000) as gaps_over_5s, count(*) filter (gap > 10000) as gaps_over_10s, count(*) filter (gap > 60000) as gaps_over_60s, count(*) filter (gap = 0) as duplicate_ts from g group by symbol""")
 def gap_stats(spark, sf_dir):
     return A.gap_stats(tape(spark, sf_dir))
 
 
+@REGISTRY.query("tape_report", f"""with {TAPE}, g as (select symbol, "timestamp" as t, "timestamp" - lag("timestamp") over (partition by symbol order by "timestamp", seq) as gap from tape),
+m as (select symbol, count(*) as rows, min(t) as ts_min, max(t) as ts_max, min(gap) as min_gap, max(gap) as max_gap, quantile_cont(gap, 0.5) as p50_gap, list_sort(list(gap) filter (gap is not null))[cast(floor(0.95 * (count(gap) - 1)) as int) + 1] as p95_gap,
+ count(*) filter (gap > 1000) as gaps_over_1s, count(*) filter (gap > 5000) as gaps_over_5s, count(*) filter (gap > 10000) as gaps_over_10s, count(*) filter (gap > 60000) as gaps_over_60s, count(*) filter (gap = 0) as duplicate_ts from g group by symbol),
+d as (select symbol, cast(columns(* exclude (symbol)) as double), (ts_max - ts_min) / 1000.0::double as duration_s, rows / nullif((ts_max - ts_min) / 1000.0::double, 0) as rows_per_s from m)
+unpivot d on columns(* exclude (symbol)) into name metric value value""")
+def tape_report(spark, sf_dir):
+    return A.tape_report(tape(spark, sf_dir))
+
+
+@REGISTRY.query("schema_variants", """select column_name as field, case column_type when 'BIGINT' then 'int64' when 'VARCHAR' then 'string' when 'DOUBLE' then 'double' when 'BOOLEAN' then 'bool' when 'TIMESTAMP' then 'timestamp[us]' else column_type end as dtype,
+ cast(1 as bigint) as files, cast(1 as bigint) as n_files, cast(1 as bigint) as layouts from (describe trade_deliveries)""")
+def schema_variants(spark, sf_dir):
+    return A.schema_variants(spark, f"{sf_dir}/trade_deliveries.parquet").withColumns({c: F.col(c).cast("long") for c in ("n_files", "layouts")})
+
+
 _FWD = f"""{TAPE}, fr as (select a.symbol, a.seq, a.price, a.is_buyer_maker, (b.price - a.price) / nullif(a.price, 0) as ret_3s, (c.price - a.price) / nullif(a.price, 0) as ret_600s
  from tape a asof left join (select symbol, "timestamp" as t, first(price order by seq) as price from tape group by 1, 2) b on a.symbol = b.symbol and a."timestamp" + 3000 <= b.t
  asof left join (select symbol, "timestamp" as t, first(price order by seq) as price from tape group by 1, 2) c on a.symbol = c.symbol and a."timestamp" + 600000 <= c.t)"""
@@ -178,9 +218,8 @@ def directional_accuracy(spark, sf_dir):
     return A.directional_accuracy(f, "s", "ret_3s")
 
 
-@REGISTRY.query("flow_correlation", "select count(*) as n, round(corr(pressure, delta), 7) as corr from flow_readings where pressure is not null and delta is not null and isfinite(pressure) and isfinite(delta) and abs(delta) < 1e6")
+@REGISTRY.query("flow_correlation", "select count(*) as n, round(corr(pressure, delta), 7) as corr from flow_readings where pressure is not null and delta is not null and isfinite(pressure) and isfinite(delta)")
 def flow_correlation(spark, sf_dir):
-    # All finite rows. The SQL leaves out |delta| >= 1e6, so the two agree only on tables without such rows.
     return A.correlation(table(spark, sf_dir, "flow_readings"), "pressure", "delta").withColumn("corr", F.round("corr", 7))
 
 
@@ -210,17 +249,36 @@ def rule_violations(spark, sf_dir):
     return A.rule_violations(lines, "line_id", "line_text")
 
 
-@REGISTRY.query("field_histogram")
+_JSON_KIND = "case json_type({x}) when 'UBIGINT' then 'integer' when 'BIGINT' then 'integer' when 'DOUBLE' then 'decimal' when 'VARCHAR' then 'text' when 'BOOLEAN' then 'boolean' when 'ARRAY' then 'list' when 'OBJECT' then 'object' else 'null' end"
+
+
+@REGISTRY.query("field_histogram", f"""with l as (select cast(line_text as json) as j from raw_lines where line_format <> 'trade_csv' and json_valid(line_text)), o as (select j from l where json_type(j) = 'OBJECT'),
+b as (select case when json_type(json_extract(j, '$.flow')) = 'OBJECT' then json_extract(j, '$.flow') else j end as b from o), k as (select b, unnest(json_keys(b)) as field from b)
+select field, {_JSON_KIND.format(x="json_extract(b, '$.\"' || field || '\"')")} as type, count(*) as n from k group by 1, 2""")
 def field_histogram(spark, sf_dir):
     return A.field_histogram(table(spark, sf_dir, "raw_lines").filter("line_format <> 'trade_csv'"))
 
 
-@REGISTRY.query("order_flow", f"""with {TAPE}, f as (select symbol, seq, "timestamp" as t, price, qty, case when is_buyer_maker then -qty else qty end as delta from tape),
-w as (select *, {DEC.format(x="greatest(delta, 0.0)").replace(" as double)", "", 1)} over w5 as double) as buy_volume, cast(sum(cast(greatest(-delta, 0.0) as decimal(28,8))) over w5 as double) as sell_volume, cast(sum(cast(delta as decimal(28,8))) over w5 as double) as window_cum_delta, count(*) over w5 as n, max(price) over w5 - min(price) over w5 as price_range, min(t) over (partition by symbol) as first
- from f window w5 as (partition by symbol order by t range between 299999 preceding and current row))
-select symbol, seq, window_cum_delta, buy_volume, sell_volume, window_cum_delta / (buy_volume + sell_volume) as pressure, (buy_volume + sell_volume) / 300.0 as volume_per_sec, window_cum_delta / 300.0 as delta_per_sec, n / 300.0 as trade_intensity, price_range, t - first >= 300000 as warm from w""")
+#: Trailing window and pause that begins a session, in the test tape's pace.
+FLOW_MS, PAUSE_MS = 300_000, 900_000
+_FLOW = f"""{TAPE}, f0 as (select symbol, seq, "timestamp" as t, price, qty, case when is_buyer_maker then -qty else qty end as delta, case when "timestamp" - lag("timestamp") over (partition by symbol order by "timestamp", seq) > {PAUSE_MS} then 1 else 0 end as nw from tape),
+f as (select *, sum(nw) over (partition by symbol order by t, seq rows unbounded preceding) as sid from f0),
+w as (select *, cast(sum(cast(greatest(delta, 0.0) as decimal(28,8))) over w5 as double) as buy_volume, cast(sum(cast(greatest(-delta, 0.0) as decimal(28,8))) over w5 as double) as sell_volume, cast(sum(cast(delta as decimal(28,8))) over w5 as double) as window_cum_delta,
+ cast(sum(cast(delta as decimal(28,8))) over (partition by symbol, sid order by t, seq rows unbounded preceding) as double) as session_cum_delta, count(*) over w5 as n, max(price) over w5 - min(price) over w5 as price_range, min(t) over (partition by symbol, sid) as first
+ from f window w5 as (partition by symbol, sid order by t range between {FLOW_MS - 1} preceding and current row))
+select symbol, seq, window_cum_delta, session_cum_delta, buy_volume, sell_volume, window_cum_delta / (buy_volume + sell_volume) as pressure, (buy_volume + sell_volume) / {FLOW_MS / 1000} as volume_per_sec, window_cum_delta / {FLOW_MS / 1000} as delta_per_sec, n / {FLOW_MS / 1000} as trade_intensity, price_range, t - first >= {FLOW_MS} as warm from w"""
+
+
+@REGISTRY.query("order_flow", f"with {_FLOW}")
 def order_flow(spark, sf_dir):
-    return live.order_flow(ftape(spark, sf_dir), 300_000).drop("timestamp", "price", "delta")
+    return live.order_flow(ftape(spark, sf_dir), FLOW_MS, gap_ms=PAUSE_MS).drop("timestamp", "price", "delta")
+
+
+@REGISTRY.query("order_flow_stream")
+def order_flow_stream(spark, sf_dir):
+    """The same from a stream; trades of one instant are seen one after the other, so rows with ties differ from ``order_flow``."""
+    t = S.feature_tape(S.events_as_tape(S.stream_files(spark, f"{sf_dir}/events.parquet"))).select("symbol", "seq", "timestamp", "price", "delta")
+    return live.run_available(live.order_flow_stream(t, FLOW_MS, gap_ms=PAUSE_MS), "flow").drop("timestamp", "price", "delta")
 
 
 @REGISTRY.query("ohlcv_stream", f"""with {TAPE}, c as (select symbol, '15m' as timeframe, "timestamp" // 900000 * 900000 as timestamp_ms, first(price order by "timestamp", price, qty, seq) as open, max(price) as high, min(price) as low, first(price order by "timestamp" desc, price desc, qty desc, seq desc) as close,
@@ -233,7 +291,8 @@ def ohlcv_stream(spark, sf_dir):
 
 def _indicated(spark, sf_dir) -> DataFrame:
     b = N.session_vwap(N.wilder_atr(materialize(bars(spark, sf_dir), "bars")))
-    return N.opening_range(N.bar_indicators(materialize(b, "bars2")))
+    b = N.rolling_profile(N.bar_indicators(materialize(b, "bars2")))
+    return N.opening_range(N.exchange_session(materialize(b, "bars3")), flag="in_session")
 
 
 _VWAP = f"""{BARS}, sb as (select *, {SESSION.format(c="t")} as session_id from bars)"""
@@ -252,16 +311,45 @@ def bar_delta(spark, sf_dir):
     return b.select("symbol", "timestamp", *[F.round(c, 7).alias(c) for c in ("buy_volume", "delta", "smooth_delta")])
 
 
-@REGISTRY.query("bar_opening_range", f"""with {_VWAP}, o as (select *, t < min(t) over (partition by symbol, session_id) + 1800000 as early, lag(close) over (partition by symbol, session_id order by t) as pc from sb),
-h as (select *, max(high) filter (early) over (partition by symbol, session_id) as orb_high, min(low) filter (early) over (partition by symbol, session_id) as orb_low from o)
-select symbol, t as "timestamp", orb_high, orb_low, coalesce(not early and close > orb_high and pc <= orb_high, false) as orb_long, coalesce(not early and close < orb_low and pc >= orb_low, false) as orb_short from h""")
+@REGISTRY.query("bar_opening_range", f"""with {_VWAP}, o as (select *, row_number() over (partition by symbol, session_id order by t) - 1 as n, lag(close) over (partition by symbol, session_id order by t) as pc from sb),
+h as (select *, case when n >= 2 then max(high) filter (n <= 2) over (partition by symbol, session_id) end as orb_high, case when n >= 2 then min(low) filter (n <= 2) over (partition by symbol, session_id) end as orb_low from o)
+select symbol, t as "timestamp", orb_high, orb_low, coalesce(close > orb_high and pc <= orb_high, false) as orb_long, coalesce(close < orb_low and pc >= orb_low, false) as orb_short from h""")
 def bar_opening_range(spark, sf_dir):
     return N.opening_range(bars(spark, sf_dir)).select("symbol", "timestamp", "orb_high", "orb_low", "orb_long", "orb_short")
 
 
+@REGISTRY.query("bar_session_flag", f"""with {BARS}, m as (select symbol, t, (t + 7200000) // 60000 % 1440 as m from bars), f as (select *, m >= 570 and m < 960 as in_session from m)
+select symbol, t as "timestamp", in_session, in_session and not coalesce(lag(in_session) over (partition by symbol order by t), false) as session_change from f""")
+def bar_session_flag(spark, sf_dir):
+    """The flag by a clock two hours ahead of UTC, which SQL can state without time zones."""
+    return N.exchange_session(bars(spark, sf_dir), zone="+02:00").select("symbol", "timestamp", "in_session", "session_change")
+
+
+_ATR = f"""{BARS}, tr as (select *, row_number() over (partition by symbol order by t) as k, greatest(high - low, abs(high - lag(close) over (partition by symbol order by t)), abs(low - lag(close) over (partition by symbol order by t))) as x, high - low as hl from bars),
+tx as (select symbol, t, k, case when k = 1 then hl else x end as x from tr),
+rec as (select symbol, t, k, (select avg(x) from tx b where b.symbol = a.symbol and b.k <= 14) as atr from tx a where k = 14 union all select n.symbol, n.t, n.k, r.atr + (n.x - r.atr) / 14 from rec r join tx n on n.symbol = r.symbol and n.k = r.k + 1)"""
+
+
+@REGISTRY.query("bar_atr", f"with recursive {_ATR} select tx.symbol, tx.t as \"timestamp\", round(rec.atr, 7) as atr from tx left join rec on tx.symbol = rec.symbol and tx.k = rec.k")
+def bar_atr(spark, sf_dir):
+    return N.wilder_atr(bars(spark, sf_dir)).select("symbol", "timestamp", F.round("atr", 7).alias("atr"))
+
+
+_ROLLED = f"""{BARS}, r0 as (select *, row_number() over (partition by symbol order by t) as k, min(low) over w as lo, max(high) over w as hi, count(*) over w as c from bars window w as (partition by symbol order by t rows between 49 preceding and current row)),
+r1 as (select *, (hi - lo) / 24 as step from r0 where c >= 50),
+pl as (select a.symbol, a.t, cast(floor((b.close - a.lo) / nullif(a.step, 0)) as int) as i, sum(b.volume) as v from r1 a join r0 b on a.symbol = b.symbol and b.k between a.k - 49 and a.k group by 1, 2, 3),
+fr as (select symbol, t, lo, step, cast(unnest(range(24)) as int) as bin_index from r1),
+bins as (select fr.symbol, fr.t as session_id, bin_index, lo + bin_index * step as bin_low, lo + bin_index * step + step as bin_high, coalesce(v, 0) as total_volume from fr left join pl on fr.symbol = pl.symbol and fr.t = pl.t and fr.bin_index = pl.i), {area_sql("desc")}"""
+
+
+@REGISTRY.query("bar_rolling_profile", f"with {_ROLLED} select b.symbol, b.t as \"timestamp\", round(poc_price, 7) as poc, round(vah, 7) as vah, round(val, 7) as val from bars b left join poc on b.symbol = poc.symbol and b.t = poc.session_id left join area on b.symbol = area.symbol and b.t = area.session_id")
+def bar_rolling_profile(spark, sf_dir):
+    return N.rolling_profile(bars(spark, sf_dir)).select("symbol", "timestamp", *[F.round(c, 7).alias(c) for c in ("poc", "vah", "val")])
+
+
 @REGISTRY.query("bar_signals")
 def bar_signals(spark, sf_dir):
-    return N.combined_signals(_indicated(spark, sf_dir)).select("symbol", "timestamp", F.round("atr", 7).alias("atr"), "absorption", "strong_absorption", "contraction", "expansion", "triple_a_long", "triple_a_short", "orb_long", "orb_short", "signal")
+    return N.combined_signals(_indicated(spark, sf_dir)).select("symbol", "timestamp", F.round("atr", 7).alias("atr"), "absorption", "strong_absorption", "contraction", "expansion", "triple_a_long", "triple_a_short", "orb_long", "orb_short", "in_session", "poc", "vah", "val", "signal")
 
 
 @REGISTRY.query("bar_strategy")

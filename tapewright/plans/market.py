@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapewright.functions.common import work_path
 from tapewright.operators import profile as P
 from tapewright.operators.candles import candles, marker_sizes, order_bubbles
 from tapewright.plans.registry import Registry, table
 from tapewright.sources import tape as S
+from tapewright.sources.export import write_jsonl
 
 REGISTRY = Registry()
 
@@ -140,7 +142,7 @@ bins as (select symbol, session_id, session_low, session_high, bin_width, cast(b
 POC = """poc as (select symbol, session_id, first(bin_index order by total_volume desc, bin_index) as poc_bin_index, first((bin_low + bin_high) / 2 order by total_volume desc, bin_index) as poc_price, max(total_volume) as poc_volume from bins group by 1, 2)"""
 
 
-def _area_sql(tie: str) -> str:
+def area_sql(tie: str) -> str:
     return f"""{POC},
 sided as (select bins.*, poc_bin_index, sign(bin_index - poc_bin_index) as side, abs(bin_index - poc_bin_index) as dist from bins join poc using (symbol, session_id)),
 mins as (select *, min(total_volume) over (partition by symbol, session_id, side order by dist rows unbounded preceding) as m from sided),
@@ -149,7 +151,7 @@ cums as (select *, coalesce(sum(cast(total_volume as decimal(28,8))) over (parti
 area as (select symbol, session_id, min(bin_low) as val, max(bin_high) as vah, min(bin_index) as val_bin, max(bin_index) as vah_bin from cums where dist = 0 or before < total * 0.7 group by 1, 2)"""
 
 
-AREA = _area_sql("asc")
+AREA = area_sql("asc")
 DENSITY = """sm as (select *, (coalesce(lag(total_volume) over w, total_volume) + total_volume + coalesce(lead(total_volume) over w, total_volume)) / 3.0 as smoothed from bins window w as (partition by symbol, session_id order by bin_index)),
 mx as (select *, max(smoothed) over (partition by symbol, session_id) as top from sm),
 dens as (select *, case when top > 0 then smoothed / top else 0.0 end as density from mx),
@@ -181,7 +183,7 @@ def vp_value_area(spark, sf_dir):
     return P.value_area(_bins(spark, sf_dir))
 
 
-@REGISTRY.query("vp_value_area_up", f"with {BINS}, {_area_sql('desc')} select * from area")
+@REGISTRY.query("vp_value_area_up", f"with {BINS}, {area_sql('desc')} select * from area")
 def vp_value_area_up(spark, sf_dir):
     return P.value_area(_bins(spark, sf_dir), tie_up=True)
 
@@ -254,3 +256,38 @@ def overlay(spark, sf_dir):
     span = F.col("session_high") - F.col("session_low")
     clamp = b.filter("bin_index = 0").select("symbol", "session_id", (F.col("session_low") + 0.1 * span).alias("clamp_low"), (F.col("session_high") - 0.1 * span).alias("clamp_high"))
     return P.profile_overlay(b, P.value_area(b), clamp).withColumns({"volume_width": F.round("volume_width", 9), "delta_width": F.round("delta_width", 9)})
+
+
+@REGISTRY.query("overlay_window", f"""with {BINS} select symbol, session_id, s as overlay_start, s + cast(round(86400000 * 0.35) as bigint) as overlay_end from (select symbol, session_id, epoch_ms(cast(session_id as timestamp)) + 48600000 as s from edges)""")
+def overlay_window(spark, sf_dir):
+    e = _bins(spark, sf_dir).filter("bin_index = 0")
+    start = F.unix_millis(F.to_timestamp(F.concat("session_id", F.lit(" 00:00:00+00:00")), "yyyy-MM-dd HH:mm:ssXXX")) + 48_600_000
+    a, b = P.overlay_window(start, start + 86_400_000, 0.35)
+    return e.select("symbol", "session_id", a.alias("overlay_start"), b.alias("overlay_end"))
+
+
+@REGISTRY.query("session_trades", f"""with {TAPE} select *, case when "timestamp" >= {S.session_bounds("2024-01-07")[0]} then 'current' else 'previous' end as session_part from tape where "timestamp" >= {S.session_bounds("2024-01-06")[0]} and "timestamp" < {S.session_bounds("2024-01-07")[1]}""")
+def session_trades(spark, sf_dir):
+    return S.session_trades(tape(spark, sf_dir), "07012024")
+
+
+_RELOADED = f"""with {BINS}, {POC} select session_id, symbol, poc_bin_index, round(poc_volume, 3) as poc_volume from poc"""
+
+
+def _exported(spark, sf_dir) -> DataFrame:
+    """Session profiles written as JSON lines, twice, the first time with another volume, and read back."""
+    path = work_path(spark, "profiles")
+    p = P.session_profiles(tape(spark, sf_dir)).select("symbol", "session_id", F.col("poc_bin_index").cast("int").alias("poc_bin_index"), "poc_volume", "volume_profile")
+    write_jsonl(p.withColumn("poc_volume", F.lit(-1.0)), f"{path}/a")
+    write_jsonl(p, f"{path}/b")
+    return S.read_profiles(spark, f"{path}/*")
+
+
+@REGISTRY.query("profiles_latest", _RELOADED)
+def profiles_latest(spark, sf_dir):
+    return S.latest_profiles(_exported(spark, sf_dir), ("symbol", "session_id")).select("session_id", "symbol", F.col("poc_bin_index").cast("int").alias("poc_bin_index"), "poc_volume")
+
+
+@REGISTRY.query("profile_lookup", f"select session_id, symbol, poc_bin_index, cast(-1 as double) as poc_volume from ({_RELOADED}) where session_id = '2024-01-06'")
+def profile_lookup(spark, sf_dir):
+    return S.profile_of(_exported(spark, sf_dir), "2024-01-06").select("session_id", "symbol", F.col("poc_bin_index").cast("int").alias("poc_bin_index"), "poc_volume")

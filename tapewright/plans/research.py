@@ -130,9 +130,17 @@ def event_features_subsampled(spark, sf_dir):
 
 
 @REGISTRY.query("feature_report", f"""with {FEATURES}, u as (unpivot (select pressure_50, speed_50, range_50, volume_50 from features) on pressure_50, speed_50, range_50, volume_50 into name field value v)
-select field, cast(0 as bigint) as nulls, cast(0 as bigint) as nans, cast(0 as bigint) as infs, min(v) as min, max(v) as max from u group by field""")
+select field, cast(0 as bigint) as nulls, cast(0 as bigint) as nans, cast(0 as bigint) as infs, min(v) as min, max(v) as max, round(quantile_cont(v, 0.5), 9) as median, round(quantile_cont(v, 0.99), 9) as p99 from u group by field""")
 def feature_report(spark, sf_dir):
-    return X.feature_report(features(spark, sf_dir), ["pressure_50", "speed_50", "range_50", "volume_50"]).drop("median", "p99")
+    return X.feature_report(features(spark, sf_dir), ["pressure_50", "speed_50", "range_50", "volume_50"]).withColumns({c: F.round(c, 9) for c in ("median", "p99")})
+
+
+_BINS = ["pressure_bin", "speed_bin", "range_bin", "location_bin"]
+
+
+@REGISTRY.query("feature_bin_counts", f"with {FEATURES} " + " union all ".join(f"select '{c}' as field, {c} as bin, count(*) as n from features group by 2" for c in _BINS))
+def feature_bin_counts(spark, sf_dir):
+    return X.bin_counts(features(spark, sf_dir), _BINS)
 
 
 #: The fold queries and sampled chains use every 5th event: with 1 in 50 the small tables never fill the windows.

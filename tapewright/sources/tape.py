@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapewright.functions.common import require_columns
+from tapewright.functions.common import require_columns, with_positions
 
 #: A canonical tape: ``seq`` is the order of arrival and breaks ties of ``timestamp`` (epoch ms).
 TRADE_COLUMNS = ["symbol", "seq", "timestamp", "price", "qty", "is_buyer_maker"]
@@ -48,20 +48,30 @@ def normalize_trades(df: DataFrame) -> DataFrame:
 def read_trades(spark: SparkSession, path: str, symbol: str, start=None, end=None) -> DataFrame:
     """A canonical tape from parquet (.parquet or folder), exchange JSON lines (.jsonl) or CSV (.csv), by suffix.
 
-    Rows are numbered in file order by ``seq``. JSON that can't be read is an error.
+    Rows without a ``seq`` are numbered in the order of files and of rows in them. JSON that can't be read is an error.
     """
     if path.endswith((".jsonl", ".json")):
         raw = spark.read.schema(EXCHANGE_JSON).json(path, mode="FAILFAST")
-        df = raw.select(F.col("T").alias("timestamp"), F.col("p").cast("double").alias("price"), F.col("q").cast("double").alias("qty"), F.col("m").alias("is_buyer_maker"))
+        df = in_file_order(raw, "seq").select("seq", F.col("T").alias("timestamp"), F.col("p").cast("double").alias("price"), F.col("q").cast("double").alias("qty"), F.col("m").alias("is_buyer_maker"))
     elif path.endswith(".csv"):
         df = read_trade_csv(spark, path)
     else:
-        df = normalize_trades(spark.read.parquet(path))
-    df = df.withColumn("symbol", F.lit(symbol)).withColumn("seq", F.monotonically_increasing_id()) if "seq" not in df.columns else df.withColumn("symbol", F.lit(symbol))
-    df = df.select(*TRADE_COLUMNS)
+        raw = spark.read.parquet(path)
+        df = normalize_trades(raw if "seq" in raw.columns else in_file_order(raw, "seq"))
+    df = df.withColumn("symbol", F.lit(symbol))
+    df = (df if "seq" in df.columns else in_file_order(df, "seq")).select(*TRADE_COLUMNS)
     return trades_window(df, start, end) if start is not None else df
 
 
+def in_file_order(df: DataFrame, name: str) -> DataFrame:
+    """``df``, as read from files, with its rows numbered from 0 by (path, place in the file).
+
+    Spark packs splits of files by size, so a row's number in its task says nothing across files: splits are ordered by path and start, rows by their order in the split.
+    """
+    placed = df.withColumn("_split", F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))).withColumn("_row", F.monotonically_increasing_id())
+    return with_positions(placed, [], ["_row"], F.col("_split")).withColumnRenamed("_pos", name).drop("_split", "_row", "_bucket", "_before")
+
+
 def maker_flag(col: Column) -> Column:
     """true/false/1/0 in any letter case; anything else is null (and no trade, rather than a buyer's)."""
     t = F.lower(F.trim(col.cast("string")))
@@ -77,7 +87,7 @@ def read_trade_csv(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError(f"expected 6 or 7 columns, found {len(cells)}")
     header = not cells[0].strip().strip('"').lstrip("-").isdigit()
     raw = spark.read.schema(TRADE_CSV if len(cells) == 6 else AGG_TRADE_CSV).csv(path, sep=sep, header=header, mode="PERMISSIVE")
-    out = raw.withColumn("is_buyer_maker", maker_flag(F.col("is_buyer_maker")))
+    out = in_file_order(raw, "seq").withColumn("is_buyer_maker", maker_flag(F.col("is_buyer_maker")))
     if len(cells) == 7:
         out = out.withColumn("quote_qty", F.col("price") * F.col("qty"))
     return out.filter(F.col("is_buyer_maker").isNotNull())
@@ -148,6 +158,33 @@ def clean_bars(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(names[c]).alias(c) for c in wanted]).dropna()
 
 
+def session_trades(trades: DataFrame, day: str) -> DataFrame:
+    """Trades of a session and of the one before it, by ``session_part`` 'current' and 'previous'; the filter reaches the scan."""
+    a, b = session_bounds(day)
+    whole = trades.filter((F.col("timestamp") >= a - 86_400_000) & (F.col("timestamp") < b))
+    return whole.withColumn("session_part", F.when(F.col("timestamp") >= a, "current").otherwise("previous"))
+
+
+def read_profiles(spark: SparkSession, path: str) -> DataFrame:
+    """Exported session profiles, one JSON object a line, with ``line_no`` in file order; blank lines are no rows. A line that can't be read is an error."""
+    raw = spark.read.json(path, mode="FAILFAST")
+    return in_file_order(raw, "line_no").withColumn("session_id", F.col("session_id").cast("string"))
+
+
+def latest_profiles(profiles: DataFrame, keys: tuple[str, ...] = ("session_id",)) -> DataFrame:
+    """One profile per session: of several the last in file order."""
+    body = F.struct(*[F.col(c) for c in profiles.columns])
+    return profiles.groupBy(*keys).agg(F.max_by(body, "line_no").alias("_b")).select("_b.*")
+
+
+def profile_of(profiles: DataFrame, session: str) -> DataFrame:
+    """The first profile of a session, one row. A session without one is an error."""
+    found = profiles.filter(F.col("session_id") == session).orderBy("line_no").limit(1)
+    if not found.take(1):
+        raise ValueError(f"no profile of session {session}")
+    return found
+
+
 def trades_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event stream as a tape of one symbol."""
     return events_as_tape(spark.read.parquet(f"{sf_dir}/events.parquet"))

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tapewright.functions.common import work_path
+from tapewright.functions.common import materialize, with_positions, work_path
+from tapewright.functions.halo import BUCKET_MS, over_shards
 from tapewright.operators.candles import timeframe_to_ms
 from tapewright.operators.folds import SIGNAL_SCHEMA, SignalMachine
 from tapewright.sources.tape import exact_sum
@@ -69,17 +70,43 @@ class CandleAggregator:
         return closed
 
 
-def order_flow(tape: DataFrame, window_ms: int = 5_000, gap_ms: int | None = None) -> DataFrame:
+def _sessions(tape: DataFrame, gap_ms: int | None, connection: str | None) -> DataFrame:
+    """Adds ``_session`` (numbered per symbol) and ``_since`` (its first instant). Counted over time buckets, so no symbol is one task."""
+    if gap_ms is None and connection is None:
+        d = tape.withColumn("_session", F.lit(0).cast("long"))
+    else:
+        def begins(d: DataFrame, w) -> DataFrame:
+            new = F.lit(False)
+            if gap_ms is not None:
+                new = new | (F.col("timestamp") - F.lag("timestamp").over(w) > gap_ms)
+            if connection is not None:
+                new = new | ~F.lag(connection).over(w).eqNullSafe(F.col(connection))
+            return d.withColumn("_new", (F.coalesce(new, F.lit(False)) & (F.row_number().over(w) > 1)).cast("long"))
+
+        d = over_shards(tape, begins, 1, 1).drop("event_idx")
+        d = with_positions(d, ["symbol"], ["timestamp", "seq"], F.floor(F.col("timestamp") / F.lit(BUCKET_MS)), F.col("_new"))
+        d = d.withColumn("_session", F.col("_before") + F.col("_new")).drop("_new", "_before", "_pos", "_bucket")
+    d = materialize(d, "sessions")
+    since = d.groupBy(F.col("symbol").alias("_s"), F.col("_session").alias("_n")).agg(F.min("timestamp").alias("_since"))
+    return d.join(since, d["symbol"].eqNullSafe(since["_s"]) & (d["_session"] == since["_n"])).drop("_s", "_n")
+
+
+def order_flow(tape: DataFrame, window_ms: int = 5_000, gap_ms: int | None = None, connection: str | None = None) -> DataFrame:
     """Flow of the trailing ``window_ms`` at each trade: volumes, delta, pressure, rates and price range; and the delta since the session began.
 
-    A session begins at a pause longer than ``gap_ms`` (a reconnect), or never again. ``warm`` says that the window is full. Which trades are absorbed is a caller's rule.
-    Tape: symbol, seq, timestamp, price, quantity, delta. The trailing frame is within (symbol, time shard), with the window before each shard as halo.
+    A session begins at a pause longer than ``gap_ms``, and where the column ``connection`` changes (a reconnect); with neither a symbol is one session. No window reaches back over a
+    session's beginning, and ``warm`` says that its window is full. Which trades are absorbed is a caller's rule.
+    Tape: symbol, seq, timestamp, price, quantity, delta. The trailing frame is within (symbol, time shard), with the window before each shard as halo; the session's delta comes from
+    sums per time bucket.
     """
+    d = _sessions(tape, gap_ms, connection)
+    d = with_positions(d, ["symbol", "_session"], ["timestamp", "seq"], F.floor(F.col("timestamp") / F.lit(BUCKET_MS)), F.col("delta"), weight_type="decimal(28,8)")
+    d = d.withColumn("session_cum_delta", (F.col("_before") + F.coalesce(F.col("delta"), F.lit(0.0)).cast("decimal(28,8)")).cast("double")).drop("_before", "_pos", "_bucket")
     width = max(600_000, 4 * window_ms)
     shard = F.floor(F.col("timestamp") / F.lit(width))
     copies = F.filter(F.array(shard, F.when(F.pmod("timestamp", F.lit(width)) >= width - window_ms, shard + 1)), lambda x: x.isNotNull())
-    d = tape.withColumn("_own", shard).withColumn("_shard", F.explode(copies))
-    w = Window.partitionBy("symbol", "_shard").orderBy("timestamp").rangeBetween(-(window_ms - 1), 0)
+    d = d.withColumn("_own", shard).withColumn("_shard", F.explode(copies))
+    w = Window.partitionBy("symbol", "_session", "_shard").orderBy("timestamp").rangeBetween(-(window_ms - 1), 0)
     dec = lambda c: F.sum(c.cast("decimal(28,8)")).over(w).cast("double")
     seconds = window_ms / 1000
     d = d.withColumns({
@@ -88,14 +115,66 @@ def order_flow(tape: DataFrame, window_ms: int = 5_000, gap_ms: int | None = Non
     })
     d = d.filter(F.col("_own") == F.col("_shard"))
     total = F.col("buy_volume") + F.col("sell_volume")
-    first = tape.groupBy(F.col("symbol").alias("_s")).agg(F.min("timestamp").alias("_first"))
-    d = d.join(first, d["symbol"].eqNullSafe(first["_s"]))
     return d.select(
-        "symbol", "seq", "timestamp", "price", "delta", "window_cum_delta", "buy_volume", "sell_volume", F.try_divide("window_cum_delta", total).alias("pressure"), (total / seconds).alias("volume_per_sec"),
-        (F.col("window_cum_delta") / seconds).alias("delta_per_sec"), (F.col("_n") / seconds).alias("trade_intensity"), "price_range", (F.col("timestamp") - F.col("_first") >= window_ms).alias("warm"),
+        "symbol", "seq", "timestamp", "price", "delta", "window_cum_delta", "session_cum_delta", "buy_volume", "sell_volume", F.try_divide("window_cum_delta", total).alias("pressure"), (total / seconds).alias("volume_per_sec"),
+        (F.col("window_cum_delta") / seconds).alias("delta_per_sec"), (F.col("_n") / seconds).alias("trade_intensity"), "price_range", (F.col("timestamp") - F.col("_since") >= window_ms).alias("warm"),
     )
 
 
+FLOW_SCHEMA = (
+    "symbol string, seq long, timestamp long, price double, delta double, window_cum_delta double, session_cum_delta double, buy_volume double, sell_volume double, pressure double, volume_per_sec double, "
+    "delta_per_sec double, trade_intensity double, price_range double, warm boolean"
+)
+
+
+class FlowWindow:
+    """The flow of one symbol, event by event: what ``order_flow`` gives, trades of the same instant being seen one after the other. ``reset`` begins a session."""
+
+    def __init__(self, window_ms: int = 5_000, gap_ms: int | None = None) -> None:
+        self.window_ms, self.gap_ms = window_ms, gap_ms
+        self.reset()
+
+    def reset(self) -> None:
+        self.events: list[tuple[int, float, float]] = []
+        self.since: int | None = None
+        self.total = 0.0
+
+    def update(self, timestamp: int, price: float, delta: float) -> dict:
+        if self.events and self.gap_ms is not None and timestamp - self.events[-1][0] > self.gap_ms:
+            self.reset()
+        self.since = timestamp if self.since is None else self.since
+        self.events = [e for e in self.events if e[0] > timestamp - self.window_ms] + [(timestamp, price, delta)]
+        self.total += delta
+        buy, sell = sum(max(d, 0.0) for _, _, d in self.events), sum(max(-d, 0.0) for _, _, d in self.events)
+        prices, seconds = [p for _, p, _ in self.events], self.window_ms / 1000
+        return {
+            "window_cum_delta": buy - sell, "session_cum_delta": self.total, "buy_volume": buy, "sell_volume": sell, "pressure": (buy - sell) / (buy + sell) if buy + sell else None, "volume_per_sec": (buy + sell) / seconds,
+            "delta_per_sec": (buy - sell) / seconds, "trade_intensity": len(self.events) / seconds, "price_range": max(prices) - min(prices), "warm": timestamp - self.since >= self.window_ms,
+        }
+
+
+def order_flow_stream(trades: DataFrame, window_ms: int = 5_000, gap_ms: int | None = None, connection: str | None = None) -> DataFrame:
+    """``order_flow`` of a stream (symbol, seq, timestamp, price, delta and, if named, a connection number): the window of each symbol is the engine's state. Trades of a batch are taken in order."""
+    import json
+
+    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        flow, last = FlowWindow(window_ms, gap_ms), None
+        if state.exists:
+            flow.events, flow.since, flow.total, last = json.loads(state.get[0])
+        rows = []
+        for r in pd.concat(list(pdfs)).sort_values(["timestamp", "seq"], kind="stable").to_dict("records"):
+            at = r[connection] if connection else None
+            if connection and last is not None and at != last:
+                flow.reset()
+            last = at
+            flow.events = [tuple(e) for e in flow.events]
+            rows.append({"symbol": key[0], **{c: r[c] for c in ("seq", "timestamp", "price", "delta")}, **flow.update(int(r["timestamp"]), float(r["price"]), float(r["delta"]))})
+        state.update((json.dumps([flow.events, flow.since, flow.total, last if last is None else int(last)]),))
+        yield pd.DataFrame(rows, columns=[x.split()[0] for x in FLOW_SCHEMA.split(", ")])
+
+    return trades.groupBy("symbol").applyInPandasWithState(step, FLOW_SCHEMA, "window string", "append", "NoTimeout")
+
+
 def record(stream: DataFrame, path: str, fmt: str = "json", every: str | None = None, checkpoint: str | None = None) -> StreamingQuery:
     """Append a stream to JSON lines or parquet files; null rows can't occur. ``every`` buffers for so long, None runs over what is there now."""
     trigger = {"processingTime": every} if every else {"availableNow": True}
