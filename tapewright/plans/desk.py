@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapewright.functions.common import materialize
+from tapewright.functions.common import epoch_ms, materialize
 from tapewright.operators import audit as A
 from tapewright.operators import backtest as B
 from tapewright.operators import features as X
@@ -27,10 +27,16 @@ def signal_stream(spark, sf_dir):
     return M.signal_stream(tagged(spark, sf_dir))
 
 
+def _delivered_tape(spark, sf_dir) -> DataFrame:
+    """The delivered trades as a tape of many symbols, one delivery of each; those with a missing value are no trades."""
+    d = table(spark, sf_dir, "trade_deliveries").dropna(subset=["trade_id", "price", "qty", "is_buyer_maker", "timestamp"])
+    one = d.groupBy(F.upper("symbol").alias("symbol"), "trade_id", epoch_ms(F.col("timestamp")).alias("timestamp")).agg(F.min(F.struct("delivery_id", "price", "qty", "is_buyer_maker")).alias("r"))
+    return one.select("symbol", F.col("r.delivery_id").alias("seq"), "timestamp", "r.price", "r.qty", "r.is_buyer_maker")
+
+
 def _trades(spark, sf_dir) -> DataFrame:
-    core = X.core_regime(X.core_features(ftape(spark, sf_dir), 1))
-    # Entries need renewed flow of half the usual normalized size here: the test tape's quantities are nearly uniform.
-    return materialize(M.execution_trades(core, flow_entry=1.0), "trades")
+    core = X.core_regime(X.core_features(S.feature_tape(_delivered_tape(spark, sf_dir)), 1))
+    return materialize(M.execution_trades(core), "trades")
 
 
 @REGISTRY.query("mvp_trades")
