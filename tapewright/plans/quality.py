@@ -83,12 +83,12 @@ m as (select *, case when hp is not null then {_SLOPE.format(h0="hp", d0="dp", h
 b as (select *, unnest(range(cast(coalesce(h, 1) as bigint))) i from m),
 t as (select *, i / h t from b)
 select symbol, timeframe, session_id, (bar + i) * tf as bucket_ms, case when i = 0 then 'observed' when h <= 13 then 'filled' else 'gap' end as status, cast(case when i = 0 then n else 0 end as bigint) as n_readings,
-  round(case when i = 0 then v when h <= 13 then (1 + 2 * t) * (1 - t) * (1 - t) * v + t * (1 - t) * (1 - t) * h * m0 + t * t * (3 - 2 * t) * qv + t * t * (t - 1) * h * m1 end, 5) as value from t
+  round(case when i = 0 then v when h <= 13 then (1 + 2 * t) * (1 - t) * (1 - t) * v + t * (1 - t) * (1 - t) * h * m0 + t * t * (3 - 2 * t) * qv + t * t * (t - 1) * h * m1 end, 9) as value from t
 """,
 )
 def p3_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every bar of every series with its value: observed, filled, or left open in a long gap."""
-    return _grid(spark, sf_dir).select("symbol", "timeframe", "session_id", "bucket_ms", "status", F.col("n_readings").cast("long").alias("n_readings"), F.round("value", 5).alias("value"))
+    return _grid(spark, sf_dir).select("symbol", "timeframe", "session_id", "bucket_ms", "status", F.col("n_readings").cast("long").alias("n_readings"), F.round("value", 9).alias("value"))
 
 
 @REGISTRY.query("p4_found")

@@ -181,3 +181,23 @@ def test_flow_correlation_keeps_large_deltas(spark, tmp_path):
     cov, vx, vy = (math.fsum(f(x - mx, y - my) for x, y in good) for f in (lambda a, b: a * b, lambda a, b: a * a, lambda a, b: b * b))
     got = entry.queries()["flow_correlation"](spark, str(tmp_path)).first()
     assert got["n"] == 102 and math.isclose(got["corr"], cov / math.sqrt(vx * vy), abs_tol=1e-7)
+
+
+def test_field_histogram_against_python(spark, sf):
+    import json
+
+    from tapewright.operators.audit import field_histogram
+
+    lines = spark.read.parquet(f"{sf}/raw_lines.parquet").filter("line_format <> 'trade_csv'")
+    names = {int: "integer", float: "decimal", str: "text", bool: "boolean", list: "list", dict: "object", type(None): "null"}
+    truth: dict = {}
+    for r in lines.collect():
+        try:
+            v = json.loads(r["line_text"], parse_constant=lambda _: 1 / 0)
+        except (ValueError, ZeroDivisionError):
+            continue
+        if isinstance(v, dict):
+            body = v["flow"] if isinstance(v.get("flow"), dict) else v
+            for k, x in body.items():
+                truth[k, names[type(x)]] = truth.get((k, names[type(x)]), 0) + 1
+    assert {(r["field"], r["type"]): r["n"] for r in field_histogram(lines).collect()} == truth
