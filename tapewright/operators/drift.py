@@ -92,29 +92,20 @@ def read_object(text: str | None) -> dict | None:
 
 def dump(v) -> str:
     """JSON text of a value; numbers as they were written."""
-    if isinstance(v, Number):
+    t = type(v)
+    if t is Number:
         return str(v)
-    if isinstance(v, str):
+    if t is str:
         return encode_basestring(v)
-    if isinstance(v, dict):
+    if t is dict:
         return "{" + ",".join(f"{encode_basestring(k)}:{dump(x)}" for k, x in v.items()) + "}"
-    if isinstance(v, list):
+    if t is list:
         return "[" + ",".join(map(dump, v)) + "]"
-    if isinstance(v, float):
+    if t is float:
         return repr(v)
     return "null" if v is None else "true" if v is True else "false" if v is False else str(v)
 
 
-def json_type(v) -> str:
-    """text, boolean, list, object, integer or decimal; of a typed value, that of the JSON it was."""
-    if isinstance(v, Number):
-        return "integer" if v.lstrip("-").isdigit() else "decimal"
-    for kind, name in ((str, "text"), (bool, "boolean"), (float, "decimal"), (int, "integer"), (list, "list")):
-        if isinstance(v, kind):
-            return name
-    return "object"
-
-
 # -- typed columns ----------------------------------------------------------------------------------------
 
 
@@ -199,23 +190,30 @@ class Places:
     def split(self, record: dict, load) -> tuple[list, dict]:
         """(a value per column, what no column took). Of several fields of one column the first in its list of paths that loads counts."""
         best: dict[int, tuple] = {}
+        top, inner, types = self.top, self.inner, self.types
 
         def offer(place, v, at):
-            if place is not None and v is not None and (place[0] not in best or place[1] < best[place[0]][0]):
-                x = load(v, self.types[place[0]])
+            c, rank = place
+            held = best.get(c)
+            if v is not None and (held is None or rank < held[0]):
+                x = load(v, types[c])
                 if x is not None:
-                    best[place[0]] = (place[1], x, at)
+                    best[c] = (rank, x, at)
 
         parts = {}
         for name, v in record.items():
-            offer(self.top.get(name), v, (name, None))
-            below = self.inner.get(name)
+            place = top.get(name)
+            if place is not None:
+                offer(place, v, (name, None))
+            below = inner.get(name)
             if below:
                 inside = v if isinstance(v, dict) else read_object(v) if load is load_lenient and isinstance(v, str) and v.lstrip().startswith("{") else None
                 if inside:
                     parts[name] = inside
                     for n, w in inside.items():
-                        offer(below.get(n), w, (name, n))
+                        place = below.get(n)
+                        if place is not None:
+                            offer(place, w, (name, n))
         taken = {at for _, _, at in best.values()}
         rest = {}
         for name, v in record.items():
@@ -226,7 +224,7 @@ class Places:
                 if not v:
                     continue
             rest[name] = v
-        return [best[c][1] if c in best else None for c in range(len(self.types))], rest
+        return [best[c][1] if c in best else None for c in range(len(types))], rest
 
 
 def _split_udf(target: Target, load, rebuild):
@@ -427,41 +425,61 @@ def consistent_records(table: DataFrame, base: Target, profile: DataFrame, chang
 # -- profile and report -----------------------------------------------------------------------------------
 
 
+def _number(stats: dict, text: str) -> None:
+    """Add one number to the statistics of its field."""
+    x = float(text)
+    stats["numbers"] += 1
+    if x == 0:
+        stats["zero"] += 1
+    elif not math.isinf(x):
+        log = math.log(abs(x))
+        stats["m1"] += log
+        stats["m2"] += log * log
+        if x < 0:
+            stats["neg"] += 1
+    point = text.find(".")
+    if point >= 0 and "e" not in text and "E" not in text:
+        places = len(text.rstrip("0")) - point - 1
+        if places > stats["places"]:
+            stats["places"] = places
+
+
 def _note(stats: dict, v) -> None:
     """Add one value to the statistics of its field."""
-    kind = json_type(v)
     stats["n"] += 1
-    name = {"text": "n_text", "boolean": "n_bool", "list": "n_list", "object": "n_obj"}.get(kind, "n_num")
-    stats[name] += 1
-    if kind == "decimal":
-        stats["n_dec"] += 1
-    if name == "n_num":
-        tokens = [dump(v)]
-    elif kind == "boolean":
-        tokens = ["1" if v else "0"]
+    t = type(v)
+    if t is Number or t is float or t is int:
+        text = v if t is Number else repr(v)
+        stats["n_num"] += 1
+        stats["tokens"] += 1
+        if not (t is int or (t is Number and v.lstrip("-").isdigit())):
+            stats["n_dec"] += 1
+        _number(stats, text)
+        return
+    if t is bool:
+        stats["n_bool"] += 1
+        stats["tokens"] += 1
+        _number(stats, "1" if v else "0")
+        return
+    if t is str:
+        stats["n_text"] += 1
+        body = v
     else:
-        body = v if kind == "text" else dump(v)
-        tokens = [{"true": "1", "false": "0"}.get(t, t) for t in map(str.lower, _TOKEN.findall(_KEYS.sub("", body) if '"' in body else body))]
-    stats["tokens"] += len(tokens)
-    for t in tokens:
-        if not (t[0] == "-" or t[0].isdigit()):
-            if stats["lo_word"] is None or t < stats["lo_word"]:
-                stats["lo_word"] = t
-            if stats["hi_word"] is None or t > stats["hi_word"]:
-                stats["hi_word"] = t
+        stats["n_list" if t is list else "n_obj"] += 1
+        body = dump(v)
+    for token in _TOKEN.findall(_KEYS.sub("", body) if '"' in body else body):
+        stats["tokens"] += 1
+        if token[0] == "-" or token[0].isdigit():
+            _number(stats, token)
             continue
-        x = float(t)
-        stats["numbers"] += 1
-        if x == 0:
-            stats["zero"] += 1
-        elif not math.isinf(x):
-            log = math.log(abs(x))
-            stats["m1"] += log
-            stats["m2"] += log * log
-        if x < 0:
-            stats["neg"] += 1
-        if "." in t and "e" not in t:
-            stats["places"] = max(stats["places"], len(t.partition(".")[2].rstrip("0")))
+        word = token.lower()
+        if word in ("true", "false"):
+            _number(stats, "1" if word == "true" else "0")
+            continue
+        if stats["lo_word"] is None or word < stats["lo_word"]:
+            stats["lo_word"] = word
+        if stats["hi_word"] is None or word > stats["hi_word"]:
+            stats["hi_word"] = word
 
 
 _FIELD = ["parent", "name", *_STATS]
@@ -494,18 +512,20 @@ def record_profile(table: DataFrame, base: Target, feed: str = "feed", kind: str
             return pa.RecordBatch.from_pylist(rows, schema=schema)
 
         for b in batches:
-            for row in b.to_pylist():
-                at = (row["feed"], row["kind"], row["file_no"])
+            feeds, kinds, files, rescued = (b.column(c).to_pylist() for c in ("feed", "kind", "file_no", "_rescued"))
+            columns = [(b.column(c).to_pylist(), parent, name) for c, parent, name in paths]
+            for i, at in enumerate(zip(feeds, kinds, files)):
                 field(at, None, None, None)
-                record = read_object(row["_rescued"]) or {}
-                inside = {p: dict(v) for p, v in record.items() if isinstance(v, dict)}
-                for c, parent, name in paths:
-                    if row[c] is None:
+                record = (read_object(rescued[i]) or {}) if rescued[i] else {}
+                inside = {p: v for p, v in record.items() if isinstance(v, dict)}
+                for values, parent, name in columns:
+                    v = values[i]
+                    if v is None:
                         continue
                     if parent:
-                        inside.setdefault(parent, {})[name] = row[c]
+                        inside.setdefault(parent, {})[name] = v
                     else:
-                        record[name] = row[c]
+                        record[name] = v
                 for name, v in record.items():
                     if name not in inside:
                         field(at, "", name, v)
