@@ -64,25 +64,32 @@ def label_language(label: str | None) -> str | None:
 # -- prose ------------------------------------------------------------------------------------------------
 
 _INLINE = re.compile(r"`[^`]*`")
-_LINK = re.compile(r"(?:https?|ftp)://\S+|www\.\S+|\S+@\S+\.\S+", re.IGNORECASE)
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>|&[a-z]+;")
-_NAME = re.compile(r"[^\W\d]\w*(?:\.\w+)*\([^()\s]*\)|\b\w*_\w*\b|\b\w+\.(?:py|csv|json|jsonl|parquet|sql|sh|txt|log|cpp|java|rs|go)\b|\b\w*\d\w*\b")
+_URL, _WWW, _MAIL = re.compile(r"(?:https?|ftp)://\S+", re.IGNORECASE), re.compile(r"www\.\S+", re.IGNORECASE), re.compile(r"[^\s@]+@\S+\.\S+")
+_TAG, _ENTITY = re.compile(r"</?[A-Za-z][^<>]{0,200}>"), re.compile(r"&[a-z]+;")
+_CALL = re.compile(r"[^\W\d]\w*(?:\.\w+)*\([^()\s]*\)")
+_JOINED, _NUMBERED = re.compile(r"\b\w*_\w*\b"), re.compile(r"\b\w*\d\w*\b")
+_FILE = re.compile(r"\b\w+\.(?:py|csv|json|jsonl|parquet|sql|sh|txt|log|cpp|java|rs|go)\b")
+#: What is cut out of a line, each with the text without which it can't be there.
+_CUTS = (("`", _INLINE), ("://", _URL), ("www.", _WWW), ("@", _MAIL), ("<", _TAG), ("&", _ENTITY), ("(", _CALL), ("_", _JOINED), (".", _FILE))
 _CODE_LINE = re.compile(r"[{}\[\];]\s*$|^\s*[{\[<$#]|==|!=|->|=>|\+\+|^\s*(?:def|class|import|from|SELECT|FROM|WHERE|GROUP BY|return|for \(|if \()\b.*[(:=;*]")
 
 
 #: A line without any of these holds no code, link, number or name.
 _MARK = re.compile(r"[`<&@/\\:(){}\[\];=+*$#_\d|~^%\"]|\.\w|www|^(?:def|class|import|from|SELECT|FROM|WHERE|GROUP BY|return)\b|->")
-_SPACE = re.compile(r"[\W\d_]+")
+_SPACE, _DIGIT, _TWO = re.compile(r"[\W\d_]+"), re.compile(r"\d"), re.compile(r"[^\W\d_][\W\d_]*[^\W\d_]")
 
 
 def _prose(line: str) -> str | None:
     """The line without code, links and numbers; None if it holds no prose."""
     if not _MARK.search(line):
-        return line if len(_SPACE.sub("", line)) >= 2 else None
-    rest = _LINK.sub(" ", _INLINE.sub(" ", line))
-    rest = _NAME.sub(" ", _TAG.sub(" ", rest))
-    letters = len(_SPACE.sub("", rest))
-    if letters < 2 or (_CODE_LINE.search(line) and letters < 0.6 * len(line.replace(" ", ""))):
+        return line if _TWO.search(line) else None
+    rest, lower = line, line.lower()
+    for sign, cut in _CUTS:
+        if sign in lower:
+            rest = cut.sub(" ", rest)
+    if _DIGIT.search(rest):
+        rest = _NUMBERED.sub(" ", rest)
+    if not _TWO.search(rest) or (_CODE_LINE.search(line) and len(_SPACE.sub("", rest)) < 0.6 * len(line.replace(" ", ""))):
         return None
     return rest
 
@@ -151,7 +158,9 @@ class ByteNet:
     def log_probs(self, x: np.ndarray) -> np.ndarray:
         """Log-probabilities of windows ``x`` (n, length) of bytes, all of one length."""
         n, length = x.shape
-        s = (self.views(x).reshape(-1, _WIDEST * DEPTH) @ self.filters).reshape(n, length - 1, -1).max(1)
+        # Place by place, so that the maxima run over whole blocks of memory.
+        seen = np.ascontiguousarray(self.views(x).transpose(1, 0, 2)).reshape(-1, _WIDEST * DEPTH)
+        s = (seen @ self.filters).reshape(length - 1, n, -1).max(0)
         z = (np.maximum(s + self.bias, 0) @ self.dense + self.offset).astype(np.float64)
         z -= z.max(1, keepdims=True)
         return z - np.log(np.exp(z).sum(1, keepdims=True))
@@ -410,8 +419,8 @@ def detect(docs: DataFrame, net: ByteNet) -> DataFrame:
             for _, lines, _ in docs_:
                 for _, p in lines:
                     place.setdefault(p, len(place))
-            scores = line_scores(model, [to_bytes(p) for p in place])
-            letters = np.array([len(_SPACE.sub("", p)) for p in place], float)
+            clean = [to_bytes(p) for p in place]
+            scores, letters = line_scores(model, clean), np.array([len(b.decode("utf-8", "replace")) - b.count(b" ") for b in clean], float)
             for d, lines, label in docs_:
                 own = label_language(label)
                 if not lines:
