@@ -71,8 +71,7 @@ def order_bubbles(trades: DataFrame, min_qty: float | None = None, min_notional:
 
 def marker_sizes(bubbles: DataFrame) -> DataFrame:
     """Size of each bubble's marker: 8 + 8 x score, at most 40; without a score scaled by quantity; 8 if neither is known."""
-    top = bubbles.filter(F.col("bubble_size_score").isNull()).agg(F.max("qty").alias("_top"))
-    by_qty = F.when(F.col("_top") > 0, F.least(8 + 18 * (F.col("qty") / F.col("_top")), F.lit(40.0))).otherwise(8.0)
-    joined = bubbles.join(F.broadcast(top), F.lit(True), "left")  # one row
+    top = bubbles.filter(F.col("bubble_size_score").isNull()).agg(F.max("qty")).first()[0]  # one number
+    by_qty = F.least(8 + 18 * (F.col("qty") / top), F.lit(40.0)) if top is not None and top > 0 else F.lit(8.0)
     size = F.when(F.col("bubble_size_score").isNotNull(), F.least(8 + 8 * F.col("bubble_size_score"), F.lit(40.0))).otherwise(by_qty)
-    return joined.withColumn("marker_size", F.coalesce(size, F.lit(8.0))).drop("_top")
+    return bubbles.withColumn("marker_size", F.coalesce(size, F.lit(8.0)))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tapewright.functions.common import materialize, require_columns
@@ -47,6 +47,7 @@ def sequence_dataset(tagged: DataFrame, lookback: int = 5, forward: int = 5, sha
     require_columns(tagged, REQUIRED)
     L, N = lookback, forward
 
+    # Fixed values, here and below: the names of states, patterns and labels, which results show.
     def compute(df: DataFrame, w: WindowSpec) -> DataFrame:
         state = F.when(F.col("pressure_bin") == "high", "strong_up").when(F.col("pressure_bin") == "low", "strong_down").otherwise("neutral")
         d = df.withColumns({
@@ -107,10 +108,9 @@ def resolution_statistics(seq: DataFrame, lookback: int = 5) -> DataFrame:
     """Labels with counts, mean and median target and share of confirmed winners; and two rows of metrics."""
     columns = ["resolution_label", "target_50_gap", "winner_confirmed", "state_absorption", "state_key", f"absorption_pattern_{lookback}"]
     use = materialize(seq.filter(F.col("resolution_label").isNotNull()).select(*columns), "resolved")
-    total = use.agg(F.count(F.lit(1)).alias("_total"))
     per = use.groupBy("resolution_label").agg(F.count(F.lit(1)).alias("samples"), F.avg("target_50_gap").alias("avg_target_50_gap"), F.percentile("target_50_gap", F.lit(0.5)).alias("median_target_50_gap"), F.avg(F.col("winner_confirmed").cast("double")).alias("winner_confirmation_rate"))
-    # One row beside a row per label.
-    per = per.join(F.broadcast(total), F.lit(True)).withColumn("pct_of_total", F.col("samples") / F.col("_total")).drop("_total")
+    # A window over a row per label.
+    per = per.withColumn("pct_of_total", F.col("samples") / F.sum("samples").over(Window.partitionBy(F.lit(1))))
     none = F.lit(None).cast("double")
     here = F.col("state_absorption") == "present"
     absorbed = use.agg(F.count_if(here).alias("samples"), F.avg(F.when(here, (F.col("resolution_label") == "reversal").cast("double"))).alias("winner_confirmation_rate"))
