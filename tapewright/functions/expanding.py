@@ -25,18 +25,21 @@ SHARD_ROWS, BUCKET_ROWS, GROUPS, SALTS = 131_072, 16_384, 256, 16
 
 def kth_of_prefixes(ranks: np.ndarray, length: np.ndarray, k: np.ndarray) -> np.ndarray:
     """The ``k``-th smallest (from 0) of the first ``length`` entries of ``ranks``, for many (length, k) at once."""
-    left, right, k = np.zeros(len(length), np.int64), length.astype(np.int64), k.astype(np.int64)
-    out = np.zeros(len(length), np.int64)
+    ranks, k, right = ranks.astype(np.int32), k.astype(np.int32), length.astype(np.int32)
+    left, out, zeros = np.zeros_like(right), np.zeros_like(right), np.zeros(len(ranks) + 1, np.int32)
     for bit in range(max(int(ranks.max()).bit_length() if len(ranks) else 0, 1) - 1, -1, -1):
-        one = (ranks >> bit) & 1
-        zeros = np.r_[0, np.cumsum(1 - one)]
-        l0, r0 = zeros[left], zeros[right]
-        here = r0 - l0
-        up = k >= here
-        k = np.where(up, k - here, k)
-        left, right = np.where(up, zeros[-1] + left - l0, l0), np.where(up, zeros[-1] + right - r0, r0)
-        out |= up.astype(np.int64) << bit
-        ranks = np.concatenate([ranks[one == 0], ranks[one == 1]])
+        one = ((ranks >> bit) & 1).astype(bool)
+        np.cumsum(~one, dtype=np.int32, out=zeros[1:])
+        l0, r0 = zeros.take(left), zeros.take(right)
+        up = k >= r0 - l0
+        np.subtract(k, r0 - l0, out=k, where=up)
+        # Entries with the bit set follow those without it.
+        left += zeros[-1] - l0
+        right += zeros[-1] - r0
+        np.copyto(left, l0, where=~up)
+        np.copyto(right, r0, where=~up)
+        out |= up.astype(np.int32) << np.int32(bit)
+        ranks = np.concatenate([ranks[~one], ranks[one]])
     return out
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapewright.functions.common import finite, materialize, with_positions
-from tapewright.functions.halo import over_shards
+from tapewright.functions.halo import BUCKET_MS, over_shards, running
 
 
 def null_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -38,23 +39,24 @@ def disorder(df: DataFrame, file: str, order: str, column: str) -> DataFrame:
     return steps.groupBy(F.col("_file").alias(file)).agg(F.count_if(F.col("_v") < F.col("_prev")).alias("falls")).filter("falls > 0")
 
 
-def _by_start(ranges: DataFrame, keys: list[str], start: str, end: str, name: str) -> tuple[DataFrame, Window]:
+def _by_start(ranges: DataFrame, keys: list[str], start: str, end: str, name: str, neighbour: Callable) -> DataFrame:
+    """Ranges with both bounds and ``_near``, a value of the neighbouring range in order of start, end and name: looked up in shards, so no key is one task."""
     clean = ranges.filter(F.col(start).isNotNull() & F.col(end).isNotNull())
-    return clean, Window.partitionBy(*keys).orderBy(start, end, name)
+    return over_shards(clean, lambda x, w: x.withColumn("_near", neighbour(w)), 1, 1, keys=tuple(keys), order=(start, end, name)).drop("event_idx")
 
 
 def timeline_segments(ranges: DataFrame, keys: list[str], start: str = "min_ts", end: str = "max_ts", name: str = "file_name", gap_ms: int = 300_000) -> DataFrame:
     """Files in order of their start, cut where the next starts more than ``gap_ms`` after the end of the one before: ``segment``, files, from, to."""
-    clean, w = _by_start(ranges, keys, start, end, name)
-    d = clean.withColumn("_new", F.coalesce((F.col(start) - F.lag(end).over(w) > gap_ms).cast("int"), F.lit(0)))
-    d = d.withColumn("segment", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    d = _by_start(ranges, keys, start, end, name, lambda w: F.lag(end).over(w))
+    new = F.coalesce((F.col(start) - F.col("_near") > gap_ms).cast("long"), F.lit(0).cast("long"))
+    d = running(d, {"segment": new}, keys=tuple(keys), order=(start, end, name), width=BUCKET_MS)
     return d.groupBy(*keys, "segment").agg(F.count(F.lit(1)).alias("files"), F.min(start).alias("from_ts"), F.max(end).alias("to_ts"))
 
 
 def boundary_checks(ranges: DataFrame, keys: list[str], start: str = "min_ts", end: str = "max_ts", name: str = "file_name") -> DataFrame:
     """Of neighbouring files: how many step back, meet exactly, leave more than a second; the largest of each."""
-    clean, w = _by_start(ranges, keys, start, end, name)
-    d = clean.withColumn("_d", F.lead(start).over(w) - F.col(end)).filter("_d is not null")
+    d = _by_start(ranges, keys, start, end, name, lambda w: F.lead(start).over(w))
+    d = d.withColumn("_d", F.col("_near") - F.col(end)).filter("_d is not null")
     return d.groupBy(*keys).agg(F.count_if(F.col("_d") < 0).alias("backwards"), F.count_if(F.col("_d") == 0).alias("exact"), F.count_if(F.col("_d") > 1000).alias("gaps_over_1s"), F.least(F.min("_d"), F.lit(0)).alias("max_backward_ms"), F.greatest(F.max(F.when(F.col("_d") > 1000, F.col("_d"))), F.lit(0)).alias("max_forward_ms"))
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapewright.functions.halo import over_shards
+from tapewright.functions.common import materialize
+from tapewright.functions.halo import BUCKET_MS, over_shards, running
 from tapewright.operators.folds import fold_by_symbol
 
 DAYS = 252
@@ -30,22 +31,30 @@ def vectorized_backtest(bars: DataFrame, signal: Column, capital: float = 100_00
         return d.withColumn("strategy_return", F.col("position") * F.col("ret") - F.col("cost")).drop("_signal")
 
     d = over_shards(bars, compute, 3, 1)
-    return d.withColumn("equity", F.lit(capital) * compounded(F.col("strategy_return"))).withColumn("equity", F.when(F.col("event_idx") == 0, F.lit(capital)).when(F.col("strategy_return").isNotNull(), F.col("equity")))
+    d = compounded(d, "strategy_return", "equity").withColumn("equity", F.lit(capital) * F.col("equity"))
+    return d.withColumn("equity", F.when(F.col("event_idx") == 0, F.lit(capital)).when(F.col("strategy_return").isNotNull(), F.col("equity")))
 
 
-def compounded(r: Column) -> Column:
-    """Running product of 1 + r: size as the exponential of a running sum, sign by the number of negative factors, 0 from the first 0 on. Bars without a return change nothing."""
-    w = Window.partitionBy("symbol").orderBy("event_idx").rowsBetween(Window.unboundedPreceding, 0)
-    factor = 1 + F.coalesce(r, F.lit(0.0))
-    size = F.exp(F.sum(F.log(F.when(factor != 0, F.abs(factor)))).over(w))
-    sign = F.when(F.pmod(F.count_if(factor < 0).over(w), F.lit(2)) == 1, -1.0).otherwise(1.0)
-    return F.when(F.count_if(factor == 0).over(w) > 0, 0.0).otherwise(F.coalesce(size, F.lit(1.0)) * sign)
+def compounded(d: DataFrame, r: str, name: str) -> DataFrame:
+    """Adds the running product of 1 + ``r``: size as the exponential of a running sum, sign by the number of negative factors, 0 from the first 0 on. Bars without a return change nothing."""
+    factor = 1 + F.coalesce(F.col(r), F.lit(0.0))
+    d = running(d, {"_logs": F.log(F.when(factor != 0, F.abs(factor))), "_negative": (factor < 0).cast("long"), "_zero": (factor == 0).cast("long")})
+    sign = F.when(F.pmod("_negative", F.lit(2)) == 1, -1.0).otherwise(1.0)
+    return d.withColumn(name, F.when(F.col("_zero") > 0, 0.0).otherwise(F.coalesce(F.exp("_logs"), F.lit(1.0)) * sign)).drop("_logs", "_negative", "_zero")
 
 
-def drawdowns(curve: DataFrame, column: str = "equity") -> DataFrame:
+def drawdowns(curve: DataFrame, column: str = "equity", order: tuple[str, ...] = ("event_idx",)) -> DataFrame:
     """Adds ``drawdown``: distance from the highest value so far, as a share of it."""
-    w = Window.partitionBy("symbol").orderBy("event_idx").rowsBetween(Window.unboundedPreceding, 0)
-    return curve.withColumn("drawdown", F.try_divide(F.col(column), F.max(column).over(w)) - 1)
+    d = running(curve, {}, {"_top": F.col(column)}, order=order)
+    return d.withColumn("drawdown", F.try_divide(F.col(column), "_top") - 1).drop("_top")
+
+
+def _with_previous(d: DataFrame, columns: dict[str, Column], order: tuple[str, ...] = ("event_idx",)) -> DataFrame:
+    """Adds the values of the bar before under the given names, looked up in shards."""
+    before = lambda x, w: x.withColumns({n: F.lag(c).over(w) for n, c in columns.items()})
+    kept = d.withColumnRenamed("event_idx", "_at") if "event_idx" in d.columns else d
+    out = over_shards(kept, before, 1, 1, order=tuple("_at" if o == "event_idx" else o for o in order)).drop("event_idx")
+    return out.withColumnRenamed("_at", "event_idx")
 
 
 def _ratio(mean: Column, std: Column, scale: float) -> Column:
@@ -58,10 +67,10 @@ def backtest_summary(curve: DataFrame, capital: float = 100_000.0, compat: bool
     A trade is a change of position; its result is the return of the bar after. ``compat`` also counts the bars at the
     head whose change is unknown as trades.
     """
-    w = Window.partitionBy("symbol").orderBy("event_idx")
+    curve = materialize(curve, "curve")
     d = drawdowns(curve.filter("equity is not null or event_idx = 0"))
     marked = curve.withColumn("_change", F.col("cost") > 0).withColumn("_change", F.coalesce("_change", F.lit(compat)))
-    marked = marked.withColumn("_after", F.coalesce(F.lag("_change").over(w), F.lit(False)))
+    marked = _with_previous(marked, {"_after": F.col("_change")}).withColumn("_after", F.coalesce("_after", F.lit(False)))
     r = F.col("strategy_return")
     stats = marked.groupBy("symbol").agg(F.avg(r).alias("m"), F.stddev_samp(r).alias("s"), F.count_if("_change").alias("total_trades"), F.count_if(F.col("_after") & F.coalesce(r > 0, F.lit(False))).alias("_wins"), F.count_if("_after").alias("_n"))
     ends = d.groupBy("symbol").agg(F.max_by("equity", "event_idx").alias("_last"), F.min("drawdown").alias("max_drawdown"))
@@ -71,8 +80,7 @@ def backtest_summary(curve: DataFrame, capital: float = 100_000.0, compat: bool
 def performance(curve: DataFrame, column: str = "equity") -> DataFrame:
     """All metrics of an equity curve (symbol, event_idx, value), one row per symbol; one of no loss has a profit factor of infinity."""
     c = curve.filter(F.col(column).isNotNull()).select("symbol", "event_idx", F.col(column).alias("v"))
-    w = Window.partitionBy("symbol").orderBy("event_idx")
-    c = c.withColumn("r", F.try_divide(F.col("v"), F.lag("v").over(w)) - 1)
+    c = _with_previous(c, {"_v": F.col("v")}).withColumn("r", F.try_divide("v", "_v") - 1)
     c = drawdowns(c, "v")
     r, up, down = F.col("r"), F.when(F.col("r") > 0, F.col("r")), F.when(F.col("r") < 0, F.col("r"))
     g = c.groupBy("symbol").agg(
@@ -125,9 +133,9 @@ def loop_trades(bars: DataFrame, capital: float = 100_000.0, commission: float =
 
 def loop_summary(equity: DataFrame, capital: float = 100_000.0) -> DataFrame:
     """Total return, Sharpe ratio per minute bar, largest drawdown, share of rising bars and number of trades."""
-    w = Window.partitionBy("symbol").orderBy("timestamp", "seq")
-    e = equity.withColumn("r", F.try_divide(F.col("equity"), F.lag("equity").over(w)) - 1).withColumn("up", F.col("equity") > F.lag("equity").over(w))
-    e = e.withColumn("dd", F.col("equity") / F.max("equity").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    e = _with_previous(equity, {"_e": F.col("equity")}, ("timestamp", "seq"))
+    e = e.withColumn("r", F.try_divide("equity", "_e") - 1).withColumn("up", F.col("equity") > F.col("_e"))
+    e = running(e, {}, {"_top": F.col("equity")}, order=("timestamp", "seq"), width=BUCKET_MS).withColumn("dd", F.col("equity") / F.col("_top") - 1)
     acts = F.when(F.col("actions") != "", F.size(F.split("actions", ","))).otherwise(0)
     g = e.groupBy("symbol").agg(F.max_by("equity", F.struct("timestamp", "seq")).alias("b"), F.avg("r").alias("m"), F.stddev_samp("r").alias("s"), F.min("dd").alias("max_drawdown"), F.count_if("up").alias("u"), F.count(F.lit(1)).alias("n"), F.sum(acts).alias("total_trades"))
     return g.select("symbol", (F.col("b") / capital - 1).alias("total_return"), _ratio(F.col("m"), F.col("s"), DAYS * 390).alias("sharpe_ratio"), "max_drawdown", (F.col("u") / F.col("n")).alias("win_rate"), "total_trades")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tapewright.functions.common import with_positions
 from tapewright.functions.expanding import expanding_quantiles, kth_of_prefixes
-from tapewright.functions.halo import over_shards
+from tapewright.functions.halo import over_shards, running
 from tapewright.operators import features as X
 from tapewright.operators.regime import duration_stats, tag_regime, transitions
 from tapewright.sources.tape import feature_tape, trades_from_events
@@ -79,3 +79,14 @@ def test_tags_with_missing_bins(spark):
 def test_over_shards_empty(spark):
     empty = spark.createDataFrame([], "symbol string, seq long, timestamp long")
     assert over_shards(empty, lambda d, w: d.withColumn("x", F.lag("seq").over(w)), 1, 1).count() == 0
+
+
+def test_running_sums_and_maxima(spark):
+    r = np.random.default_rng(8)
+    d = pd.DataFrame({"symbol": np.where(np.arange(500) % 4 == 0, None, "B"), "t": np.arange(500), "x": r.integers(-5, 6, 500).astype(float)})
+    d.loc[::7, "x"] = np.nan
+    df = spark.createDataFrame(d, "symbol string, t long, x double").withColumn("x", F.nanvl("x", F.lit(None).cast("double")))
+    got = running(df, {"s": F.col("x")}, {"m": F.col("x")}, order=("t",), width=20, shard_rows=33).toPandas()
+    for _, g in got.sort_values("t").groupby("symbol", dropna=False):
+        assert np.allclose(g["x"].fillna(0).cumsum()[g["x"].notna().cummax()], g["s"][g["x"].notna().cummax()])
+        assert np.allclose(g["x"].cummax().ffill(), g["m"], equal_nan=True)
