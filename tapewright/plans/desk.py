@@ -353,6 +353,25 @@ def bar_rolling_profile(spark, sf_dir):
     return N.rolling_profile(bars(spark, sf_dir)).select("symbol", "timestamp", *[F.round(c, 7).alias(c) for c in ("poc", "vah", "val")])
 
 
+_AV = lambda c, n: f"case when count({c}) over (partition by symbol order by t rows between {n - 1} preceding and current row) >= {n} then avg({c}) over (partition by symbol order by t rows between {n - 1} preceding and current row) end"
+_AGO = lambda c, k: f"coalesce(lag({c}, {k}) over (partition by symbol order by t), false)"
+_SETUPS = f"""{BARS}, b as (select *, case when close > open then volume when close = open then volume * 0.5 else volume * ((high - close) / (high - low + 0.0001)) end as bv, {_AV("volume", 20)} as av,
+ case when count(high) over w10 >= 10 then max(high) over w10 - min(low) over w10 end as rs from bars window w10 as (partition by symbol order by t rows between 9 preceding and current row)),
+d as (select *, bv - (volume - bv) as delta, {_AV("rs", 50)} as ar from b), e as (select *, {_AV("delta", 5)} as sd from d), f as (select *, lag(sd) over (partition by symbol order by t) as ps from e),
+g as (select *, coalesce(sd > 0 and sd > ps, false) as buyers_control, coalesce(sd < 0 and sd < ps, false) as sellers_control, coalesce(volume > av * 2.0 and abs(close - open) / 100.0 < 0.3, false) as absorption, coalesce(rs < ar * 0.6, false) as contraction, coalesce(rs > ar * 1.2 and volume > av * 1.5, false) as expansion from f),
+h as (select *, absorption and close > open as au, absorption and close < open as ad from g)
+select symbol, t as "timestamp", buyers_control, sellers_control, absorption, absorption and {_AGO("absorption", 1)} as strong_absorption, contraction, expansion,
+ ({_AGO("au", 3)} or {_AGO("au", 4)} or {_AGO("au", 5)}) and {_AGO("contraction", 1)} and expansion and close > open and coalesce(sd > 0, false) as triple_a_long,
+ ({_AGO("ad", 3)} or {_AGO("ad", 4)} or {_AGO("ad", 5)}) and {_AGO("contraction", 1)} and expansion and close < open and coalesce(sd < 0, false) as triple_a_short from h"""
+
+
+@REGISTRY.query("bar_setups", f"with {_SETUPS}")
+def bar_setups(spark, sf_dir):
+    """Control, absorption, contraction, expansion and the three-step setups, for a volatility of 100."""
+    b = N.bar_indicators(bars(spark, sf_dir).withColumn("atr", F.lit(100.0)))
+    return b.select("symbol", "timestamp", "buyers_control", "sellers_control", "absorption", "strong_absorption", "contraction", "expansion", "triple_a_long", "triple_a_short")
+
+
 @REGISTRY.query("bar_signals")
 def bar_signals(spark, sf_dir):
     return N.combined_signals(_indicated(spark, sf_dir)).select("symbol", "timestamp", F.round("atr", 7).alias("atr"), "absorption", "strong_absorption", "contraction", "expansion", "triple_a_long", "triple_a_short", "orb_long", "orb_short", "in_session", "poc", "vah", "val", "signal")

@@ -11,6 +11,7 @@ from tapewright.operators.candles import candles, marker_sizes, order_bubbles
 from tapewright.plans.registry import Registry, table
 from tapewright.sources import tape as S
 from tapewright.sources.export import write_jsonl
+from tapewright.streaming.live import record
 
 REGISTRY = Registry()
 
@@ -291,3 +292,62 @@ def profiles_latest(spark, sf_dir):
 @REGISTRY.query("profile_lookup", f"select session_id, symbol, poc_bin_index, cast(-1 as double) as poc_volume from ({_RELOADED}) where session_id = '2024-01-06'")
 def profile_lookup(spark, sf_dir):
     return S.profile_of(_exported(spark, sf_dir), "2024-01-06").select("session_id", "symbol", F.col("poc_bin_index").cast("int").alias("poc_bin_index"), "poc_volume")
+
+
+_TAPE_ROWS = f"""with {TAPE} select 'EVT' as symbol, row_number() over (order by "timestamp", seq) - 1 as seq, "timestamp", price, qty, is_buyer_maker from tape"""
+
+
+def _in_order(spark, sf_dir) -> DataFrame:
+    """The tape in order of time, in one file's worth of rows."""
+    return tape(spark, sf_dir).coalesce(1).sortWithinPartitions("timestamp", "seq")
+
+
+@REGISTRY.query("csv_trades", _TAPE_ROWS)
+def csv_trades(spark, sf_dir):
+    """The tape written as headerless CSV of six columns, and read again."""
+    path = work_path(spark, "csv")
+    t = _in_order(spark, sf_dir)
+    t.select("seq", "price", "qty", F.lit(0.0).alias("quote_qty"), "timestamp", "is_buyer_maker").write.csv(f"{path}/trades.csv")
+    return S.read_trades(spark, f"{path}/trades.csv", "EVT")
+
+
+@REGISTRY.query("jsonl_trades", _TAPE_ROWS)
+def jsonl_trades(spark, sf_dir):
+    """The tape written as exchange messages, and read again."""
+    path = work_path(spark, "jsonl")
+    write_jsonl(_in_order(spark, sf_dir).select(F.col("timestamp").alias("T"), F.col("price").cast("string").alias("p"), F.col("qty").cast("string").alias("q"), F.col("is_buyer_maker").alias("m")), f"{path}/trades.jsonl")
+    return S.read_trades(spark, f"{path}/trades.jsonl", "EVT")
+
+
+_FEATURE_ROWS = f"""with {_LINES_SQL} select 'EVT' as symbol, t as "timestamp", price, qty as quantity, case when is_buyer_maker then 'sell' else 'buy' end as side, {{r}} as reconstructed, case when is_buyer_maker then -qty else qty end as delta from lines{{w}}"""
+
+
+@REGISTRY.query("features_from_lines", _FEATURE_ROWS.format(r="k >= 3", w=" where k < 5"))
+def features_from_lines(spark, sf_dir):
+    path = work_path(spark, "lines")
+    _feature_lines(spark, sf_dir).write.text(f"{path}/x.jsonl")
+    return S.read_features(spark, f"{path}/x.jsonl", "EVT")[0].drop("seq")
+
+
+@REGISTRY.query("features_from_parquet", _FEATURE_ROWS.format(r="false", w=""))
+def features_from_parquet(spark, sf_dir):
+    """Two files of different columns: one states the side as a signed number, the other the maker's flag."""
+    path, t = work_path(spark, "parquet"), tape(spark, sf_dir)
+    t.filter("seq % 2 = 0").select("timestamp", "price", F.col("qty").alias("quantity"), F.when(F.col("is_buyer_maker"), -1.0).otherwise(1.0).alias("side")).write.parquet(f"{path}/x/a")
+    t.filter("seq % 2 = 1").select("timestamp", "price", "qty", "is_buyer_maker").write.parquet(f"{path}/x/b")
+    return S.read_features(spark, f"{path}/x/*", "EVT")[0].drop("seq")
+
+
+@REGISTRY.query("recorded", f"with {TAPE} select symbol, seq, price from tape")
+def recorded(spark, sf_dir):
+    """The stream of trades recorded as JSON lines, and read again."""
+    path = work_path(spark, "recorded")
+    stream = S.events_as_tape(S.stream_files(spark, f"{sf_dir}/events.parquet")).select("symbol", "seq", "price")
+    record(stream, path).awaitTermination()
+    return spark.read.schema("symbol string, seq long, price double").json(path)
+
+
+@REGISTRY.query("clean_bars", """select l_extendedprice as open, l_extendedprice as high, l_discount as low, l_tax as close, l_quantity as volume from lineitem where l_quantity <> 7""")
+def clean_bars(spark, sf_dir):
+    x = table(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").alias("Open"), F.col("l_extendedprice").alias("HIGH"), F.col("l_discount").alias("low"), F.col("l_tax").alias("Close"), F.when(F.col("l_quantity") != 7, F.col("l_quantity")).alias("Volume"), F.lit("x").alias("Ticker"))
+    return S.clean_bars(x)

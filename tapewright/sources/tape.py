@@ -101,31 +101,28 @@ def parse_exchange_message(body: Column) -> Column:
     return F.when((price > 0) & (qty > 0), event)
 
 
-def parse_feature_lines(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
+def parse_feature_lines(lines: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(feature tape, statistics) of JSON lines in either shape: {timestamp, price, quantity, side} or {ts, flow: {price, delta}}.
 
     In the second, quantity is the size of delta and side its sign ('reconstructed'). Lines with a timestamp that is no whole number above 0, a
-    price or quantity not above 0, or another side are bad. Statistics: total, parsed, bad, raw, reconstructed.
+    price or quantity not above 0, or another side are bad. Statistics: total, parsed, bad, raw, reconstructed. ``keep``: columns of ``lines`` that go along.
     """
     line = F.col(column)
     # One parse a line, values as text; each step is a projection of its own, so that no expression is repeated.
     fields = "timestamp string, price string, quantity string, side string, ts string, flow struct<price: string, delta: string>"
-    rows = lines.filter(F.length(F.trim(line)) > 0).select(F.from_json(line, fields).alias("j"))
+    rows = lines.filter(F.length(F.trim(line)) > 0).select(*keep, F.from_json(line, fields).alias("j"))
     wrapped = F.col("j.flow").isNotNull()
     pick = lambda a, b: F.when(wrapped, F.col(a)).otherwise(F.col(b))
-    rows = rows.select(wrapped.alias("reconstructed"), pick("j.ts", "j.timestamp").alias("t"), pick("j.flow.price", "j.price").alias("p"), pick("j.flow.delta", "j.quantity").alias("q"), F.lower("j.side").alias("s"))
+    rows = rows.select(*keep, wrapped.alias("reconstructed"), pick("j.ts", "j.timestamp").alias("t"), pick("j.flow.price", "j.price").alias("p"), pick("j.flow.delta", "j.quantity").alias("q"), F.lower("j.side").alias("s"))
     # A boolean is no number, though it would cast to one.
     number = lambda c: F.when(~F.lower(c).isin("true", "false"), F.col(c).try_cast("double"))
-    rows = rows.select("reconstructed", number("t").alias("t"), number("p").alias("price"), number("q").alias("q"), "s")
+    rows = rows.select(*keep, "reconstructed", number("t").alias("t"), number("p").alias("price"), number("q").alias("q"), "s")
     whole = (F.col("t") > 0) & (F.col("t") % 1 == 0) & (F.col("t") < 9e18)
     rows = rows.select(
-        F.when(whole, F.col("t").cast("long")).alias("timestamp"), "price", F.when(F.col("reconstructed"), F.abs("q")).otherwise(F.col("q")).alias("quantity"),
+        *keep, F.when(whole, F.col("t").cast("long")).alias("timestamp"), "price", F.when(F.col("reconstructed"), F.abs("q")).otherwise(F.col("q")).alias("quantity"),
         F.when(~F.col("reconstructed"), F.col("s")).when(F.col("q") > 0, "buy").when(F.col("q") < 0, "sell").alias("side"), "reconstructed",
     )
-    ok = F.coalesce(F.col("timestamp").isNotNull() & (F.col("price") > 0) & (F.col("quantity") > 0) & ~F.isnan("price") & ~F.isnan("quantity") & F.col("side").isin("buy", "sell"), F.lit(False))
-    tape = rows.filter(ok).withColumn("delta", F.when(F.col("side") == "buy", F.col("quantity")).otherwise(-F.col("quantity")))
-    stats = rows.agg(F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("parsed"), F.count_if(~ok).alias("bad"), F.count_if(ok & ~F.col("reconstructed")).alias("raw"), F.count_if(ok & F.col("reconstructed")).alias("reconstructed"))
-    return tape, stats
+    return _good_features(rows)
 
 
 def side_of(col: Column) -> Column:
@@ -135,6 +132,33 @@ def side_of(col: Column) -> Column:
     return F.when(t.isin("buy", "sell"), t).when(n > 0, "buy").when(n < 0, "sell")
 
 
+def read_features(spark: SparkSession, path: str, symbol: str) -> tuple[DataFrame, DataFrame]:
+    """(feature tape, statistics) of a source of either kind: JSON lines in both shapes (.jsonl, .json), else parquet files.
+
+    Parquet files hold timestamp, price, quantity or qty, and side (text or a signed number) or is_buyer_maker; columns that some files lack are read as null, and their rows are bad.
+    Rows are numbered in file order.
+    """
+    if path.endswith((".jsonl", ".json")):
+        lines = in_file_order(spark.read.text(path), "seq")
+        rows, stats = parse_feature_lines(lines, "value", keep=("seq",))
+    else:
+        raw = in_file_order(spark.read.option("mergeSchema", "true").parquet(path), "seq")
+        pick = lambda *names: F.coalesce(*[F.col(n) for n in names if n in raw.columns], F.lit(None))
+        flag = F.when(maker_flag(pick("is_buyer_maker")), "sell").when(~maker_flag(pick("is_buyer_maker")), "buy")
+        side = F.coalesce(side_of(pick("side")), flag) if "side" in raw.columns else flag
+        d = raw.select("seq", pick("timestamp").cast("string").try_cast("long").alias("timestamp"), pick("price").cast("string").try_cast("double").alias("price"), pick("quantity", "qty").cast("string").try_cast("double").alias("quantity"), side.alias("side"), F.lit(False).alias("reconstructed"))
+        rows, stats = _good_features(d)
+    return rows.withColumn("symbol", F.lit(symbol)), stats
+
+
+def _good_features(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that are trades, with their delta; counts of all rows by outcome)."""
+    ok = F.coalesce((F.col("timestamp") > 0) & (F.col("price") > 0) & (F.col("quantity") > 0) & ~F.isnan("price") & ~F.isnan("quantity") & F.col("side").isin("buy", "sell"), F.lit(False))
+    tape = rows.filter(ok).withColumn("delta", F.when(F.col("side") == "buy", F.col("quantity")).otherwise(-F.col("quantity")))
+    stats = rows.agg(F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("parsed"), F.count_if(~ok).alias("bad"), F.count_if(ok & ~F.col("reconstructed")).alias("raw"), F.count_if(ok & F.col("reconstructed")).alias("reconstructed"))
+    return tape, stats
+
+
 def validate_trades(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid trades, counters). Valid: finite price and quantity above 0, a timestamp, a readable maker flag."""
     num = lambda c: F.col(c).try_cast("double")

@@ -5,12 +5,14 @@ Late trades: a trade older than the watermark is dropped; a bucket is emitted on
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from tapewright.functions.common import materialize, with_positions, work_path
 from tapewright.functions.halo import BUCKET_MS, over_shards
@@ -211,3 +213,42 @@ def signal_machine_stream(tagged: DataFrame, window: int = 100, max_events: int
         yield pd.DataFrame(rows, columns=[x.split()[0] for x in SIGNAL_SCHEMA.split(", ")])
 
     return tagged.groupBy("symbol").applyInPandasWithState(step, SIGNAL_SCHEMA, "machine binary", "append", "NoTimeout")
+
+
+class StreamStatistics(StreamingQueryListener):
+    """Rows, batches and failures per query, kept while streams run: ``spark.streams.addListener(StreamStatistics())``."""
+
+    def __init__(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.batches: dict[str, int] = {}
+        self.failed: dict[str, str] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.rows.setdefault(str(event.id), 0)
+        self.batches.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:
+        key = str(event.progress.id)
+        self.rows[key] = self.rows.get(key, 0) + event.progress.numInputRows
+        self.batches[key] = self.batches.get(key, 0) + 1
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if event.exception:
+            self.failed[str(event.id)] = event.exception
+
+
+def collect_until(queries: list[StreamingQuery], stop: threading.Event, every_s: float = 1.0) -> None:
+    """Run streams until ``stop`` is set, then let each end its batch and stop it. A stream that fails ends all and its error is raised."""
+    try:
+        while not stop.wait(every_s):
+            for q in queries:
+                if q.exception() is not None:
+                    raise q.exception()
+    finally:
+        for q in queries:
+            while q.isActive and q.status["isTriggerActive"] and q.status["isDataAvailable"]:
+                time.sleep(0.05)
+            q.stop()

@@ -59,3 +59,29 @@ def test_spooled_lines_can_be_read_again(tmp_path):
     assert list(_Feed(options).readBetweenOffsets({"n": 2}, {"n": 9})) == rows[2:9]
     assert _Feed(options)._spooled_connection() == 1
     server.close()
+
+
+def test_streams_are_counted_and_stopped(spark, tmp_path):
+    spark.range(50).coalesce(1).write.parquet(f"{tmp_path}/in")
+    counts = live.StreamStatistics()
+    spark.streams.addListener(counts)
+    q = live.record(spark.readStream.schema("id long").parquet(f"{tmp_path}/in"), f"{tmp_path}/out", every="200 milliseconds", checkpoint=f"{tmp_path}/c")
+    stop = threading.Event()
+    threading.Timer(6, stop.set).start()
+    live.collect_until([q], stop, 0.2)
+    assert not q.isActive and spark.read.schema("id long").json(f"{tmp_path}/out").count() == 50
+    until = time.time() + 10
+    while counts.rows.get(str(q.id)) != 50 and time.time() < until:
+        time.sleep(0.2)
+    spark.streams.removeListener(counts)
+    assert counts.rows[str(q.id)] == 50 and counts.batches[str(q.id)] >= 1
+
+
+def test_features_of_files_that_lack_columns(spark, tmp_path):
+    from tapewright.sources.tape import read_features
+
+    spark.createDataFrame([(1, 2.0, 3.0, "BUY"), (2, 2.0, -1.0, "sell"), (3, None, 1.0, "sell")], "timestamp long, price double, quantity double, side string").write.parquet(f"{tmp_path}/p/a")
+    spark.createDataFrame([(4, 2.0)], "timestamp long, price double").write.parquet(f"{tmp_path}/p/b")
+    rows, stats = read_features(spark, f"{tmp_path}/p/*", "A")
+    assert [(r["timestamp"], r["side"], r["delta"]) for r in rows.collect()] == [(1, "buy", 3.0)]
+    assert (stats.first()["total"], stats.first()["parsed"], stats.first()["bad"]) == (4, 1, 3)
