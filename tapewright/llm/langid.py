@@ -356,45 +356,61 @@ def line_scores(net: ByteNet, lines: list[bytes]) -> np.ndarray:
     return _normalized(_raw_scores(net, lines) * (a * n / (n + b)))
 
 
-def _prior(share: float, of: int | None) -> np.ndarray:
-    """Log of a prior that gives one language ``share`` and the others the rest evenly."""
+def _priors(share: float) -> np.ndarray:
+    """Logs of the priors that give one language ``share`` and the others the rest evenly, a row per language; the last row favours none."""
     n = len(LANGUAGES)
-    prior = np.full(n, np.log((1 - share) / (n - 1)))
-    if of is None:
-        return np.zeros(n)
-    prior[of] = np.log(share)
-    return prior
+    out = np.full((n + 1, n), np.log((1 - share) / (n - 1)))
+    out[np.arange(n), np.arange(n)] = np.log(share)
+    out[n] = 0
+    return out
 
 
-def _posterior(scores: np.ndarray, prior: np.ndarray) -> np.ndarray:
-    q = scores + prior
-    q = np.exp(q - q.max(1, keepdims=True))
+def _posterior(scores: np.ndarray) -> np.ndarray:
+    q = np.exp(scores - scores.max(1, keepdims=True))
     return q / q.sum(1, keepdims=True)
 
 
-def judge(lines: list[tuple[int, str]], scores: np.ndarray, label: str | None = None, letters: np.ndarray | None = None) -> tuple[int, float, list[tuple[int, int, float]]]:
-    """(main language, confidence, [(line, language, confidence)]) of a document, from the scores of its prose lines.
+def judge_all(counts: np.ndarray, scores: np.ndarray, letters: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(main language, confidence) of documents and (language, confidence) of their lines.
 
+    ``counts``: lines of each document (at least one), whose ``scores`` and ``letters`` follow each other; ``labels``: code of the language the document's label names, the number of languages if none.
     Main language and lines' languages depend on each other: they are found in turn until nothing changes, or a main language comes up again; then the one of most letters among those seen stays.
     """
+    n = len(LANGUAGES)
+    docs, lines = np.arange(len(counts)), np.arange(len(scores))
+    owner, first = np.repeat(docs, counts), np.r_[0, np.cumsum(counts)[:-1]]
+    # The label counts once per document, however many lines there are.
+    p = _posterior(scores + (_priors(LABEL_PRIOR)[labels] / counts[:, None])[owner])
+    main = np.add.reduceat(p * letters[:, None], first).argmax(1)
+    prior, seen, todo = _priors(MAIN_PRIOR), np.full((len(counts), n), -1.0), np.ones(len(counts), bool)
+
+    def read(main: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q = _posterior(scores + prior[main[owner]])
+        lang = np.where(q[lines, main[owner]] <= LINE_POSTERIOR, q.argmax(1), main[owner])
+        return q, lang, np.bincount(owner * n + lang, weights=letters, minlength=len(counts) * n).reshape(-1, n)
+
+    while todo.any():
+        q, lang, share = read(main)
+        own = share[docs, main]
+        seen[docs[todo], main[todo]] = own[todo]
+        todo &= own < share.max(1)
+        again = todo & (seen[docs, share.argmax(1)] >= 0)
+        main = np.where(again, seen.argmax(1), np.where(todo, share.argmax(1), main))
+        todo &= ~again
+        if again.any() and not todo.any():
+            q, lang, _ = read(main)
+    confidence = q[lines, lang]
+    whole = np.add.reduceat(np.where(lang == main[owner], letters * confidence, 0.0), first) / np.maximum(np.add.reduceat(letters, first), 1.0)
+    return main, whole.round(6), lang, confidence.round(6)
+
+
+def judge(lines: list[tuple[int, str]], scores: np.ndarray, label: str | None = None, letters: np.ndarray | None = None) -> tuple[int, float, list[tuple[int, int, float]]]:
+    """(main language, confidence, [(line, language, confidence)]) of one document, from the scores of its prose lines."""
     if letters is None:
         letters = np.array([len(_SPACE.sub("", p)) for _, p in lines], float)
-    # The label counts once per document, however many lines there are.
-    p = _posterior(scores, _prior(LABEL_PRIOR, LANGUAGES.index(label) if label in LANGUAGES else None) / len(lines))
-    main = int((letters[:, None] * p).sum(0).argmax())
-    seen: dict[int, tuple] = {}
-    while main not in seen:
-        q = _posterior(scores, _prior(MAIN_PRIOR, main))
-        lang = np.where(q[:, main] <= LINE_POSTERIOR, q.argmax(1), main)
-        share = np.bincount(lang, weights=letters, minlength=len(LANGUAGES))
-        seen[main] = (share[main], q, lang)
-        if share[main] < share.max():
-            main = int(share.argmax())
-    main = main if seen[main][0] >= np.bincount(seen[main][2], weights=letters).max() else max(seen, key=lambda m: (seen[m][0], -m))
-    _, q, lang = seen[main]
-    out = [(n, int(c), round(float(q[i, c]), 6)) for i, ((n, _), c) in enumerate(zip(lines, lang))]
-    confidence = sum(letters[i] * c for i, (_, k, c) in enumerate(out) if k == main) / max(letters.sum(), 1.0)
-    return main, round(float(confidence), 6), out
+    code = LANGUAGES.index(label) if label in LANGUAGES else len(LANGUAGES)
+    main, whole, lang, q = judge_all(np.array([len(lines)]), scores, letters, np.array([code]))
+    return int(main[0]), float(whole[0]), [(n, int(c), float(x)) for (n, _), c, x in zip(lines, lang, q)]
 
 
 _OUT = "doc_id long, line_no int, lang string, confidence double, label string, main string"
@@ -411,26 +427,27 @@ def detect(docs: DataFrame, net: ByteNet) -> DataFrame:
 
     def run(batches):
         model = ByteNet.load(shared.value)
+        names = np.array([*LANGUAGES, None], object)
         for pdf in batches:
-            rows, known = [], {}
-            docs_ = [(d, prose_lines(t, known), l) for d, t, l in zip(pdf["doc_id"], pdf["text"], pdf["lang"])]
+            known: dict = {}
+            found = [prose_lines(t, known) for t in pdf["text"]]
+            own = pdf["lang"].map({x: label_language(x) for x in pdf["lang"].unique()})
+            counts = np.array([len(x) for x in found])
             # Equal lines of the batch are judged once.
             place: dict[str, int] = {}
-            for _, lines, _ in docs_:
-                for _, p in lines:
-                    place.setdefault(p, len(place))
+            ids = np.array([place.setdefault(p, len(place)) for lines in found for _, p in lines], int)
             clean = [to_bytes(p) for p in place]
             scores, letters = line_scores(model, clean), np.array([len(b.decode("utf-8", "replace")) - b.count(b" ") for b in clean], float)
-            for d, lines, label in docs_:
-                own = label_language(label)
-                if not lines:
-                    rows.append((d, 0, None, 0.0, own, None))
-                    continue
-                ids = [place[p] for _, p in lines]
-                main, confidence, judged = judge(lines, scores[ids], own, letters[ids])
-                rows.append((d, 0, LANGUAGES[main], confidence, own, LANGUAGES[main]))
-                rows.extend((d, n, LANGUAGES[c], q, own, LANGUAGES[main]) for n, c, q in judged)
-            yield pd.DataFrame(rows, columns=["doc_id", "line_no", "lang", "confidence", "label", "main"])
+            has = counts > 0
+            codes = own.map(lambda x: LANGUAGES.index(x) if x in LANGUAGES else len(LANGUAGES)).to_numpy(int)
+            main, whole = np.full(len(pdf), len(LANGUAGES)), np.zeros(len(pdf))
+            lang, q = np.zeros(0, int), np.zeros(0)
+            if has.any():
+                main[has], whole[has], lang, q = judge_all(counts[has], scores[ids], letters[ids], codes[has])
+            owner = np.repeat(np.arange(len(pdf)), counts)
+            at, label = pdf["doc_id"].to_numpy(), own.to_numpy(object)
+            yield pd.DataFrame({"doc_id": at, "line_no": 0, "lang": names[main], "confidence": whole, "label": label, "main": names[main]})
+            yield pd.DataFrame({"doc_id": at[owner], "line_no": np.array([n for lines in found for n, _ in lines], int), "lang": names[lang], "confidence": q, "label": label[owner], "main": names[main[owner]]})
 
     return docs.select("doc_id", "text", "lang").mapInPandas(run, _OUT)
 

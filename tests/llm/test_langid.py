@@ -107,3 +107,38 @@ def test_judging_ends_and_agrees():
         raw = rng.normal(0, 3, (n, len(LANGUAGES)))
         main, confidence, out = judge([(i + 1, "x") for i in range(n)], raw, None, letters)
         assert 0 <= confidence <= 1 and [k for k, _, _ in out] == list(range(1, n + 1)) and 0 <= main < len(LANGUAGES)
+
+
+def one_by_one(letters, scores, label):
+    """``judge_all`` for a document in plain Python."""
+    n, k = len(letters), len(LANGUAGES)
+
+    def post(row, of, share, weight=1.0):
+        x = [v + (0 if of is None else weight * np.log(share if c == of else (1 - share) / (k - 1))) for c, v in enumerate(row)]
+        e = np.exp(np.array(x) - max(x))
+        return e / e.sum()
+
+    main = int(np.argmax(sum(a * post(r, label, langid.LABEL_PRIOR, 1 / n) for a, r in zip(letters, scores))))
+    seen = {}
+    while main not in seen:
+        lang = [int(p.argmax()) if p[main] <= langid.LINE_POSTERIOR else main for p in (post(r, main, langid.MAIN_PRIOR) for r in scores)]
+        share = np.bincount(lang, weights=letters, minlength=k)
+        seen[main] = (share[main], lang)
+        if share[main] >= share.max():
+            return main, lang
+        main = int(share.argmax())
+    best = min(m for m in seen if seen[m][0] == max(x for x, _ in seen.values()))
+    return best, seen[best][1]
+
+
+def test_documents_are_judged_alike_together_and_alone():
+    rng = np.random.default_rng(9)
+    counts = rng.integers(1, 7, 400)
+    letters, scores = rng.integers(2, 60, counts.sum()).astype(float), rng.normal(0, 3, (counts.sum(), len(LANGUAGES)))
+    labels = rng.integers(0, len(LANGUAGES) + 1, 400)
+    main, _, lang, _ = langid.judge_all(counts, scores, letters, labels)
+    at = 0
+    for i, n in enumerate(counts):
+        m, ls = one_by_one(letters[at : at + n], scores[at : at + n], None if labels[i] == len(LANGUAGES) else int(labels[i]))
+        assert main[i] == m and lang[at : at + n].tolist() == ls, i
+        at += n
