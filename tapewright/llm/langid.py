@@ -70,12 +70,13 @@ _CALL = re.compile(r"[^\W\d]\w*(?:\.\w+)*\([^()\s]*\)")
 _JOINED, _NUMBERED = re.compile(r"\b\w*_\w*\b"), re.compile(r"\b\w*\d\w*\b")
 _FILE = re.compile(r"\b\w+\.(?:py|csv|json|jsonl|parquet|sql|sh|txt|log|cpp|java|rs|go)\b")
 #: What is cut out of a line, each with the text without which it can't be there.
-_CUTS = (("`", _INLINE), ("://", _URL), ("www.", _WWW), ("@", _MAIL), ("<", _TAG), ("&", _ENTITY), ("(", _CALL), ("_", _JOINED), (".", _FILE))
+_CUTS = (("`", _INLINE), ("://", _URL), ("www.", _WWW), ("@", _MAIL), ("<", _TAG), ("&", _ENTITY))
 _CODE_LINE = re.compile(r"[{}\[\];]\s*$|^\s*[{\[<$#]|==|!=|->|=>|\+\+|^\s*(?:def|class|import|from|SELECT|FROM|WHERE|GROUP BY|return|for \(|if \()\b.*[(:=;*]")
 
 
 #: A line without any of these holds no code, link, number or name.
 _MARK = re.compile(r"[`<&@/\\:(){}\[\];=+*$#_\d|~^%\"]|\.\w|www|^(?:def|class|import|from|SELECT|FROM|WHERE|GROUP BY|return)\b|->")
+_OPEN, _DOT = re.compile(r"\w\("), re.compile(r"\.\w")
 _SPACE, _DIGIT, _TWO = re.compile(r"[\W\d_]+"), re.compile(r"\d"), re.compile(r"[^\W\d_][\W\d_]*[^\W\d_]")
 
 
@@ -87,6 +88,12 @@ def _prose(line: str) -> str | None:
     for sign, cut in _CUTS:
         if sign in lower:
             rest = cut.sub(" ", rest)
+    if "(" in rest and _OPEN.search(rest):
+        rest = _CALL.sub(" ", rest)
+    if "_" in rest:
+        rest = _JOINED.sub(" ", rest)
+    if "." in rest and _DOT.search(rest):
+        rest = _FILE.sub(" ", rest)
     if _DIGIT.search(rest):
         rest = _NUMBERED.sub(" ", rest)
     if not _TWO.search(rest) or (_CODE_LINE.search(line) and len(_SPACE.sub("", rest)) < 0.6 * len(line.replace(" ", ""))):
