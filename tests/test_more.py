@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import numpy as np
 import pytest
@@ -114,6 +115,46 @@ def test_flow_stream_keeps_its_window_between_batches(spark, tmp_path):
         assert r["window_cum_delta"] == pytest.approx(still[r["seq"]]["window_cum_delta"]) and r["session_cum_delta"] == pytest.approx(still[r["seq"]]["session_cum_delta"]) and r["warm"] == still[r["seq"]]["warm"]
 
 
+def test_flow_stream_of_one_crowded_window(spark, tmp_path):
+    """40,000 trades in one window: work that grows with the window takes minutes here."""
+    n = 40_000
+    spark.range(n).selectExpr("'A' as symbol", "id as seq", "id div 10 as timestamp", "100D + id % 1000 as price", "if(id % 3 = 0, -1D, 1D) * (1 + id % 7) as delta").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("symbol string, seq long, timestamp long, price double, delta double").parquet(f"{tmp_path}/in")
+    began = time.time()
+    got = live.run_available(live.order_flow_stream(stream, 5000), "flow").orderBy("seq").collect()
+    assert time.time() - began < 60 and len(got) == n
+    delta = [(-1.0 if i % 3 == 0 else 1.0) * (1 + i % 7) for i in range(n)]
+    assert [r["session_cum_delta"] for r in got] == [r["window_cum_delta"] for r in got] == np.cumsum(delta).tolist()
+    assert [r["buy_volume"] for r in got] == np.cumsum(np.maximum(delta, 0)).tolist() and [r["price_range"] for r in got] == [float(min(i, 999)) for i in range(n)]
+    assert [r["trade_intensity"] for r in got] == [(i + 1) / 5.0 for i in range(n)]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_flow_of_many_trades_at_once(seed):
+    """The same to the last bit as trade by trade: ties, pauses, reconnects, batches that go back in time, values of very different size, missing and infinite ones."""
+    r = np.random.default_rng(seed)
+    one, many, gap = live.FlowWindow(5000, 9000 if seed % 2 else None), live.FlowWindow(5000, 9000 if seed % 2 else None), 0
+    for size in (1, 700, 3, 1, 400):
+        t = np.sort(1_700_000_000_000 + gap + np.cumsum(r.choice([0, 0, 1, 60, 900, 9500], size, p=[0.2, 0.2, 0.2, 0.2, 0.19, 0.01])))
+        gap = int(t[-1] - 1_700_000_000_000) - (3000 if seed < 4 else 0)
+        delta = r.choice([0.0, 0.1, -0.1, 1e9, -1e9, 7.0], size) * r.choice([1.0, r.normal()], size)
+        if seed in (2, 3):
+            delta[r.random(size) < 0.01] = r.choice([np.nan, np.inf, -np.inf])
+        price, begins = 100 + r.random(size), r.random(size) < 0.005
+        got = many.update_many(t, price, delta, begins)
+        for i in range(size):
+            if begins[i]:
+                one.reset()
+            for name, v in one.update(int(t[i]), float(price[i]), float(delta[i])).items():
+                np.testing.assert_equal(float(got[name][i]), float("nan") if v is None else float(v), f"{name} {i}")
+        np.testing.assert_equal([many.events, many.since, many.total], [one.events, one.since, one.total])
+
+
+def test_flow_price_range_leaves_missing_prices_out():
+    got = live.FlowWindow(100).update_many(np.array([0, 50, 120]), np.array([np.nan, 3.0, 5.0]), np.ones(3), np.zeros(3, bool))
+    np.testing.assert_equal(got["price_range"], [np.nan, 0.0, 2.0])
+
+
 def test_permutations_are_repeatable_and_right(spark):
     r = np.random.default_rng(2)
     v, g = r.normal(0, 1, 9000), r.random(9000) < 0.3
